@@ -50,7 +50,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Encodes one pre-token after another; all tables are bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}
@@ -73,39 +73,48 @@ class Transducer:
 
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
-        self.configs: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.configs: list[tuple] = []  # (path << 20 | last token + 1, tokens held back, ...) of each state
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.tail: list[tuple[int, ...]] = []
-        self.start = self._state(((ROOT, -1, ()),))
+        self.same: dict[tuple, tuple] = {}
+        self.start = self._state(((ROOT << 20, ()),))
 
     def _state(self, configs: tuple) -> int:
-        s = self.ids.get(configs)
+        flat = tuple(x for c in configs for x in c)
+        s = self.ids.get(flat)
         if s is None:
-            s = self.ids[configs] = len(self.configs)
-            self.configs.append(configs)
-            self.moves.append({})
-            self.tail.append(next((res for node, _, res in configs if node == ROOT), ()))
+            s = self.ids[flat] = len(self.configs)
+            self.configs.append(flat)
+            self.tail.append(next((res for key, res in configs if key >> 20 == ROOT), ()))
         return s
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         new = []
-        for node, last, res in self.configs[state]:
-            nxt = self.child.get(node << 8 | byte)
+        flat, child, token, inner = self.configs[state], self.child.get, self.token, self.inner
+        for i in range(0, len(flat), 2):
+            key, res = flat[i], flat[i + 1]
+            nxt = child((key >> 20) << 8 | byte)
             if nxt is None:
                 continue
-            if self.inner[nxt]:
-                new.append((nxt, last, res))
-            t = self.token[nxt]
-            if t >= 0 and self.whole[t] and (last < 0 or self.fits[last << 24 | t]):
-                new.append((ROOT, t, (*res, t)))
+            last = key & 0xFFFFF
+            if inner[nxt]:
+                new.append((nxt << 20 | last, res))
+            t = token[nxt]
+            if t >= 0 and self.whole[t] and (not last or self.fits[last - 1 << 24 | t]):
+                new.append((ROOT << 20 | t + 1, (*res, t)))
         if not new:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        emitted, (first, *rest) = 0, [res for _, _, res in new]
-        while emitted < len(first) and all(len(r) > emitted and r[emitted] == first[emitted] for r in rest):
-            emitted += 1
-        out = first[:emitted]
-        move = self._state(tuple(sorted((n, u, r[emitted:]) for n, u, r in new))), out
-        self.moves[state][byte] = move
+        out, first = (), new[0][1]
+        if first:
+            emitted = 0
+            while emitted < len(first) and all(len(r) > emitted and r[emitted] == first[emitted] for _, r in new):
+                emitted += 1
+            if emitted:
+                out = self.same.setdefault(first[:emitted], first[:emitted])
+                new = [(k, r[emitted:]) for k, r in new]
+        new.sort()
+        same = self.same.setdefault
+        move = self.moves[state << 8 | byte] = self._state(tuple((k, same(r, r)) for k, r in new)), out
         return move
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -114,18 +123,18 @@ class Transducer:
             return [direct]
         if len(self.configs) > self.max_states:
             self._reset()
-        state, moves, out = self.start, self.moves, []
+        state, get, out = self.start, self.moves.get, []
         for b in piece:
-            move = moves[state].get(b)
+            move = get(state << 8 | b)
             if move is None:
                 move = self._move(state, b)
                 if len(self.configs) > 2 * self.max_states:  # one very long piece
-                    configs = self.configs[move[0]]
+                    flat = self.configs[move[0]]
                     self._reset()
-                    move, moves = (self._state(configs), move[1]), self.moves
-            state = move[0]
-            if move[1]:
-                out.extend(move[1])
+                    move, get = (self._state(tuple(zip(flat[::2], flat[1::2], strict=True))), move[1]), self.moves.get
+            state, emitted = move
+            if emitted:
+                out.extend(emitted)
         out.extend(self.tail[state])
         return out
 
@@ -180,7 +189,7 @@ def decode_stream(ids: Iterable[int], table: dict[int, bytes], chunk: int = 4096
 class Codec:
     """Text to ids and back for one rank file and pre-token pattern."""
 
-    def __init__(self, ranks_path: str, pattern: str, max_pieces: int = 300_000):
+    def __init__(self, ranks_path: str, pattern: str, max_pieces: int = 200_000):
         self.ranks = read_ranks(ranks_path)
         self.machine = Transducer(self.ranks)
         self.split = splitter(pattern)

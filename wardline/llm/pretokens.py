@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -63,15 +62,19 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class Memo(dict):
-    """A dictionary that starts anew beyond a number of entries, so a worker's memory stays bounded."""
+    """A dictionary that fills itself and holds two generations of at most ``most`` entries: when the young one is
+    full it becomes the old one, and what is asked for again moves back. A worker's memory stays bounded."""
 
     def __init__(self, make: Callable, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= 48 if isinstance(key, (str, bytes)) else True:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if not isinstance(key, (str, bytes)) or len(key) <= 48:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
-            self[sys.intern(key) if type(key) is str else key] = value
+            self[key] = value
         return value

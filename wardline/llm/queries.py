@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from wardline.session import workers_import
 
-from . import bpe, ppm, simhash, token_counts, toxicity
-from .common import read, remainder
+from . import bpe, chat, decontaminate, line_dedup, ppm, quality, simhash, token_counts, toxicity, warc
+from .common import materialize, read, remainder
 
 TOKEN_LIMIT = 2048
 
@@ -40,6 +40,32 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.length(text).cast("bigint").alias("n_chars_left"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")], "conv_id bigint, turn bigint, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    messages = materialize(chat.linear_messages(rows), "messages")
+    return chat.digests(chat.format_trees(messages))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.rate_documents(read(spark, sf_dir, "documents"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"), least=0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
@@ -49,5 +75,84 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, f=f: f(workers_import(spark), sf_dir)) for k, f in found.items()}
 
 
+OP6_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT rid, doc_id, text, lines, unnest(range(1, len(lines) - 1)) AS i FROM t WHERE len(lines) >= 3
+), w AS (
+  SELECT rid, doc_id, text, i - 1 AS pos, lines[i:i + 2] AS win FROM l
+  WHERE regexp_matches(array_to_string(lines[i:i + 2], chr(10)), '[^\x20\x09-\x0D]')
+), f AS (
+  SELECT win, min(struct_pack(a := doc_id IS NULL, b := doc_id, p := pos)) AS first FROM w GROUP BY win HAVING count(*) > 1
+), c AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN w.doc_id = f.first.b THEN list_filter([pos, pos + 1, pos + 2], lambda p: p > f.first.p + 2) ELSE [pos, pos + 1, pos + 2] END) AS p
+  FROM w JOIN f USING (win) WHERE NOT (w.doc_id = f.first.b AND w.pos = f.first.p)
+), g AS (
+  SELECT rid, list(p) AS gone FROM c GROUP BY rid
+), r AS (
+  SELECT doc_id, len(lines) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
+  FROM t LEFT JOIN g USING (rid)
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(text) AS BIGINT) AS n_chars_left, sha256(text) AS text_sha256 FROM r
+"""
+
+
+def _op8_sql() -> str:
+    """Built from the operator's own word lists and limits."""
+    words = {k: ", ".join(f"'{w}'" for w in ws) for k, ws in quality.COMMON.items()}
+    listed = " ".join(f"WHEN '{k}' THEN [{w}]" for k, w in words.items())
+    everything = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.COMMON.values() for w in ws}))
+    ref_words = ", ".join(f"coalesce(sum(hist[{i + 1}]), 0)" for i in range(quality.BINS))
+    term = "(CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0.0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0.0 END)"
+    share = lambda x: f"list_transform({x}, lambda v: CAST(v AS DOUBLE) / list_sum({x}))"
+    js = lambda a, b: f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({share(a)}, {share(b)}), lambda z: {term})) / 2))"
+    return rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+    CASE WHEN lower(lang) IN ({", ".join(f"'{k}'" for k in words)}) THEN lower(lang) ELSE '' END AS lg,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS words
+  FROM documents
+), win AS (
+  SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM t WHERE len(words) >= 3
+), again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM win) WHERE n > 1
+), rep AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid
+), m AS (
+  SELECT rid, doc_id, lg, len(words) AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')))) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, length(text) AS n_chars,
+    length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS upper_, length(regexp_replace(text, '[^0-9]+', '', 'g')) AS digits_,
+    length(regexp_replace(text, '[^.,;:!?''"()\-]+', '', 'g')) AS points_,
+    list_transform(CASE lg {listed} ELSE CAST([] AS VARCHAR[]) END, lambda r: len(list_filter(words, lambda w: lower(w) = r))) AS hist
+  FROM t LEFT JOIN rep USING (rid)
+), v AS (
+  SELECT *, [upper_, digits_, n_symbols, points_, n_chars - word_chars, word_chars - upper_ - digits_ - n_symbols - points_] AS ch,
+    list_concat(hist, [n_words - coalesce(list_sum(hist), 0)]) AS wd FROM m
+), ref AS (
+  SELECT lg, [{", ".join(f"sum(ch[{i + 1}])" for i in range(len(quality.CLASSES) + 2))}] AS ref_ch, [{ref_words}] AS rw, sum(n_words) AS rn FROM v GROUP BY lg
+), j AS (
+  SELECT v.*, ref_ch, list_concat(rw, [rn - list_sum(rw)]) AS ref_wd FROM v JOIN ref USING (lg)
+), d AS (
+  SELECT *, (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words) AS base_failed,
+    CASE WHEN n_chars >= {quality.LEAST_CHARS} THEN {js("ch", "ref_ch")} ELSE 0.0 END AS chars_far,
+    CASE WHEN n_words >= {quality.LEAST_WORDS} AND lg <> '' THEN {js("wd", "ref_wd")} ELSE 0.0 END AS words_far
+  FROM j
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND chars_far <= {quality.CHARS_FAR} AND words_far <= {quality.WORDS_FAR}
+    AND (n_words < {quality.LEAST_SUM_WORDS} OR n_chars < {quality.LEAST_CHARS} OR lg = '' OR chars_far + words_far <= {quality.SUM_FAR}) AS kept
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are tested against brute force."""
+    return {"op6_line_dedup": OP6_SQL, "op8_quality": _op8_sql()}

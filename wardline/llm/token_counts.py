@@ -39,7 +39,7 @@ def byte_letters() -> list[str]:
 class Counter:
     """For a tokenizers file with: NFC, white space to a space, lower case; a split pattern; byte-level word BPE."""
 
-    def __init__(self, path: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, max_pieces: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
