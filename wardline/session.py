@@ -18,3 +18,13 @@ def workers_import(spark: SparkSession) -> SparkSession:
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, have)))
     return spark
+
+
+def checkpointed(df):
+    """df.checkpoint() into spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wardline-checkpoint-"))
+    return df.checkpoint()
