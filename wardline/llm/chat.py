@@ -79,12 +79,13 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
     # each round: up is the ancestor 2^k steps away, or null once the root is passed; score and length sum the nodes up to it
     most = 1
     while step.where("up is not null").limit(1).count():
-        hops.append(step.select("tree", "node", "up"))
+        active, settled = step.where("up is not null"), step.where("up is null")  # what has passed its root takes no part any more
+        hops.append(active.select("tree", "node", "up"))
         above = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("score").alias("s"), F.col("length").alias("l"))
-        step = step.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
+        moved = active.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
             "tree", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("l", F.lit(0))).alias("length")
         )
-        step = materialize(step, "replies")
+        step = materialize(settled.unionByName(moved), "replies")
         most *= 2
         if most > 2**40:
             raise ValueError("no end: the replies form a cycle")
@@ -97,7 +98,7 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
     best = leaves.groupBy("tree").agg(F.max(rank).alias("b")).select("tree", (-F.col("b.first")).alias("leaf"))
     path = best.select("tree", "leaf", F.col("leaf").alias("node"))
     for hop in reversed(hops):
-        far = hop.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        far = hop.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         path = path.unionByName(path.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node")))
         path = materialize(path, "paths")
     depth = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("length").alias("depth"))
