@@ -126,7 +126,7 @@ def rate_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_documents(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The rows that are kept, with all their columns. Texts are read twice and never shuffled."""
-    m = measure(docs, text_column, lang_column)
-    refs = materialize(references(m), "quality-references")
-    return judge(m, refs).where(F.col(f"{Q}.kept")).select(*docs.columns)
+    """The rows that are kept, with all their columns. Rows and counts are written once, so that neither the
+    references nor the verdict measure a text again; texts are never shuffled."""
+    m = materialize(measure(docs, text_column, lang_column), "quality")
+    return judge(m, references(m)).where(F.col(f"{Q}.kept")).select(*docs.columns)
