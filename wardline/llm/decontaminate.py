@@ -43,27 +43,40 @@ def _fold_table() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
-def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points, and the place in the text of each."""
+def _kept(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of every place of the text, and which of them are kept."""
     if not _table:
         _table.append(_fold_table())
     points = _table[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    space = points == 32
-    keep = ~space
-    keep[1:] |= space[1:] & ~space[:-1]
-    at = np.nonzero(keep)[0]
-    return points[at], at
+    keep = points != 32
+    keep[1:] |= keep[:-1]  # the first other character after a letter or digit
+    if len(keep):
+        keep[0] = True
+    return points, keep
+
+
+def fold(text: str) -> np.ndarray:
+    """Folded code points."""
+    points, keep = _kept(text)
+    return points[keep]
+
+
+def places(text: str) -> np.ndarray:
+    """The place in the text of each folded code point."""
+    return np.nonzero(_kept(text)[1])[0]
 
 
 def qgrams(points: np.ndarray) -> np.ndarray:
+    """The q-grams as numbers of 7 bits a character. Characters that share their low bits may make different
+    q-grams equal; that only adds candidates."""
     n = len(points) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(Q):
-        out = (out + points[k : k + n] + np.uint64(1)) * MULTIPLIER
-        out ^= out >> np.uint64(29)
-    return out
+    one = (points & np.uint32(127)).astype(np.uint64)
+    two = one[:-1] << np.uint64(7) | one[1:]
+    four = two[:-2] << np.uint64(14) | two[2:]
+    eight = four[:-4] << np.uint64(28) | four[4:]
+    return eight[:n] << np.uint64(7) | one[Q - 1 :]
 
 
 class Index:
@@ -75,7 +88,7 @@ class Index:
         self.offsets: list[int] = []
         self.short: list[tuple[int, np.ndarray]] = []  # below q characters: found as whole words
         for item, text in items:
-            points = _trim(fold(text)[0])
+            points = _trim(fold(text))
             if len(points) < Q:
                 if len(points):
                     self.short.append((item, points))
@@ -99,12 +112,15 @@ class Index:
         bits = max(12, int(16 * max(len(self.grams), 1)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[self.grams >> self.shift] = True
+        self.maybe[self._slot(self.grams)] = True
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (grams * MULTIPLIER) >> self.shift
 
     def hits(self, points: np.ndarray, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text place, probe, probe place) of every shared q-gram."""
         g = qgrams(points)
-        at = np.nonzero(self.maybe[g >> self.shift])[0]
+        at = np.nonzero(self.maybe[self._slot(g)])[0]
         if not len(at) or not len(self.grams):
             return (np.zeros(0, np.int64),) * 3
         where = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
@@ -152,7 +168,7 @@ def align(probe: np.ndarray, region: np.ndarray, width: int, budget: int) -> tup
 def find(text: str, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(item, edits, probes, start, end) for each item with a probe in the text: the fewest edits of a probe, the
     number of probes found, and the place in the text of all of them together."""
-    points, at = fold(text)
+    points = fold(text)
     found: dict[int, list[tuple[int, int, int]]] = {}
     step, reach = 1 << 20, 2 * PROBE
     candidates: set[tuple[int, int]] = set()
@@ -162,29 +178,39 @@ def find(text: str, index: Index) -> list[tuple[int, int, int, int, int]]:
             continue
         wide = index.budget[probe] + 1
         band = (place - inner) // wide
-        for shifted in (band, band - 1):
-            keys, counts = np.unique(np.stack((probe, shifted)), axis=1, return_counts=True)
-            enough = counts >= index.least[keys[0]]
-            candidates.update(zip(keys[0][enough].tolist(), keys[1][enough].tolist(), strict=True))
+        key = (probe << 40) + (band + (1 << 20))
+        keys, counts = np.unique(np.concatenate((key, key - 1)), return_counts=True)  # each diagonal is in two bands
+        enough = keys[counts >= index.least[keys >> 40]]
+        candidates.update(zip((enough >> 40).tolist(), ((enough & ((1 << 40) - 1)) - (1 << 20)).tolist(), strict=True))
     for probe, band in sorted(candidates):
         wanted, k = index.probes[probe], int(index.budget[probe])
         low = band * (k + 1)
         skip = max(0, -low)
         region = points[max(0, low) : low + 2 * (k + 1) + len(wanted) + k]
-        got = align(wanted, region, 2 * (k + 1) - skip, k) if not skip else _align_at_start(wanted, region, 2 * (k + 1), skip, k)
+        same = _exact(wanted, region)
+        got = (0, same, same + len(wanted)) if same >= 0 else align(wanted, region, 2 * (k + 1) - skip, k) if not skip else _align_at_start(wanted, region, 2 * (k + 1), skip, k)
         if got and got[0] <= k:
             found.setdefault(index.items[probe], []).append((got[0], max(0, low) + got[1], max(0, low) + got[2], probe))
     for item, short in index.short:
-        whole = np.concatenate(([32], short, [32])).astype(np.uint32).tobytes()
-        hay = np.concatenate(([32], points, [32])).astype(np.uint32).tobytes()
-        p = hay.find(whole)
-        while p >= 0 and p % 4:
-            p = hay.find(whole, p + 1)
-        if p >= 0:
-            found.setdefault(item, []).append((0, p // 4, p // 4 + len(short), -1))
+        space = np.array([32], np.uint32)
+        same = _exact(np.concatenate((space, short, space)), np.concatenate((space, points, space)))
+        if same >= 0:
+            found.setdefault(item, []).append((0, same, same + len(short), -1))
+    if not found:
+        return []
+    at = places(text)
     return [(item, min(m[0] for m in ms), len({m[3] for m in ms}), int(at[min(m[1] for m in ms)]), int(at[min(max(m[2] for m in ms), len(at)) - 1]) + 1) for item, ms in sorted(found.items())]
 
 
+def _exact(probe: np.ndarray, region: np.ndarray) -> int:
+    """Place of the probe itself in the region, or -1: no alignment is needed for most passages."""
+    hay, needle = region.tobytes(), probe.tobytes()
+    at = hay.find(needle)
+    while at >= 0 and at % 4:
+        at = hay.find(needle, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 def _align_at_start(probe: np.ndarray, region: np.ndarray, width: int, skip: int, budget: int) -> tuple[int, int, int] | None:
     """As align, for a band that begins before the text: cells before it cannot be used, only left behind."""
     padded = np.concatenate((np.full(skip, 0xFFFFFFFF, np.uint32), region))
