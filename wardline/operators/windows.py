@@ -64,14 +64,15 @@ def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], thres
 
     Every pair that qualifies shares one of the first tokens, rarest first, that prefix filtering keeps:
     a set of n tokens keeps n - ceil(t n) + 1. Only rows that meet in a kept token are compared."""
-    words = rows.select(F.col(id_).alias("id"), *blocks, tokens(F.col(text), stopwords).alias("w")).where(F.size("w") > 0)
-    each = words.select("id", *blocks, F.size("w").alias("n"), F.explode("w").alias("t"))
-    often = each.groupBy(*blocks, "t").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("id", *blocks).orderBy("c", "t")
-    kept = each.join(often, [*blocks, "t"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    a = kept.select(*blocks, "t", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = kept.select(*blocks, "t", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, [*blocks, "t"]).where((F.col("a") < F.col("b")) & (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))).select("a", "b").distinct()
+    keys = [f"__block{i}" for i in range(len(blocks))]  # block columns may be called like ours
+    words = rows.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), tokens(F.col(text), stopwords).alias("w")).where(F.size("w") > 0)
+    each = words.select("id", *keys, F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = each.groupBy(*keys, "t").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("id", *keys).orderBy("c", "t")
+    kept = each.join(often, [*keys, "t"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    left = kept.select(*keys, "t", F.col("id").alias("a"), F.col("n").alias("na"))
+    right = kept.select(*keys, "t", F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, [*keys, "t"]).where((F.col("a") < F.col("b")) & (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))).select("a", "b").distinct()
     full = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     same = F.size(F.array_intersect("wa", "wb"))
     return full.select("a", "b", (same / (F.size("wa") + F.size("wb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold)

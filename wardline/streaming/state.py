@@ -40,7 +40,8 @@ def limit_events(events: DataFrame, key: str, ts: str, order: str, limit: int =
 
 
 def limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = LIMIT, window_s: int = WINDOW_S) -> DataFrame:
-    """The same over a stream of events that arrive in order for each key; a key's state goes after a quiet window."""
+    """The same over a stream of events that arrive in order for each key. A key's state goes when the watermark
+    passes the end of its window, where the next event would begin a new one anyway."""
     kinds = events.schema[key].dataType.simpleString(), events.schema[order].dataType.simpleString()
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,10 +52,10 @@ def limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int =
         rows = pd.concat(list(batches)).sort_values([ts, order])
         allowed, _, start, n = _walk([t.timestamp() for t in rows[ts]], start, n, limit, window_s)
         state.update((start, n))
-        state.setTimeoutDuration(window_s * 1000)
+        state.setTimeoutTimestamp(max(int((start + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], order: rows[order].values, "allowed": allowed})
 
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kinds[0]}, {order} {kinds[1]}, allowed boolean", "start double, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(ts, "1 hour").groupBy(key).applyInPandasWithState(update, f"{key} {kinds[0]}, {order} {kinds[1]}, allowed boolean", "start double, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def distinct_calls(events: DataFrame, identity: list[str], ts: str, delay: str = "1 hour") -> DataFrame:
