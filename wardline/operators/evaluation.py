@@ -21,10 +21,11 @@ def confusion(rows: DataFrame, truth: Column, said: Column) -> DataFrame:
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n, agreement and Cohen's kappa of two labels; null without pairs or where chance alone agrees always."""
     p = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))  # at most categories squared
-    total = p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col(a) == F.col(b), F.col("n"))), F.lit(0)).alias("same"))
     left, right = p.groupBy(F.col(a).alias("k")).agg(F.sum("n").alias("x")), p.groupBy(F.col(b).alias("k")).agg(F.sum("n").alias("y"))
-    chance = left.join(right, "k").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("chance"))
-    both = total.withColumn("__1", F.lit(1)).join(chance.withColumn("__1", F.lit(1)), "__1")
+    zero = F.lit(0).cast("bigint")
+    seen = p.select(F.col("n").alias("total"), F.when(F.col(a) == F.col(b), F.col("n")).otherwise(zero).alias("same"), zero.alias("chance"))
+    by_chance = left.join(right, "k").select(zero.alias("total"), zero.alias("same"), (F.col("x") * F.col("y")).alias("chance"))
+    both = seen.unionByName(by_chance).agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("total", "same", "chance")))
     po, pe = rate(F.col("same"), F.col("total")), rate(F.col("chance"), F.col("total") * F.col("total"))
     return both.select(F.col("total").alias("n"), po.alias("agreement"), F.try_divide(po - pe, F.when(pe != 1, 1 - pe)).alias("kappa"))
 
@@ -36,7 +37,8 @@ def pairwise_jaccard(keys: DataFrame, run: str = "run", key: str = "key") -> Dat
     sizes = k.groupBy(run).agg(F.count("*").alias("n"))
     having = k.groupBy(key).agg(F.array_sort(F.collect_list(run)).alias("runs"))
     pairs = having.select(F.explode("runs").alias("a"), "runs").select("a", F.explode("runs").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    every = sizes.select(F.col(run).alias("a"), F.col("n").alias("na")).join(sizes.select(F.col(run).alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(run).alias("run"), "n"))).alias("all"))
+    every = listed.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).where("p.run < q.run").select(F.col("p.run").alias("a"), F.col("p.n").alias("na"), F.col("q.run").alias("b"), F.col("q.n").alias("nb"))
     return every.join(pairs, ["a", "b"], "left").select("a", "b", (F.coalesce("common", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("common", F.lit(0)))).alias("jaccard"))
 
 
