@@ -49,15 +49,15 @@ def env_names(files: DataFrame, path: str, content: str) -> DataFrame:
     return declared.unionByName(used).where("name <> ''").groupBy(path, "name").agg((F.min("i") + 1).alias("line"))
 
 
-def route_handlers(files: DataFrame, path: str, content: str) -> DataFrame:
-    """(path, method, url) of file-based route handlers: exported methods; a page API without a method test is ALL."""
+def route_handlers(files: DataFrame, path: str, content: str, *keys: str) -> DataFrame:
+    """(keys, path, method, url) of file-based route handlers: exported methods; a page API without a method test is ALL."""
     exported = F.regexp_extract_all(content, F.lit(r"(?m)^export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"), F.lit(1))
-    app = files.select(path, paths.app_route(F.col(path)).alias("url"), F.explode(F.array_distinct(exported)).alias("method")).where("url is not null")
+    app = files.select(*keys, path, paths.app_route(F.col(path)).alias("url"), F.explode(F.array_distinct(exported)).alias("method")).where("url is not null")
     inner = F.regexp_extract(path, r"(?:^|/)pages/api/(.+?)(?:/index)?\.(?:ts|tsx|js|jsx)\z", 1)
     url = F.concat(F.lit("/api/"), F.array_join(F.transform(F.split(inner, "/"), paths.route_segment), "/"))
     tested = F.regexp_extract_all(content, F.lit(r"""req\.method\s*[=!]==?\s*["'](GET|POST|PUT|PATCH|DELETE)["']"""), F.lit(1))
-    pages = files.where(F.col(path).rlike(r"(?:^|/)pages/api/.+\.(?:ts|tsx|js|jsx)\z")).select(path, url.alias("url"), F.explode(F.when(F.size(tested) > 0, F.array_sort(F.array_distinct(tested))).otherwise(F.array(F.lit("ALL")))).alias("method"))
-    return app.unionByName(pages).select(path, "method", "url")
+    pages = files.where(F.col(path).rlike(r"(?:^|/)pages/api/.+\.(?:ts|tsx|js|jsx)\z")).select(*keys, path, url.alias("url"), F.explode(F.when(F.size(tested) > 0, F.array_sort(F.array_distinct(tested))).otherwise(F.array(F.lit("ALL")))).alias("method"))
+    return app.unionByName(pages).select(*keys, path, "method", "url")
 
 
 def mask_text(code: str, strings: bool = True) -> str:
