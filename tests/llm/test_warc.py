@@ -54,7 +54,7 @@ def test_records():
 @pytest.mark.parametrize("least", [0, 3])
 def test_pages(spark, monkeypatch, least):
     monkeypatch.setattr(warc, "PACKAGE", 2000)
-    rows = [(i, f"http://x/{i}", "<p>same</p>") for i in range(30)] + [(100, None, None), (101, "u", ""), (102, "u", "é" * 50000), (103, "u", "ab"), (104, "u", "ab"), (104, "u", "ab"), (105, "u", "other\r\n\r\n")]
+    rows = [(i, f"http://x/{i}", "<p>same</p>") for i in range(30)] + [(100, None, None), (101, "u", ""), (102, "u", "é" * 50000), (103, "u", "ab"), (104, "u", "ab"), (104, "u", "ab"), (105, "u", "other\r\n\r\n"), (103, "u", "a payload of its own")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, refs int").repartition(3)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df, least).collect()), key=repr)
     want = []

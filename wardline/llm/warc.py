@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_column, materialize, new_path, sliced
@@ -186,12 +186,12 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def revisits(pages: DataFrame, least: int, id_column: str, payload: Column) -> DataFrame:
-    """(id, refers_to) of the records that revisit another. Digests are grouped with a maximum that combines
+def revisits(keyed: DataFrame, least: int) -> DataFrame:
+    """(id, digest, refers_to) of the records that revisit another. Digests are grouped with a maximum that combines
     before the shuffle, and joined without payloads, so a payload that very many pages share only meets as numbers."""
-    d = pages.where(F.octet_length(payload) >= least).select(F.col(id_column).alias("id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    last = d.groupBy("digest", "n").agg(F.max("id").alias("refers_to"), F.count("*").alias("times")).where("times > 1").drop("times")
-    return d.join(last, ["digest", "n"]).where("id <> refers_to").select("id", "refers_to").distinct()
+    d = keyed.where(F.octet_length("payload") >= least).select("id", "digest")
+    last = d.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("times")).where("times > 1").drop("times")
+    return d.join(last, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
 
 
 def write_packages(pages: DataFrame, folder: str, least: int = 0, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
@@ -203,11 +203,8 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0, id_column: str
     a payload that a larger id has as well.
     """
     payload = F.coalesce(F.col(payload_column), F.lit(""))
-    keyed = pages.select(F.col(id_column).alias("id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), payload.alias("payload"))
-    again = revisits(pages, least, id_column, payload)
-    repeated_ids = again.groupBy("id").agg(F.collect_set("refers_to").alias("refs"))
-    rows = keyed.join(repeated_ids, "id", "left")
-    to = F.to_json(F.col("refs"))
+    keyed = pages.select(F.col(id_column).alias("id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
+    rows = keyed.join(revisits(keyed, least), ["id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _file_system(folder)
@@ -224,10 +221,7 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0, id_column: str
             return pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([len(index)], pa.int64())], ["package", "records"])
 
         for batch in sliced(batches, "payload"):
-            for i, url, body, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_column(batch, "payload"), batch.column(3).to_pylist(), strict=True):
-                refers = None
-                if refs:
-                    refers = max(json.loads(refs)) if len(body) >= least else None
+            for i, url, body, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_column(batch, "payload"), batch.column(3).to_pylist(), strict=True):
                 packed = _gzip(record(i, url, body, refers))
                 index.append(json.dumps({"offset": data.tell(), "length": len(packed), "url": url}) + "\n")
                 data.write(packed)
@@ -237,7 +231,7 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0, id_column: str
         if index:
             yield close()
 
-    return rows.select("id", "url", "payload", to.alias("refs")).mapInArrow(run, "package string, records bigint")
+    return rows.select("id", "url", "payload", "refers_to").mapInArrow(run, "package string, records bigint")
 
 
 def read_packages(packages: DataFrame, folder: str, id_column: str = "page_id") -> DataFrame:
