@@ -249,7 +249,8 @@ def status_counts(spark, sf_dir):
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def first_wins_dedupe(spark, sf_dir):
-    return history.first_of_key(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key"))
+    return history.first_of_key(d, "key", "doc_id").select("doc_id", "source")
 
 
 @query("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderstatus = 'F' AS handled, CASE WHEN o_orderpriority IS NOT DISTINCT FROM lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AND row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN 0 ELSE 1 END AS c FROM orders),
@@ -526,3 +527,77 @@ def stage_tracker(spark, sf_dir):
     stages = ("view", "click", "signup", "purchase")
     e = table(spark, sf_dir, "events").select("user_id", S.rank(F.col("event_type"), stages).alias("stage"), (F.col("event_type") == "error").alias("ends"))
     return state.furthest_stage(e, "user_id", "stage", "ends")
+
+
+@query("""SELECT p_partkey, (p_size, p_partkey % 10) >= (10, 5) AND (p_size, p_partkey % 10) < (30, 0) AS hit FROM part""")
+def version_ranges(spark, sf_dir):
+    v = versions.version_key(F.concat_ws(".", "p_size", F.col("p_partkey") % 10, F.lit("0")))
+    lo, hi = versions.version_key(F.lit("10.5")), versions.version_key(F.lit("v30.0.0"))
+    return table(spark, sf_dir, "part").select("p_partkey", versions.in_range(v, lo, hi, versions.version_key(F.lit(None).cast("string"))).alias("hit"))
+
+
+@query("""SELECT c_custkey, CASE WHEN n LIKE '-%' THEN chr(39) || n ELSE n END AS cell FROM (SELECT c_custkey, CAST(c_nationkey - 12 AS VARCHAR) AS n FROM customer)""")
+def csv_cells(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.csv_guard((F.col("c_nationkey") - 12).cast("string")).alias("cell"))
+
+
+@query("""SELECT source AS repo, lang AS language, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id)) AS INT) AS place FROM documents GROUP BY source, lang""")
+def language_histogram(spark, sf_dir):
+    from wardline.operators import intake
+
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("src/x."), "lang").alias("path"), F.col("doc_id").alias("pos"))
+    return intake.language_histogram(d)
+
+
+@query("""SELECT o_orderkey % 50 AS run_id, o_orderkey, 'ev-' || o_orderstatus || '-' || row_number() OVER (PARTITION BY o_orderkey % 50, o_orderstatus ORDER BY o_custkey, o_orderkey) AS id FROM orders""")
+def evidence_ids(spark, sf_dir):
+    from wardline.operators import intake
+
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("run_id"), F.col("o_orderstatus").alias("prefix"), F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line"), F.lit("").alias("summary"), "o_orderkey")
+    return intake.evidence_ids(o).select("run_id", "o_orderkey", "id")
+
+
+@query(r"""SELECT doc_id, CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT) AS tokens, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) AS escaped,
+CASE WHEN length(t) > 80 THEN substr(t, 1, 79) || '…' ELSE t END AS line FROM (SELECT *, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')) AS t FROM documents)""")
+def text_forms(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(t).cast("bigint").alias("tokens"), F.sha2(text.html_escape(t), 256).alias("escaped"), text.one_line(t, 80).alias("line"))
+
+
+@query("""SELECT l_orderkey AS threat_id FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'R')""")
+def gap_only_findings(spark, sf_dir):
+    from wardline.operators import labels
+
+    c = citations(spark, sf_dir).select("threat_id", F.concat_ws(":", "threat_id", "pos", "file", "line", "kind").alias("id"), "rule_id")
+    t = c.groupBy("threat_id").agg(F.collect_set("id").alias("evidence_ids"))
+    return labels.gap_only(t, c.select("id", "rule_id").distinct()).select(F.col("threat_id").cast("bigint").alias("threat_id"))
+
+
+@query("""SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS repo, 'site/' || page_id || '.html' AS file, CAST(len(string_split(split_part(lower(html), '<script', 1), chr(10))) AS INT) AS line, 0.7::DOUBLE AS certainty
+FROM pages WHERE regexp_matches(html, '(?i)<script\\b') AND NOT regexp_matches(html, '(?i)<meta[^>]+content-security-policy')""")
+def page_header_gaps(spark, sf_dir):
+    """Each host as a repository of static pages."""
+    from wardline.operators import rules
+
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("repo"), F.format_string("site/%d.html", "page_id").alias("path"), F.col("html").alias("content"))
+    none = spark.createDataFrame([], "repo string, category string, dev boolean")
+    return rules.page_headers_missing(p, none).select("repo", "file", "line", "certainty")
+
+
+@query("""WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark), n AS (SELECT item_id, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY ALL), t AS (SELECT item_id, sum(k) AS t FROM n GROUP BY 1)
+SELECT item_id, round(-sum(k / t::DOUBLE * log2(k / t::DOUBLE)), 6) AS bits FROM n JOIN t USING (item_id) GROUP BY 1""")
+def entropy_bits(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.round(guards.entropy(F.col("text")), 6).alias("bits"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS threat_id, l_partkey % 20 AS c, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey), g AS (SELECT c, count(DISTINCT threat_id) AS n FROM m GROUP BY 1)
+SELECT CAST(c AS VARCHAR) AS unknown_id, CAST(n AS BIGINT) AS n, round(v, 6) AS value FROM (SELECT c, count(*) AS n, max(w) * (1 - avg(cf)) * log2(1 + count(*)) AS v FROM (SELECT DISTINCT c, threat_id, threat_id % 4 + 1 AS w, (threat_id % 100) / 100.0::DOUBLE AS cf FROM m) GROUP BY c)""")
+def question_candidates(spark, sf_dir):
+    """Orders as findings of one run, parts by residue as components, one unknown for each component."""
+    from wardline.operators import model
+
+    li = table(spark, sf_dir, "lineitem")
+    t = li.groupBy(F.col("l_orderkey").alias("threat_id")).agg(F.collect_set((F.col("l_partkey") % 20).cast("string")).alias("component_ids"))
+    t = t.select(F.lit("r").alias("run_id"), "threat_id", (F.col("threat_id") % 4 + 1).alias("weight"), (F.col("threat_id") % 100 / F.lit(100.0)).alias("confidence"), "component_ids", F.array().cast("array<string>").alias("unknown_ids"))
+    u = li.select(F.lit("r").alias("run_id"), (F.col("l_partkey") % 20).cast("string").alias("id")).distinct().withColumn("component_ids", F.array("id"))
+    return model.question_candidates(u, t).select("unknown_id", "n", F.round("value", 6).alias("value"))
