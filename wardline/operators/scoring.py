@@ -13,7 +13,8 @@ def best_per_location(items: DataFrame, key: str = "threat_id") -> DataFrame:
     place are all kept, since two controls missing on one line are two facts."""
     single = F.col("category").eqNullSafe("gap") | F.col("file").isNull() | F.col("line").isNull()
     w = Window.partitionBy(key, F.when(single, F.col("pos")), single, "file", "line").orderBy(F.desc("points"), "pos")
-    return items.withColumn("__n", F.row_number().over(w)).where(single | (F.col("__n") == 1)).drop("__n")
+    # dealt by the finding alone, which serves this window and the sums by finding that follow: one shuffle, not two
+    return items.repartition(key).withColumn("__n", F.row_number().over(w)).where(single | (F.col("__n") == 1)).drop("__n")
 
 
 def confidence(threats: DataFrame, citations: DataFrame) -> DataFrame:
