@@ -74,9 +74,11 @@ class Transducer:
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.configs: list[tuple] = []  # (path << 20 | last token + 1, tokens held back, ...) of each state
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, int] = {}  # state << 8 | byte -> next state << 20 | place of what is emitted
+        self.outs: list[tuple[int, ...]] = [()]
+        self.out_at: dict[tuple[int, ...], int] = {(): 0}
         self.tail: list[tuple[int, ...]] = []
-        self.same: dict[tuple, tuple] = {}
+        self.same: dict = {}
         self.start = self._state(((ROOT << 20, ()),))
 
     def _state(self, configs: tuple) -> int:
@@ -88,7 +90,7 @@ class Transducer:
             self.tail.append(next((res for key, res in configs if key >> 20 == ROOT), ()))
         return s
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: int, byte: int) -> int:
         new = []
         flat, child, token, inner = self.configs[state], self.child.get, self.token, self.inner
         for i in range(0, len(flat), 2):
@@ -110,31 +112,37 @@ class Transducer:
             while emitted < len(first) and all(len(r) > emitted and r[emitted] == first[emitted] for _, r in new):
                 emitted += 1
             if emitted:
-                out = self.same.setdefault(first[:emitted], first[:emitted])
+                out = first[:emitted]
                 new = [(k, r[emitted:]) for k, r in new]
         new.sort()
         same = self.same.setdefault
-        move = self.moves[state << 8 | byte] = self._state(tuple((k, same(r, r)) for k, r in new)), out
+        place = self.out_at.get(out)
+        if place is None:
+            place = self.out_at[out] = len(self.outs)
+            self.outs.append(out)
+        move = self.moves[state << 8 | byte] = self._state(tuple((same(k, k), same(r, r)) for k, r in new)) << 20 | place
         return move
 
     def encode_piece(self, piece: bytes) -> list[int]:
         direct = self.ranks.get(piece)
         if direct is not None:
             return [direct]
-        if len(self.configs) > self.max_states:
+        if len(self.configs) > self.max_states or len(self.outs) > 900_000:
             self._reset()
-        state, get, out = self.start, self.moves.get, []
+        state, get, outs, out = self.start, self.moves.get, self.outs, []
         for b in piece:
             move = get(state << 8 | b)
             if move is None:
                 move = self._move(state, b)
-                if len(self.configs) > 2 * self.max_states:  # one very long piece
-                    flat = self.configs[move[0]]
+                if len(self.configs) > 2 * self.max_states or len(outs) > 1_000_000:  # one very long piece
+                    flat = self.configs[move >> 20]
+                    out.extend(outs[move & 0xFFFFF])
                     self._reset()
-                    move, get = (self._state(tuple(zip(flat[::2], flat[1::2], strict=True))), move[1]), self.moves.get
-            state, emitted = move
-            if emitted:
-                out.extend(emitted)
+                    get, outs = self.moves.get, self.outs
+                    move = self._state(tuple(zip(flat[::2], flat[1::2], strict=True))) << 20
+            state = move >> 20
+            if move & 0xFFFFF:
+                out.extend(outs[move & 0xFFFFF])
         out.extend(self.tail[state])
         return out
 
@@ -189,7 +197,7 @@ def decode_stream(ids: Iterable[int], table: dict[int, bytes], chunk: int = 4096
 class Codec:
     """Text to ids and back for one rank file and pre-token pattern."""
 
-    def __init__(self, ranks_path: str, pattern: str, max_pieces: int = 200_000):
+    def __init__(self, ranks_path: str, pattern: str, max_pieces: int = 100_000):
         self.ranks = read_ranks(ranks_path)
         self.machine = Transducer(self.ranks)
         self.split = splitter(pattern)
