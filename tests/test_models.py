@@ -114,3 +114,19 @@ def test_sources(spark, tmp_path):
     e = spark.createDataFrame([("t", i, "s" * 1000, "f", 1, 2) for i in range(9)], "threat_id string, pos int, summary string, file string, line_start int, line_end int")
     d = tables.issue_drafts(t, e).first()
     assert len(d.title) == 200 and len(d.body) <= 6000 and d.body.count("\n- ") == 5 and "(f:1-2)" in d.body
+
+
+def test_binding_of_facts(spark):
+    refs = spark.createDataFrame([("ev-1",), ("route-1",), ("a.ts",), ("no",)], "ref string")
+    got = model.resolve_refs(refs, spark.createDataFrame([("ev-1",)], "id string"), spark.createDataFrame([("route-1",)], "route_id string"), spark.createDataFrame([("a.ts",)], "path string"))
+    assert col(got.where("resolved"), "ref") == ["a.ts", "ev-1", "route-1"]
+    f = spark.createDataFrame([("f1", "a", 1, "Route"), ("f2", "a", 1, "Store")], "fact_id string, file string, line int, prefix string")
+    e = spark.createDataFrame([("e2", "a", 1, "Route GET /"), ("e1", "a", 1, "Route POST /")], "id string, file string, line int, summary string")
+    assert col(model.evidence_of_facts(f, e), "fact_id", "evidence_id") == [("f1", "e1"), ("f2", None)]
+    g = spark.createDataFrame([("g1", ["db"], ["e1"], [], "main"), ("g2", ["api"], [], ["x"], "web"), ("g3", ["db"], ["e9"], [], "other")], "group_id string, types array<string>, evidence_ids array<string>, files array<string>, group_name string")
+    c = spark.createDataFrame([("c1", "db", ["e1"], [], "Main"), ("c2", "db", ["e1"], [], "Spare"), ("c3", "api", [], ["x"], "A"), ("c4", "api", [], ["x"], "B"), ("c5", "api", ["e9"], [], "other")], "component_id string, type string, evidence_ids array<string>, files array<string>, name string")
+    assert col(model.bind_facts(g, c), "group_id", "component_id") == [("g1", "c1")]
+    comps = spark.createDataFrame([("c1", ["DB"]), ("c2", ["db", "web"]), ("c3", ["gone"])], "component_id string, service_names array<string>")
+    assert col(model.internal_components(comps, spark.createDataFrame([("db", []), ("web", [80])], "name string, ports array<int>")), "component_id") == ["c1"]
+    t = spark.createDataFrame([("r", "observed", 300), ("r", "inferred", 250), ("s", "observed", 900), ("s", "inferred", 249)], "run_id string, basis string, milli int")
+    assert dict(col(model.fit_for_demo(t), "run_id", "fit")) == {"r": True, "s": False} and model.level_costs(spark).count() == 5

@@ -178,3 +178,51 @@ def limitation_notes(notes: DataFrame, most: int = 5) -> DataFrame:
     """(run_id, code, n, subjects): different subjects of a code in the order first seen, at most ``most`` listed."""
     first = notes.groupBy("run_id", "code", "subject").agg(F.min("pos").alias("pos"))
     return first.groupBy("run_id", "code").agg(F.count("subject").alias("n"), F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("subject").isNotNull(), F.struct("pos", "subject")))), lambda x: x["subject"]), 1, most).alias("subjects"))
+
+
+def resolve_refs(refs: DataFrame, evidence: DataFrame, routes: DataFrame, files: DataFrame) -> DataFrame:
+    """refs (ref) with resolved: an evidence id, a route id or a path. One equi-join with the three together."""
+    known = evidence.select(F.col("id").alias("ref")).unionByName(routes.select(F.col("route_id").alias("ref"))).unionByName(files.select(F.col("path").alias("ref"))).distinct().withColumn("__k", F.lit(True))
+    return refs.join(known, "ref", "left").select(*refs.columns, F.coalesce("__k", F.lit(False)).alias("resolved"))
+
+
+def evidence_of_facts(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """facts (fact_id, file, line, prefix) with the first evidence at their place whose summary begins with the prefix."""
+    hit = facts.join(evidence.select("id", "file", "line", "summary"), ["file", "line"]).where(F.col("summary").startswith(F.col("prefix")))
+    return facts.join(hit.groupBy("fact_id").agg(F.min("id").alias("evidence_id")), "fact_id", "left")
+
+
+def bind_facts(groups: DataFrame, components_: DataFrame) -> DataFrame:
+    """(group_id, component_id) of fact groups (group_id, types, evidence_ids, files) and components (component_id, type,
+    evidence_ids, files) of a compatible type that share evidence or a file, where each has the other alone; a name in
+    common (group_name, name) breaks ties, and what stays ambiguous is left out."""
+    def shared(column: str) -> DataFrame:
+        g = groups.select("group_id", "types", F.explode(column).alias("k"))
+        c = components_.select("component_id", "type", F.explode(column).alias("k"))
+        return g.join(c, "k").where(F.array_contains("types", F.col("type"))).select("group_id", "component_id")
+
+    pairs = shared("evidence_ids").unionByName(shared("files")).distinct()
+    named = pairs.join(groups.select("group_id", "group_name"), "group_id").join(components_.select("component_id", "name"), "component_id").withColumn("same", F.lower("group_name") == F.lower("name"))
+    by_group, by_component = Window.partitionBy("group_id"), Window.partitionBy("component_id")
+    best = named.withColumn("__any", F.bool_or("same").over(by_group)).where(~F.coalesce("__any", F.lit(False)) | F.col("same"))
+    alone = best.withColumns({"__a": F.count("*").over(by_group), "__b": F.count("*").over(by_component)})
+    return alone.where("__a = 1 and __b = 1").select("group_id", "component_id")
+
+
+def internal_components(components_: DataFrame, services: DataFrame) -> DataFrame:
+    """Components (component_id, service_names) whose every named compose service is known and publishes no port."""
+    each = components_.select("component_id", F.explode("service_names").alias("s")).withColumn("s", F.lower("s"))
+    known = services.select(F.lower("name").alias("s"), F.size("ports").alias("__n"))
+    ok = each.join(known, "s", "left").groupBy("component_id").agg(F.bool_and(F.coalesce(F.col("__n") == 0, F.lit(False))).alias("ok")).where("ok")
+    return components_.join(ok.select("component_id"), "component_id", "left_semi")
+
+
+def fit_for_demo(threats: DataFrame) -> DataFrame:
+    """(run_id, fit): a run with a visible finding of each basis."""
+    n = lambda b: F.count(F.when((F.col("basis") == b) & (F.col("milli") >= 250), 1))
+    return threats.groupBy("run_id").agg(((n("observed") > 0) & (n("inferred") > 0)).alias("fit"))
+
+
+def level_costs(spark) -> DataFrame:
+    """Estimated dollars of a run by level; fixed values."""
+    return spark.createDataFrame([(0, 0.3, 0.6), (1, 1.0, 1.5), (2, 3.0, 4.0), (3, 3.5, 5.0), (4, 4.0, 6.0)], "level int, low double, high double")
