@@ -30,19 +30,25 @@ SHARD = 40_000
 LEAF = 384
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Bits set in more than half of the XXH64 of the word shingles; no words: zero. Unsigned."""
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    """XXH64 of each run of width words, or of all words where there are fewer; no words: none. Unsigned."""
     words = text.lower().split()
     if not words:
-        return 0
+        return []
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-width])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-width])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Bits set in more than half of the XXH64 of the word shingles; no words: zero. Unsigned."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     n, total = len(hashes), np.zeros(64, np.int64)
     packed = np.array(hashes, np.uint64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
