@@ -3,7 +3,8 @@
 Every three consecutive lines of a text are a window (one without a word is none), known by two 64-bit
 hashes. A window that occurs more than once anywhere keeps its first occurrence, by id, then position; all
 others are later ones, and the lines that later occurrences cover are removed, merged over windows. Lines of
-the first occurrence that a later one overlaps in the same text stay. Only hashes and positions are grouped;
+the first occurrence that a later one overlaps in the same text stay. With
+``short`` a text of fewer lines is one shorter window of all its lines. Only hashes and positions are grouped;
 counts combine before the shuffle, and the join of a frequent window can be split by adaptive execution.
 """
 
@@ -19,9 +20,9 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def covered_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, text_hash, covered): the 0-based lines to remove, for texts that have any."""
-    d = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), _lines(F.col(text_column)).alias("lines")).where(F.size("lines") >= WIDTH)
+def covered_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", short: bool = False) -> DataFrame:
+    """(id, text_hash, covered): the 0-based lines to remove, for texts that have any; of a short text also positions past its end."""
+    d = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), _lines(F.col(text_column)).alias("lines")).where(F.size("lines") >= (1 if short else WIDTH))
     d = d.select(
         "id", "text_hash",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("a"),
@@ -30,7 +31,7 @@ def covered_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     at = lambda c, i, k: F.get(c, i + k)
     windows = F.transform(
-        F.slice("a", F.lit(1), F.size("a") - (WIDTH - 1)),
+        F.slice("a", F.lit(1), F.greatest(F.size("a") - (WIDTH - 1), F.lit(1))),
         lambda x, i: F.struct(
             i.alias("pos"), F.xxhash64(x, at("a", i, 1), at("a", i, 2)).alias("h1"), F.xxhash64(at("b", i, 0), at("b", i, 1), at("b", i, 2)).alias("h2"),
             (at("spoken", i, 0) | at("spoken", i, 1) | at("spoken", i, 2)).alias("spoken"),
@@ -46,17 +47,19 @@ def covered_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return later.select("id", "text_hash", F.explode(cover).alias("p")).groupBy("id", "text_hash").agg(F.collect_set("p").alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", short: bool = False) -> DataFrame:
     """docs with the text left and two columns more, __n_lines and __n_removed.
 
     Rows with the same id and text are one text: they keep and lose the same lines. Rows without an id come
     last in the order of first occurrences. Null text stays null and empty text empty, with one line. A text
     whose lines are all removed becomes empty. Other columns pass through.
     """
-    cover = covered_lines(docs, id_column, text_column).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"))
+    cover = covered_lines(docs, id_column, text_column, short).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"))
     d = docs.withColumn("__own", F.xxhash64(text_column))
     d = d.join(cover.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     d = d.withColumn("__lines", _lines(F.col(text_column)))
+    if short:
+        d = d.withColumn("__covered", F.filter("__covered", lambda p: p < F.size("__lines")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered"))
     left = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
     out = {

@@ -44,12 +44,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+def op6_line_dedup(spark: SparkSession, sf_dir: str, short: bool = False) -> DataFrame:
+    """Texts of one or two lines have no window and stay; op6_line_dedup_short takes them too."""
+    left = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), short=short)
     text = F.coalesce("text", F.lit(""))
     return left.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.length(text).cast("bigint").alias("n_chars_left"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
+def op6_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_line_dedup(spark, sf_dir, short=True)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")], "conv_id bigint, turn bigint, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -98,6 +103,11 @@ WITH t AS (
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(text) AS BIGINT) AS n_chars_left, sha256(text) AS text_sha256 FROM r
 """
 
+#: The same with a text of fewer than three lines as one window.
+OP6_SHORT_SQL = OP6_SQL.replace("range(1, len(lines) - 1)) AS i FROM t WHERE len(lines) >= 3", "range(1, greatest(len(lines) - 1, 2))) AS i FROM t").replace(
+    "ELSE [pos, pos + 1, pos + 2] END", "ELSE list_slice([pos, pos + 1, pos + 2], 1, len(win)) END"
+)
+
 
 def _op8_sql() -> str:
     """Built from the operator's own word lists and limits."""
@@ -155,4 +165,4 @@ FROM d
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op6_line_dedup": OP6_SQL, "op8_quality": _op8_sql()}
+    return {"op6_line_dedup": OP6_SQL, "op6_line_dedup_short": OP6_SHORT_SQL, "op8_quality": _op8_sql()}
