@@ -194,6 +194,16 @@ def decode_stream(ids: Iterable[int], table: dict[int, bytes], chunk: int = 4096
     yield machine.feed(b"".join(held)) + machine.end()
 
 
+def digest_stream(ids: Iterable[int], table: dict[int, bytes], chunk: int = 4096, parts: list[str] | None = None) -> str:
+    """SHA-256 of the decoded text in UTF-8, fed chunk by chunk; parts, where given, takes the chunks."""
+    digest = hashlib.sha256()
+    for part in decode_stream(ids, table, chunk):
+        digest.update(part.encode("utf-8"))
+        if parts is not None:
+            parts.append(part)
+    return digest.hexdigest()
+
+
 class Codec:
     """Text to ids and back for one rank file and pre-token pattern."""
 
@@ -240,13 +250,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
             for raw in byte_column(batch, text_column):
                 packed = c.encode_packed(raw.decode("utf-8", "replace"))
                 ids_of = memoryview(packed).cast("I").tolist() if packed else []
-                decoded = c.decode_bytes(ids_of)
+                parts: list[str] | None = [] if ids else None
                 out[0].append(len(ids_of))
                 out[1].append(hashlib.sha256(packed).hexdigest())
-                out[2].append(hashlib.sha256(decoded).hexdigest())
+                out[2].append(digest_stream(ids_of, c.table, parts=parts))
                 if ids:
                     out[3].append(ids_of)
-                    out[4].append("".join(decode_stream(ids_of, c.table)))
+                    out[4].append("".join(parts))
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
