@@ -1,8 +1,8 @@
 """Benchmark passages in texts: q-gram lemma filtering over diagonal bands, verified by banded alignment.
 
 Texts and items are folded: letters and digits in lower case, every run of other characters one space. An
-item is cut into probes of at most PROBE characters that overlap by half, so a part of a long item counts
-too. A probe of m characters with at most k = EDITS * m edits shares at least m - q + 1 - k q of its q-grams
+item is cut into probes of at most PROBE characters that begin every STRIDE characters, so a part of a long
+item counts too: an exact part of SHORTEST folded characters is found wherever it lies in the item. A probe of m characters with at most k = EDITS * m edits shares at least m - q + 1 - k q of its q-grams
 with the text, all on diagonals (text place - probe place) that differ by at most k. Bands of 2 (k + 1)
 diagonals that overlap by half therefore hold all of them in one band. Bands with as many shared q-grams are
 aligned within the band, ends free in the text, and kept when the distance is at most k.
@@ -23,6 +23,9 @@ from .common import materialize, sliced
 Q = 9
 EDITS = 0.08
 PROBE = 160
+STRIDE = 20
+#: A part as long holds all but the edits' characters of some probe, at one end or the other.
+SHORTEST = PROBE - 2 * int(EDITS * PROBE) + STRIDE - 1
 #: Folded characters of items whose q-grams are held and broadcast at once; a larger benchmark takes more passes.
 BLOCK = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -84,29 +87,36 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items: list[int] = []
-        self.probes: list[np.ndarray] = []
-        self.offsets: list[int] = []
+        self.texts: list[np.ndarray] = []
         self.short: list[tuple[int, np.ndarray]] = []  # below q characters: found as whole words
+        owner, offsets, sizes = [], [], []
+        flat, first, many, inner = [], [], [], []  # of each q-gram of an item: the probes that hold it, its place
         for item, text in items:
             points = _trim(fold(text))
             if len(points) < Q:
                 if len(points):
                     self.short.append((item, points))
                 continue
-            step, last = PROBE // 2, max(0, len(points) - PROBE)
-            for at in sorted({*range(0, last + 1, step), last}):
-                self.items.append(item)
-                self.offsets.append(at)
-                self.probes.append(points[at : at + PROBE])
-        sizes = np.array([len(p) for p in self.probes], np.int64)
-        self.budget = np.minimum((EDITS * sizes).astype(np.int64), (sizes - Q) // Q) if len(sizes) else sizes
-        self.least = sizes - Q + 1 - self.budget * Q
-        grams = [qgrams(p) for p in self.probes]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            last = max(0, len(points) - PROBE)
+            at = np.array(sorted({*range(0, last + 1, STRIDE), last}), np.int64)
+            grams = qgrams(points)
+            place = np.arange(len(grams))
+            low = np.searchsorted(at + min(PROBE, len(points)) - Q, place)
+            flat.append(grams)
+            inner.append(place)
+            first.append(low + len(self.items))
+            many.append(np.searchsorted(at, place, "right") - low)
+            owner += [len(self.texts)] * len(at)
+            offsets += at.tolist()
+            sizes += [min(PROBE, len(points))] * len(at)
+            self.items += [item] * len(at)
+            self.texts.append(points)
+        self.owner, self.offsets, self.sizes = (np.array(x, np.int64) for x in (owner, offsets, sizes))
+        self.budget = np.minimum((EDITS * self.sizes).astype(np.int64), (self.sizes - Q) // Q)
+        self.least = self.sizes - Q + 1 - self.budget * Q
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        probe = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.probe, self.place = probe[order].astype(np.int32), place[order].astype(np.int32)
+        self.first, self.many, self.place = (np.concatenate(x)[order].astype(np.int32) if x else np.zeros(0, np.int32) for x in (first, many, inner))
         self.grams, self.starts = np.unique(flat[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(flat))
         bits = max(12, int(16 * max(len(self.grams), 1)).bit_length())
@@ -114,11 +124,15 @@ class Index:
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[self._slot(self.grams)] = True
 
+    def probe(self, number: int) -> np.ndarray:
+        at = self.offsets[number]
+        return self.texts[self.owner[number]][at : at + self.sizes[number]]
+
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return (grams * MULTIPLIER) >> self.shift
 
     def hits(self, points: np.ndarray, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text place, probe, probe place) of every shared q-gram."""
+        """(text place, probe, probe place) of every q-gram shared with a probe."""
         g = qgrams(points)
         at = np.nonzero(self.maybe[self._slot(g)])[0]
         if not len(at) or not len(self.grams):
@@ -127,10 +141,15 @@ class Index:
         real = self.grams[where] == g[at]
         at, where = at[real], where[real]
         counts = self.ends[where] - self.starts[where]
-        total = int(counts.sum())
-        inside = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        post = np.repeat(self.starts[where], counts) + inside
-        return np.repeat(at, counts) + base, self.probe[post].astype(np.int64), self.place[post].astype(np.int64)
+        post = np.repeat(self.starts[where], counts) + _inside(counts)
+        many = self.many[post].astype(np.int64)
+        probe = np.repeat(self.first[post].astype(np.int64), many) + _inside(many)
+        return np.repeat(np.repeat(at, counts), many) + base, probe, np.repeat(self.place[post], many) - self.offsets[probe]
+
+
+def _inside(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... below each count, one run after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _trim(points: np.ndarray) -> np.ndarray:
@@ -183,7 +202,7 @@ def find(text: str, index: Index) -> list[tuple[int, int, int, int, int]]:
         enough = keys[counts >= index.least[keys >> 40]]
         candidates.update(zip((enough >> 40).tolist(), ((enough & ((1 << 40) - 1)) - (1 << 20)).tolist(), strict=True))
     for probe, band in sorted(candidates):
-        wanted, k = index.probes[probe], int(index.budget[probe])
+        wanted, k = index.probe(probe), int(index.budget[probe])
         low = band * (k + 1)
         skip = max(0, -low)
         region = points[max(0, low) : low + 2 * (k + 1) + len(wanted) + k]
