@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -147,40 +148,63 @@ class Transducer:
         return out
 
 
+#: Bytes that may come next in each state of the UTF-8 machine, and the state after them (fixed values of Unicode table 3-7).
+#: 0 is between code points; 1, 2 and 3 want as many continuation bytes; 4 to 7 follow E0, ED, F0 and F4.
+STEPS = {
+    0: [(0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)],
+    1: [(0x80, 0xBF, 0)], 2: [(0x80, 0xBF, 1)], 3: [(0x80, 0xBF, 2)],
+    4: [(0xA0, 0xBF, 1)], 5: [(0x80, 0x9F, 1)], 6: [(0x90, 0xBF, 2)], 7: [(0x80, 0x8F, 2)],
+}
+BROKEN = 8
+MOVES = bytes(next((to for lo, hi, to in STEPS[state] if lo <= b <= hi), BROKEN) for state in range(8) for b in range(256))
+#: The bits of a lead byte that belong to the code point, by the state after it.
+LEAD_BITS = bytes((0x7F, 0x1F, 0x0F, 0x07, 0x0F, 0x0F, 0x07, 0x07))
+_runs = re.compile(rb"[\x00-\x7f]+|[\x80-\xff]+").findall
+
+
 class Utf8Machine:
-    """Passes on whole code points and keeps an unfinished one for the next chunk.
+    """Turns bytes into code points one byte at a time; an unfinished code point waits for the next chunk.
 
-    State: bytes still wanted and the bounds of the next one (Unicode table 3-7). A byte that breaks a
-    sequence yields U+FFFD for the maximal prefix and is read again, as strict decoders with replacement do.
+    A byte that breaks a sequence yields U+FFFD for the prefix read so far and is read again between code points,
+    as strict decoders with replacement do. ASCII bytes between code points leave the state as it is, so a run of
+    them passes at once.
     """
 
     def __init__(self):
-        self.held = b""
-
-    @staticmethod
-    def wanted(lead: int) -> int:
-        return 0 if lead < 0x80 else 1 if 0xC2 <= lead <= 0xDF else 2 if 0xE0 <= lead <= 0xEF else 3 if 0xF0 <= lead <= 0xF4 else 0
-
-    @staticmethod
-    def bounds(lead: int, k: int) -> tuple[int, int]:
-        """Of the k-th continuation byte."""
-        return (0x80, 0xBF) if k else {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(lead, (0x80, 0xBF))
+        self.state = self.point = 0
 
     def feed(self, chunk: bytes) -> str:
-        data = self.held + chunk
-        cut = len(data)
-        for back in range(1, min(3, cut) + 1):  # only the last three bytes can begin an unfinished code point
-            lead = data[cut - back]
-            if lead & 0xC0 != 0x80:
-                if self.wanted(lead) >= back and all(lo <= b <= hi for k, b in enumerate(data[cut - back + 1 :]) for lo, hi in [self.bounds(lead, k)]):
-                    cut -= back
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        if not self.state and chunk.isascii():
+            return str(chunk, "ascii")
+        out: list[str] = []
+        state, point = self.state, self.point
+        for run in _runs(chunk):
+            if run[0] < 0x80:
+                if state:
+                    out.append("\ufffd")
+                    state = 0
+                out.append(str(run, "ascii"))
+                continue
+            for b in run:
+                to = MOVES[state << 8 | b]
+                if to == BROKEN:
+                    out.append("\ufffd")
+                    if not state:
+                        continue
+                    state, to = 0, MOVES[b]
+                    if to == BROKEN:
+                        out.append("\ufffd")
+                        continue
+                point = point << 6 | b & 0x3F if state else b & LEAD_BITS[to]
+                state = to
+                if not state:
+                    out.append(chr(point))
+        self.state, self.point = state, point
+        return "".join(out)
 
     def end(self) -> str:
-        held, self.held = self.held, b""
-        return held.decode("utf-8", "replace")
+        unfinished, self.state = self.state, 0
+        return "\ufffd" if unfinished else ""
 
 
 def decode_stream(ids: Iterable[int], table: dict[int, bytes], chunk: int = 4096) -> Iterator[str]:
