@@ -1,11 +1,14 @@
 import hashlib
+import random
 import struct
+import unicodedata
 
 import public_tokenizers as P
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from wardline.llm import bpe, token_counts
 from wardline.llm.pretokens import Memo
@@ -62,18 +65,55 @@ def test_bpe_documents(spark, library):
     assert bpe.encode_documents(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_utf8_machine_on_every_cut_and_on_broken_bytes():
+    r = random.Random(5)
+    lead = [0x41, 0x7F, 0x80, 0xBF, 0xC1, 0xC2, 0xDF, 0xE0, 0xA0, 0x9F, 0xED, 0xEF, 0xF0, 0x90, 0x8F, 0xF4, 0xF5, 0xFF]
+    samples = ["aé中😀b\ud7ffz".encode("utf-8", "surrogatepass"), *(bytes(r.choice(lead) for _ in range(r.randint(0, 9))) for _ in range(1500))]
+    for data in samples:
+        for cut in range(len(data) + 1):
+            m = bpe.Utf8Machine()
+            assert m.feed(data[:cut]) + m.feed(data[cut:]) + m.end() == data.decode("utf-8", "replace"), (data, cut)
+
+
+@pytest.fixture(scope="module")
+def words():
+    return Tokenizer.from_file(WORDS)
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=TEXTS)
-def test_counts_are_what_the_library_says(text):
+def test_counts_are_what_the_library_says(words, text):
+    assert token_counts.counter(WORDS).count(text) == len(words.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(max_size=40))
+def test_counts_of_any_text(words, text):
+    assert token_counts.counter(WORDS).count(text) == len(words.encode(text, add_special_tokens=False).ids)
+
+
+def test_counts_special_strings_and_long_words(words):
     c = token_counts.counter(WORDS)
-    assert c.count(text) == len(c.library.encode(text, add_special_tokens=False).ids)
+    odd = ["<|startoftext|> a<|endoftext|>", "<|startoftext|><|startoftext|>", "<|START", "ΑΣ ΑΣΑ Σ", "ÅÅ Å", "한국어 \u1112\u1161\u11ab", "— “quoted” … 漢字かな", "x" * 5000, "ab" * 4000, "漢字" * 3000, "a\u0301" * 900]
+    for text in odd:
+        assert c.count(text) == len(words.encode(text, add_special_tokens=False).ids), text[:40]
+    assert all(len(words.model.tokenize("".join(c.letters[b] for b in s.encode()))) == 1 for s in c.single)
 
 
-def test_counts_special_strings_and_latin():
+def test_counts_of_every_code_point(words):
     c = token_counts.counter(WORDS)
-    for text in ["<|startoftext|> a<|endoftext|>", *(f"a{chr(i)}b {chr(i)}" for i in range(0x20, 0x250))]:
-        assert c.count(text) == len(c.library.encode(text, add_special_tokens=False).ids), text
-    assert all(len(c.model.tokenize("".join(c.letters[b] for b in s.encode()))) == 1 for s in c.single)
+    known = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) != "Cs"]
+    texts = [f"{x} a{x}b\u0301" for x in known if x < "\U0001ffff" and not "\uac00" < x < "\ud7a3"]
+    texts += [" ".join(known[at : at + 40]) for at in range(0, len(known), 40)]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        for text, found in zip(part, words.encode_batch(part, add_special_tokens=False), strict=True):
+            assert c.count(text) == len(found.ids), [hex(ord(x)) for x in text]
+
+
+def test_merges_in_rank_order_and_leftmost():
+    ranks = {("a", "a"): 0, ("aa", "a"): 1, ("b", "a"): 2}
+    assert token_counts.merged(list("aaaba"), ranks) == ["aaa", "ba"] and token_counts.merged([], ranks) == []
 
 
 def test_count_documents(spark):
