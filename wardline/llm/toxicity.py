@@ -2,7 +2,7 @@
 
 Fit: the numbers of toxic and of clean training texts with a token give log-odds with an informative
 Dirichlet prior (the prior follows the pooled counts) and their z-scores; tokens that lean toxic beyond
-Z_LEAST are candidates, at most LEXICON. Texts count no more than the different tokens that a candidate
+Z_LEAST are candidates, all of them. Texts count no more than the different tokens that a candidate
 follows, or a group of near copies would pass for independent evidence; what still leans beyond Z_LEAST
 forms the lexicon. All other tokens score -DRIFT. lambda solves the moment equation
 sum p_i exp(lambda s_i) = 1 under the clean token distribution, and K is taken from the rate of segments
@@ -28,7 +28,6 @@ from .common import byte_column, materialize, sliced
 
 #: Labelled rows of each class used for fitting, those with the smallest hash of the id: the documented bound.
 ROWS_PER_CLASS = 20_000
-LEXICON = 20_000
 Z_LEAST = 3.5
 DRIFT = 0.15
 #: Weight of the prior: pseudo-tokens for each token counted, spread as the pooled counts are.
@@ -153,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         scored = counts.withColumn("delta", log_odds("toxic", n_t) - log_odds("clean", n_c)).withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
         return scored.where(F.col("z") >= Z_LEAST)
 
-    candidates = {bytes(r.word): (r.toxic, r.clean) for r in leaning(words).orderBy(F.desc("z"), "word").limit(LEXICON).collect()} if n_t and n_c else {}
+    # drawn from at most 2 * rows texts, whatever the corpus: a candidate takes several toxic ones
+    candidates = {bytes(r.word): (r.toxic, r.clean) for r in leaning(words).collect()} if n_t and n_c else {}
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[bytes, bytes, int]] = set()
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], ["word", "before", "y"])
 
     follows = train.mapInArrow(contexts, "word binary, before binary, y int").distinct().groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")) if candidates else None
-    capped = [(w, min(candidates[w][0], r.toxic), min(candidates[w][1], r.clean)) for r in (follows.collect() if candidates else []) for w in [bytes(r.word)]]  # LEXICON rows at most
+    capped = [(w, min(candidates[w][0], r.toxic), min(candidates[w][1], r.clean)) for r in (follows.collect() if candidates else []) for w in [bytes(r.word)]]
     lexicon = leaning(docs.sparkSession.createDataFrame(capped, "word binary, toxic bigint, clean bigint")).collect() if capped else []
     if not lexicon:  # one class or none: nothing to tell apart
         return Model({}, DRIFT, 1.0, 1.0, (-20.0, 0.0))
