@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from wardline.llm import decontaminate as D
 
@@ -97,3 +98,16 @@ def test_documents(spark, monkeypatch):
         assert sorted(r.doc_id for r in D.clean_documents(docs, bench).collect()) == [2, 3, 4]
     assert D.contamination(docs, bench.limit(0)).count() == 0 and D.contamination(docs.limit(0), bench).count() == 0
     assert D.clean_documents(docs, bench.limit(0)).count() == len(rows)
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "smallint", "decimal(20,0)"])
+def test_ids_of_any_type_and_null_items(spark, kind):
+    a, b = words(30), words(25)
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"{b} and {a}"), (3, None)], "doc_id bigint, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    bench = spark.createDataFrame([(None, a), (7, b), (7, b), (8, a)], "item_id bigint, text string").selectExpr(f"cast(item_id as {kind}) item_id", "text")
+    found = D.contamination(docs, bench)
+    assert [found.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")] == [kind] * 2
+    number = lambda x: x if x is None else int(x)
+    assert sorted(((number(r.doc_id), number(r.item_id)) for r in found.collect()), key=repr) == sorted([(1, 8), (1, None), (2, 7), (2, 8), (2, None)], key=repr)
+    renamed = bench.withColumnsRenamed({"item_id": "own", "text": "passage"})
+    assert [number(r.doc_id) for r in D.clean_documents(docs, renamed, item_column="own", item_text="passage").collect()] == [3]

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize, sliced
 
@@ -218,7 +219,7 @@ def find(text: str, index: Index) -> list[tuple[int, int, int, int, int]]:
     if not found:
         return []
     at = places(text)
-    return [(item, min(m[0] for m in ms), len({m[3] for m in ms}), int(at[min(m[1] for m in ms)]), int(at[min(max(m[2] for m in ms), len(at)) - 1]) + 1) for item, ms in sorted(found.items())]
+    return [(item, min(m[0] for m in ms), len({m[3] for m in ms}), int(at[min(m[1] for m in ms)]), int(at[min(max(m[2] for m in ms), len(at)) - 1]) + 1) for item, ms in sorted(found.items(), key=lambda x: (x[0] is None, x[0]))]
 
 
 def _exact(probe: np.ndarray, region: np.ndarray) -> int:
@@ -254,22 +255,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     """(id, item_id, edits, probes, start, end): one row for each text and item found in it; start and end are
     code point places in the text.
 
-    Null and empty texts and items hold nothing. Repeated rows are searched one by one. The benchmark is a
-    query set: blocks of it of a bounded size go to all tasks, each in one pass over the texts without a shuffle.
+    Null and empty texts and items hold nothing; an empty table of either kind finds nothing. Ids of both kinds may be
+    of any type and null; a null item id is returned as null, and items that share an id are one. Repeated rows are
+    searched one by one. The benchmark is a query set: blocks of it of a bounded size go to all tasks, each in one
+    pass over the texts without a shuffle. The index of a full block takes some 120 MB, which is what is broadcast.
     """
     kinds = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
     schema = f"{id_column} {kinds[0]}, {item_column} {kinds[1]}, edits int, probes int, start bigint, end bigint"
 
+    item_kind = to_arrow_type(benchmark.schema[item_column].dataType)
+
     def search(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            types = None
+            index = shared.value
             for batch in sliced(batches, text_column):
                 types = batch.schema.field(0).type
                 rows = [(i, *m) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for m in find(text, index)]
                 if rows:
-                    item_type = pa.from_numpy_dtype(np.array([rows[0][1]]).dtype) if not isinstance(rows[0][1], str) else pa.string()
                     columns = list(zip(*rows, strict=True))
-                    kinds_of = [types, item_type, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                    kinds_of = [types, item_kind, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], [id_column, item_column, "edits", "probes", "start", "end"])
 
         return docs.select(id_column, text_column).mapInArrow(run, schema)
@@ -285,14 +291,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     return waiting if out is None else out.unionByName(waiting)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs without a benchmark passage, with all their columns; the verdict is made row by row, so
-    repeated ids and rows without an id are judged by their own texts. Several blocks mean several filters."""
+    repeated ids and rows without an id are judged by their own texts. Null and empty texts stay, and an empty
+    benchmark leaves all rows. Several blocks mean several filters."""
     out = docs
-    for block in _blocks(benchmark, "item_id", "text"):
-        index = Index(block)
+    for block in _blocks(benchmark, item_column, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
 
-        def clean(texts: pa.Array, index: Index = index) -> pa.Array:
+        def clean(texts: pa.Array, shared=shared) -> pa.Array:
+            index = shared.value
             found = [bool(t) and bool(find(t, index)) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
             return pa.array([not x for x in found], pa.bool_())
 
