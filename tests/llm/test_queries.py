@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import struct
 import zlib
 from collections import Counter
@@ -13,6 +14,7 @@ import pytest
 
 from wardline.llm import queries
 
+from .test_ppm import code_length, trie_of
 from .test_simhash import naive_components, naive_fingerprint
 
 DATA = Path("/root/testdata/sf0.001")
@@ -69,10 +71,16 @@ def test_toxicity_and_scores(spark, docs, con):
     for w in train:
         words.update(w)
     total = sum(words.values()) + len(train)
+    low = {i: d.encode().lower() for i, d in docs.items()}
+    model = trie_of([low[i] for i in docs if zlib.crc32(str(i).encode()) % 7 != 2])
+    base = {w: math.log10((n + 1) / (total + len(words) + 2)) for w, n in words.items()}
     for r in run(spark, "op4_lm_score"):
         own = docs[r.doc_id].encode().lower().split()
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.train_tokens == total
-        assert (r.n_tokens, r.n_known) == (len(own) + 1, sum(w in words for w in own) + 1) and r.score < 0
+        assert (r.n_tokens, r.n_known) == (len(own) + 1, sum(w in words for w in own) + 1)
+        assert r.base_score == pytest.approx(math.fsum(base.get(w, math.log10(1 / (total + len(words) + 2))) for w in own) + math.log10((len(train) + 1) / (total + len(words) + 2)), rel=1e-9)
+        if r.doc_id % 3 == 0 or len(own) < 30:
+            assert r.score == pytest.approx(code_length(model, low[r.doc_id]), rel=1e-9)
 
 
 def test_components(spark, docs):
