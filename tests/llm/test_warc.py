@@ -65,3 +65,33 @@ def test_pages(spark, monkeypatch, least):
         want.append((i, len(body), warc.payload_digest(body), "revisit" if again else "response", last if again else None))
     assert got == sorted(want, key=repr)
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_streamed_members_are_read_by_others_and_by_us():
+    for zip64 in (True, False):
+        out = io.BytesIO()
+        z = warc.ZipWriter(out, zip64)
+        z.open("a.txt")
+        for part in (b"hello", b"", b" there"):
+            z.write(part)
+        z.end()
+        z.add("b", b"more")
+        z.close()
+        with zipfile.ZipFile(io.BytesIO(out.getvalue())) as other:
+            assert other.testzip() is None and other.read("a.txt") == b"hello there" and other.read("b") == b"more"
+        r = reader(out.getvalue())
+        assert r.range("a.txt", 2, 7) == b"llo the" and r.range("b", 0, 4) == b"more"
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "smallint"])
+def test_ids_of_other_types(spark, kind):
+    rows = [(1, "u", "same"), (2, "u", "same"), (10, "u", "same"), (None, "u", "same"), (3, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr(f"cast(page_id as {kind}) page_id", "url", "html")
+    if kind == "string":
+        df = df.unionByName(spark.createDataFrame([("None", "u", "x"), ("a/b é:", "u", "x")], df.schema))
+    got = warc.round_trip(df)
+    assert got.schema["page_id"].dataType.simpleString() == got.schema["refers_to"].dataType.simpleString() == kind
+    last = "2" if kind == "string" else 10
+    own = str if kind == "string" else int
+    want = [(own(i), None if own(i) == last else last) for i in (1, 2, 10)] + [(None, None), (own(3), None)] + ([("None", "a/b é:"), ("a/b é:", None)] if kind == "string" else [])
+    assert sorted(((r.page_id, r.refers_to) for r in got.collect()), key=repr) == sorted(want, key=repr)

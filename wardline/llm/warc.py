@@ -1,6 +1,6 @@
 """WARC records in ZIP packages: written, indexed, and read by byte ranges without extraction.
 
-A package is a ZIP of stored (uncompressed) members: archive/data.warc.gz, one gzip member for each record,
+A package is a ZIP of stored (uncompressed) members, streamed in one pass: archive/data.warc.gz, one gzip member for each record,
 and indexes/index.cdxj, one line for each record with its offset and length. The reader parses the end of
 the central directory, the ZIP64 records where present, the central directory and the local headers, then
 reads only the ranges it needs. Packages lie in the shared folder, reached through its file system, so the
@@ -12,29 +12,31 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType, StringType
 
 from .common import byte_column, materialize, new_path, sliced
 
-#: Bytes of records after which a package is closed.
-PACKAGE = 16 << 20
+#: Bytes of records after which a package is closed. Records are streamed, so a package's size is not held in memory.
+PACKAGE = 512 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 # ZIP records, by their signatures (fixed values of the format)
-LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
+LOCAL, DESCRIPTOR, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x07\x08", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 
 
@@ -62,15 +64,33 @@ class ZipWriter:
         size = FULL32 if big else len(data)
         self._write(struct.pack("<4sHHHHHIIIHH", LOCAL, 45 if big else 20, 0x800, 0, 0, 33, crc, size, size, len(raw), len(extra)) + raw + extra)
         self._write(data)
-        self.entries.append((raw, crc, len(data), start))
+        self.entries.append([raw, crc, len(data), start, 0x800])
+
+    def open(self, name: str) -> None:
+        """Begins a member whose size is not known yet: it follows the data, in a descriptor."""
+        raw = name.encode()
+        extra = struct.pack("<HHQQ", 1, 16, 0, 0) if self.zip64 else b""
+        size = FULL32 if self.zip64 else 0
+        self.entries.append([raw, 0, 0, self.at, 0x808])
+        self._write(struct.pack("<4sHHHHHIIIHH", LOCAL, 45 if self.zip64 else 20, 0x808, 0, 0, 33, 0, size, size, len(raw), len(extra)) + raw + extra)
+
+    def write(self, data: bytes) -> None:
+        """More of the member opened last."""
+        entry = self.entries[-1]
+        entry[1], entry[2] = zlib.crc32(data, entry[1]), entry[2] + len(data)
+        self._write(data)
+
+    def end(self) -> None:
+        _, crc, size, *_ = self.entries[-1]
+        self._write(struct.pack("<4sIQQ" if self.zip64 else "<4sIII", DESCRIPTOR, crc, size, size))
 
     def close(self) -> None:
         start = self.at
-        for raw, crc, size, offset in self.entries:
+        for raw, crc, size, offset, flags in self.entries:
             big = self.zip64 or size >= FULL32 or offset >= FULL32
             extra = struct.pack("<HHQQQ", 1, 24, size, size, offset) if big else b""
             s, o = (FULL32, FULL32) if big else (size, offset)
-            self._write(struct.pack("<4sHHHHHHIIIHHHHHII", CENTRAL, 45, 45 if big else 20, 0x800, 0, 0, 33, crc, s, s, len(raw), len(extra), 0, 0, 0, 0, o) + raw + extra)
+            self._write(struct.pack("<4sHHHHHHIIIHHHHHII", CENTRAL, 45, 45 if big else 20, flags, 0, 0, 33, crc, s, s, len(raw), len(extra), 0, 0, 0, 0, o) + raw + extra)
         size, n, end = self.at - start, len(self.entries), self.at
         if big := (self.zip64 or n >= FULL16 or start >= FULL32 or size >= FULL32):
             self._write(struct.pack("<4sQHHIIQQQQ", END64, 44, 45, 45, 0, 0, n, n, size, start))
@@ -149,17 +169,26 @@ class ZipReader:
 # --- WARC ---
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def urn(page_id) -> str:
+    """A record's name: the id as text, escaped; rows without an id share one name that no id has."""
+    return "<urn:page-without-id>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def id_of(name: str) -> str | None:
+    return None if name == urn(None) else unquote(name.removeprefix("<urn:page:").removesuffix(">"))
+
+
+def record(page_id, url: str, payload: bytes, refers_to) -> bytes:
     """A response, or a revisit whose block is the HTTP head only; its Content-Length is the payload's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Target-URI: {''.join(url.split())}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {urn(refers_to)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -187,9 +216,10 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def revisits(keyed: DataFrame, least: int) -> DataFrame:
-    """(id, digest, refers_to) of the records that revisit another. Digests are grouped with a maximum that combines
-    before the shuffle, and joined without payloads, so a payload that very many pages share only meets as numbers."""
-    d = keyed.where(F.octet_length("payload") >= least).select("id", "digest")
+    """(id, digest, refers_to) of the records that revisit another, from a table (id, size, digest). Digests are grouped with
+    a maximum that combines before the shuffle, and joined without payloads, so a payload that very many pages share
+    only meets as numbers."""
+    d = keyed.where(F.col("size") >= least).select("id", "digest")
     last = d.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("times")).where("times > 1").drop("times")
     return d.join(last, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
 
@@ -197,80 +227,89 @@ def revisits(keyed: DataFrame, least: int) -> DataFrame:
 def write_packages(pages: DataFrame, folder: str, least: int = 0, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
     """Writes a record for each row; returns the table (package, records) of finished packages.
 
-    Null payloads are empty and null urls empty. Of equal payloads of at least ``least`` bytes the record with
-    the largest id is the response; rows that repeat that id with the same payload are responses too. Rows
-    without an id are responses. An id with several payloads takes part with each, and is a revisit only of
-    a payload that a larger id has as well.
+    Null payloads are empty and null urls empty. Ids are whole numbers or texts. Of equal payloads of at least ``least`` bytes
+    the record with the largest id is the response; rows that repeat that id with the same payload are responses
+    too. Rows without an id are responses. An id with several payloads takes part with each, and is a revisit only of
+    a payload that a larger id has as well. Other columns are not read; an empty table gives no package.
+
+    Payloads are hashed once for a written table of numbers, from which the revisits are told, and once as the key by
+    which each row finds its own.
     """
     payload = F.coalesce(F.col(payload_column), F.lit(""))
-    keyed = pages.select(F.col(id_column).alias("id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
-    rows = keyed.join(revisits(keyed, least), ["id", "digest"], "left")
+    rows = pages.select(F.col(id_column).alias("id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), payload.alias("payload"))
+    digest = F.sha1(F.col("payload").cast("binary")).alias("digest")
+    keyed = materialize(rows.select("id", F.octet_length("payload").alias("size"), digest), "payloads")
+    rows = rows.select("id", "url", "payload", digest).join(revisits(keyed, least), ["id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _file_system(folder)
         system.create_dir(path, recursive=True)
-        data, index = io.BytesIO(), []
+        name, out, z, index = "", None, None, []
 
         def close() -> pa.RecordBatch:
-            name = f"{path}/{uuid.uuid4().hex}.zip"
-            with system.open_output_stream(name) as out:
-                z = ZipWriter(out)
-                z.add(DATA, data.getvalue())
-                z.add(INDEX, "".join(index).encode())
-                z.close()
-            return pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([len(index)], pa.int64())], ["package", "records"])
+            z.end()
+            z.add(INDEX, "".join(index).encode())
+            z.close()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], ["package", "records"])
 
         for batch in sliced(batches, "payload"):
             for i, url, body, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_column(batch, "payload"), batch.column(3).to_pylist(), strict=True):
+                if z is None:
+                    name = f"{uuid.uuid4().hex}.zip"
+                    out = system.open_output_stream(f"{path}/{name}")
+                    z, index = ZipWriter(out), []
+                    z.open(DATA)
                 packed = _gzip(record(i, url, body, refers))
-                index.append(json.dumps({"offset": data.tell(), "length": len(packed), "url": url}) + "\n")
-                data.write(packed)
-                if data.tell() >= PACKAGE:
+                index.append(json.dumps({"offset": z.entries[-1][2], "length": len(packed), "url": url}) + "\n")
+                z.write(packed)
+                if z.entries[-1][2] >= PACKAGE:
                     yield close()
-                    data, index = io.BytesIO(), []
-        if index:
+                    z = None
+        if z is not None:
             yield close()
 
     return rows.select("id", "url", "payload", "refers_to").mapInArrow(run, "package string, records bigint")
 
 
-def read_packages(packages: DataFrame, folder: str, id_column: str = "page_id") -> DataFrame:
-    """One row for each record of the listed packages, read through the directories and index by ranges."""
-    schema = f"{id_column} bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+def read_packages(packages: DataFrame, folder: str, id_column: str = "page_id", kind: DataType | None = None) -> DataFrame:
+    """One row for each record of the listed packages, read through the directories and index by ranges; ``kind`` is the type
+    of the ids (whole numbers of 64 bits where it isn't given)."""
+    kind = kind or LongType()
+    schema = f"{id_column} {kind.simpleString()}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind.simpleString()}"
+    arrow, text = to_arrow_type(kind), isinstance(kind, StringType)
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [arrow, pa.int64(), pa.string(), pa.string(), arrow]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [id_column, "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _file_system(folder)
-        number = lambda urn: None if (x := urn.strip("<>").rpartition(":")[2]) == "None" else int(x)
+        value = lambda name: x if (x := id_of(name)) is None or text else int(x)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with system.open_input_file(f"{path}/{name}") as f:
                     z = ZipReader(lambda offset, length: f.read_at(length, offset), f.size())
-                    lines = z.range(INDEX, 0, z.members[INDEX].size).decode().splitlines()
                     rows = []
-                    for line in lines:
+                    for line in z.range(INDEX, 0, z.members[INDEX].size).splitlines():
                         at = json.loads(line)
                         headers, http, payload = parse_record(zlib.decompress(z.range(DATA, at["offset"], at["length"]), 31))
                         digest = headers["warc-payload-digest"].removeprefix("sha1:")
                         size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
                         if headers["warc-type"] == "response" and (payload_digest(payload) != digest or len(payload) != size):
                             raise ValueError(f"{name}: a payload is not what its record says")
-                        rows.append((number(headers["warc-record-id"]), size, digest, headers["warc-type"], number(headers["warc-refers-to"]) if "warc-refers-to" in headers else None))
+                        rows.append((value(headers["warc-record-id"]), size, digest, headers["warc-type"], value(headers["warc-refers-to"]) if "warc-refers-to" in headers else None))
                         if len(rows) >= 10_000:
-                            yield _rows(rows, id_column)
+                            yield rows_of(rows)
                             rows = []
                     if rows:
-                        yield _rows(rows, id_column)
+                        yield rows_of(rows)
 
     return packages.select("package").mapInArrow(run, schema)
 
 
-def _rows(rows: list[tuple], id_column: str) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [id_column, "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-
 def round_trip(pages: DataFrame, least: int = 0, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
     """Writes the packages into the shared folder, then reads every record back."""
     folder = new_path(pages.sparkSession, "packages")
     done = materialize(write_packages(pages, folder, least, id_column, url_column, payload_column), "package-list")
-    return read_packages(done.repartition(max(1, pages.sparkSession.sparkContext.defaultParallelism)), folder, id_column)
+    return read_packages(done.repartition(max(1, pages.sparkSession.sparkContext.defaultParallelism)), folder, id_column, pages.schema[id_column].dataType)
