@@ -40,3 +40,12 @@ def test_best_branch_of_a_tree(spark):
     df = spark.createDataFrame(nodes, "tree bigint, node bigint, parent bigint, score double")
     got = sorted((r.tree, r.depth, r.node) for r in chat.reply_paths(df).collect())
     assert got == [(0, 1, 1), (0, 2, 3), (0, 3, 5), (0, 4, 6), (1, 1, 7)]
+
+
+def test_repeated_nodes_text_nodes_and_null_nodes(spark):
+    rows = [("t", "a", None, 1.0, "user", "hi"), ("t", "b", "a", 2.0, "assistant", "yes"), ("t", "b", "a", 2.0, "assistant", "yes"), ("t", "b", "a", 1.0, "assistant", "yes"),
+            ("t", "c", "a", 2.0, "assistant", "no"), ("t", None, "a", 9.0, "assistant", "lost"), (None, "x", None, None, None, None)]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "tree string, node string, parent string, score double, role string, text string, depth string")
+    got = {r.tree: chat.parse_turns(r.formatted) for r in chat.format_trees(df).collect()}
+    assert got == {"t": [("user", "hi"), ("assistant", "yes")], None: [("", "")]}
+    assert chat.format_trees(df.limit(0)).count() == 0

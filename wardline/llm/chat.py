@@ -68,10 +68,13 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 def reply_paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, depth) of the best branch of each tree.
 
-    ``nodes`` has tree, node (unique in its tree), parent (null or unknown: a root) and score (null: zero).
-    Nodes on a cycle have no root and belong to no path.
+    ``nodes`` has tree, node, parent (null or unknown: a root) and score (null: zero). Trees and nodes may be of any
+    type that can be ordered. Of rows with the same tree and node the one with the largest score counts, then parent; rows
+    without a node are left out. Nodes on a cycle have no root and belong to no path. Of equal branches the one with
+    the smallest leaf is chosen. An empty table has no paths.
     """
-    n = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    n = nodes.where("node is not null").groupBy("tree", "node").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "parent")).alias("b"))
+    n = n.select("tree", "node", "b.parent", "b.score")
     known = n.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     step = n.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"), "score", F.lit(1).alias("length"))
     step = materialize(step, "replies")
@@ -94,8 +97,8 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
                 step = step.where("up is null")
     parents = base.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
     leaves = step.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u")), "left_anti")
-    rank = F.struct((F.col("score") / F.col("length")).alias("mean"), "length", (-F.col("node")).alias("first"))
-    best = leaves.groupBy("tree").agg(F.max(rank).alias("b")).select("tree", (-F.col("b.first")).alias("leaf"))
+    rank = F.struct((-F.col("score") / F.col("length")).alias("mean"), (-F.col("length")).alias("longest"), "node")
+    best = leaves.groupBy("tree").agg(F.min(rank).alias("b")).select("tree", F.col("b.node").alias("leaf"))
     path = best.select("tree", "leaf", F.col("leaf").alias("node"))
     for hop in reversed(hops):
         far = hop.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
@@ -108,13 +111,15 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
 def format_trees(messages: DataFrame) -> DataFrame:
     """(tree, formatted, loss_spans): one conversation for each tree of ``messages`` (tree, node, parent, score, role, text).
 
-    Null roles and texts are empty. A conversation is one row by nature; only the chosen path is gathered.
+    Null roles and texts are empty. Rows that repeat a tree and node are one message: the first of them by role, then text.
+    A conversation is one row by nature; only the chosen path is gathered. Other columns are not read.
     """
     path = reply_paths(messages.select("tree", "node", "parent", "score"))
     m = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = (
-        path.join(m, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-        .groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+        path.alias("path").join(m, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+        .groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("depth", F.col("path.node").alias("node"), "role", "text"))).alias("turns"))
+        .select("tree", F.filter("turns", lambda x, i: (i == 0) | (F.get("turns", i - 1)["node"] != x["node"])).alias("turns"))
     )
     kind = messages.schema["tree"].dataType.simpleString()
 
