@@ -23,10 +23,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session (tests) gets a folder of its
+    own, removed at exit; on a cluster such a folder would be another one on each machine, so that is refused."""
     sc = spark.sparkContext
-    if set_dir := sc.getConf().get("spark.checkpoint.dir"):
+    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(sc, "_wardline_dir", None)
     if own is None:
         own = sc._wardline_dir = tempfile.mkdtemp(prefix="wardline-")
@@ -43,7 +46,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table made by materialize, once nothing that is still to run reads it."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def put_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with the caller's columns that begin with two underscores, as our working columns do, under other names, and the
+    way back."""
+    names: dict[str, str] = {}
+    for c in df.columns:
+        if c.startswith("__"):
+            own = f"kept{c}"
+            while own in df.columns or own in names.values():
+                own += "_"
+            names[c] = own
+    return df.withColumnsRenamed(names), {own: c for c, own in names.items()}
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -103,7 +128,8 @@ def connected_components(edges: DataFrame, name: str = "cc", most_rounds: int =
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*").where("a <> b").distinct()
         )
-        e = materialize(small, name)
+        done, e = e, materialize(small, name)
+        discard(done)
         # 64-bit sums of hashes wrap through decimals, so the comparison is exact enough to tell edge sets apart
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import put_aside
+
 WIDTH = 3
 
 
@@ -52,8 +54,11 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Rows with the same id and text are one text: they keep and lose the same lines. Rows without an id come
     last in the order of first occurrences. Null text stays null and empty text empty, with one line. A text
-    whose lines are all removed becomes empty. Other columns pass through.
+    whose lines are all removed becomes empty. Other columns pass through, but for the caller's own columns of those
+    two names, which are replaced. An empty table gives an empty one.
     """
+    names = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
+    docs, back = put_aside(docs.select(*names))
     cover = covered_lines(docs, id_column, text_column, short).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"))
     d = docs.withColumn("__own", F.xxhash64(text_column))
     d = d.join(cover.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
@@ -67,4 +72,4 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         "__n_removed": F.coalesce(F.size("__covered"), F.lit(0)).cast("bigint"),
         text_column: F.when(F.col("__covered").isNull(), F.col(text_column)).otherwise(left),
     }
-    return d.withColumns(out).select(*docs.columns, "__n_lines", "__n_removed")
+    return d.withColumns(out).select(*docs.columns, "__n_lines", "__n_removed").withColumnsRenamed(back)

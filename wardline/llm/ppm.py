@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import byte_column, materialize, release, sliced
+from .common import byte_column, discard, materialize, release, sliced
 
 ORDER = 5
 BLOCK = 32 << 20
@@ -449,6 +449,7 @@ def score_documents(docs: DataFrame, training: str, id_column: str = "doc_id", t
         return pa.table({"gram": keys, "value": trie.values(keys.view(np.uint64), table.column("n").to_numpy().astype(np.int64))})
 
     values = materialize(g.groupBy(trie.piece()).applyInArrow(learn, "gram bigint, value double"), "ppm-values")
+    discard(g)
     release(docs.sparkSession)
     answers = gathered(
         counted.where("gram is not null").select("slot", "gram").join(values, "gram").select("slot", "value")

@@ -4,7 +4,8 @@ Each text gives two histograms: characters by class, and a language's common wor
 other words). A language's reference is the sum of the histograms of all its texts. A text is rejected when
 its Jensen-Shannon distance (square root of the divergence, base 2) to its reference is too large; texts too
 short for a histogram to mean anything are not judged by it. Texts in other languages are compared with the
-characters of all of them together. Counts and references cover every row; the references are one row for
+characters of all of them together; words are judged for the four languages in COMMON only. The references are made
+of all rows, the poor ones that they serve to find among them, so they lean a little towards those. Counts and references cover every row; the references are one row for
 each listed language and one for the rest, so they are broadcast.
 """
 
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialize
+from .common import WHITE, materialize, put_aside
 
 #: Frequent function words of each language.
 COMMON = {
@@ -127,6 +128,8 @@ def rate_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def keep_documents(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows that are kept, with all their columns. Rows and counts are written once, so that neither the
-    references nor the verdict measure a text again; texts are never shuffled."""
+    references nor the verdict measure a text again; texts are never shuffled. Null and empty texts go; an empty table
+    gives an empty one."""
+    docs, back = put_aside(docs)
     m = materialize(measure(docs, text_column, lang_column), "quality")
-    return judge(m, references(m)).where(F.col(f"{Q}.kept")).select(*docs.columns)
+    return judge(m, references(m)).where(F.col(f"{Q}.kept")).select(*docs.columns).withColumnsRenamed(back)
