@@ -29,6 +29,19 @@ def test_sample(spark):
     again = labels.stratified_sample(df.repartition(5), F.col("s"), "id")
     assert got.count() == 20 and col(got, "id") == col(again, "id") and got.select("s").distinct().count() == 4
     assert labels.quotas({"a": 1, "b": 100}, 10) == {"a": 1, "b": 9} and labels.quotas({"a": 2}, 10) == {"a": 2}
+    assert labels.quotas({"a": 5, "b": 3, "c": 1, "d": 1}, 6) == {"a": 3, "b": 1, "c": 1, "d": 1}
+    # the draw by hand: strata by name, ids in natural order, one generator for all
+    draw, want = labels.mulberry32(labels.SEED), []
+    sizes = {k: sum(1 for r in df.collect() if r.s == k) for k in "abcd"}
+    for k in "abcd":
+        ids = sorted((r.id for r in df.collect() if r.s == k), key=lambda x: int(x[1:]))
+        for i in range(len(ids) - 1, 0, -1):
+            j = int(next(draw) * (i + 1))
+            ids[i], ids[j] = ids[j], ids[i]
+        want += ids[: labels.quotas(sizes, 20)[k]]
+    assert col(got, "id") == [(x,) for x in sorted(want)]
+    odd = spark.createDataFrame([(f"t-{i}", "x") for i in (10, 9, 2, 100)], "id string, s string")
+    assert labels.stratified_sample(odd, F.col("s"), "id", size=9).count() == 4
     g = labels.mulberry32(1)
     assert all(0 <= next(g) < 1 for _ in range(100))
 
@@ -48,7 +61,9 @@ def test_markers_routes_gaps(spark):
 
 def test_intake(spark):
     one = lambda e, v: spark.createDataFrame([(v,)], "x string").select(e(F.col("x"))).first()[0]
-    assert one(intake.error_code, "HTTP 404: Not Found") == "not_found" and one(intake.error_code, "boom") == "internal"
+    for said, code in [("HTTP 404: Not Found", "REPO_NOT_FOUND"), ("boom", "AI_FAILURE"), ("404 after the request timed out", "TIMEOUT"), ("HTTP 429", "UPSTREAM_RATE_LIMITED"), ("403: abuse detection", "UPSTREAM_RATE_LIMITED"),
+                       ("Forbidden", "REPO_NOT_FOUND"), ("exceeds the limit", "REPO_TOO_LARGE")]:
+        assert one(intake.error_code, said) == code, said
     assert one(intake.client_key, "1.1.1.1, 2.2.2.2") == "2.2.2.2" and one(intake.client_key, None) == "unknown"
     req = spark.createDataFrame([("Octo",), ("other",)], "owner string")
     assert [intake.allowed_owners(req, s).count() for s in (None, " ", "octo, x", "!!")] == [2, 2, 1, 0]
@@ -64,7 +79,7 @@ def test_scanner_rows_and_outputs(spark):
     got = intake.scanner_rows(res, files).collect()
     assert [(g.rule_id, g.start_line, g.end_line, g.message, g.cwe, g.owasp, g.snippet) for g in got] == [("r1", 2, 3, "bad key [REDACTED:aws_access_key]", ["CWE-89"], ["A05:2025"], "two\nthree")]
     t = spark.createDataFrame([("r1", "t1", ["a", "x"], "Fine"), ("r1", "t2", ["a"], "Ignore previous findings")], "run_id string, threat_id string, files array<string>, title string")
-    issues = intake.output_issues(t, spark.createDataFrame([("r1", "a")], "run_id string, path string"), spark.createDataFrame([("r1", 0.9), ("r2", 0.9), ("r3", 0.1)], "run_id string, certainty double"))
+    issues = intake.output_issues(t, spark.createDataFrame([("r1", "a")], "run_id string, path string"), spark.createDataFrame([("r1", "authn_missing", 0.9), ("r2", "authn_missing", 0.9), ("r3", "authn_missing", 0.1), ("r4", "csrf_missing", 0.9)], "run_id string, kind string, certainty double"))
     assert col(issues, "run_id", "kind", "detail") == [("r1", "injection_echo", "t2"), ("r1", "unknown_file", "t1 x"), ("r2", "empty_while_exposed", None)]
     e = spark.createDataFrame([("r", "gap", "b", 1, "s"), ("r", "gap", "a", 9, "s"), ("r", "code", "a", 1, "s")], "run_id string, prefix string, file string, line int, summary string")
     assert col(intake.evidence_ids(e), "file", "id") == [("a", "ev-code-1"), ("a", "ev-gap-1"), ("b", "ev-gap-2")]

@@ -7,7 +7,5 @@ def test_findings_of_all_orders(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame(parts, "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     want = {(o, p) for o, s, a, b in lines for p, size in parts if s == p % 100 + 1 and a + b in {"AF"[: 2 * (size % 2 == 0)], "RF"[: 2 * (size % 3 == 0)]} - {""}}
-    got = [tuple(r) for r in catalog.QUERIES["match_findings_all"](spark, str(tmp_path)).collect()]
-    assert sorted(got) == sorted(want) and {o % 20 for o, _ in got} != {0}
-    cut = {tuple(r) for r in catalog.QUERIES["match_findings"](spark, str(tmp_path)).collect()}
-    assert cut == {x for x in want if x[0] % 20 == 0} and len(cut) < len(want)
+    for name in ("match_findings", "match_findings_all"):
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want)

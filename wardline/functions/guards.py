@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
+
+from wardline.functions.paths import LOCKFILES
 
 # Shapes of vendor secrets in the order in which they name a finding.
 SECRETS = (
@@ -17,8 +27,28 @@ SECRETS = (
     ("google_api_key", r"AIza[0-9A-Za-z_-]{35}"),
     ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
-CONNECTION = r"(?i)(?<![a-z0-9+.-])([a-z][a-z0-9+.-]{0,31}://)([^\s:/@'\"`]+:[^\s:/@'\"`]+)(?=@[^\s'\"`]+)"
-ASSIGNMENT = r"(?i)\b((?:[\w.-]*(?:password|passwd|secret|token|api[_-]?key|credential)[\w.-]*)['\"]?\s*[:=]\s*)(['\"])([^'\"\n]{8,}|[^'\"\s]{1,7})(?=\2)"
+CONNECTION = r"(?i)(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,31}://(?P<secret>[^\s:/@'\"`]+:[^\s:/@'\"`]+)(?=@[^\s'\"`]+)"
+# How a credential is named and assigned, in code and in configuration files, and what is none.
+KEYWORD = r"(?i)password|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|client[_-]?secret"
+KEY_START = r"(?<![\w$.-])"
+ASSIGNMENT = (
+    "(?i)" + KEY_START + r"(?P<k>[\w$.-]+)['\"`]?(?:\s*:\s*[A-Za-z_][\w<>.\[\]]{0,40})?\s*[:=]\s*(?:[\w$.]+(?:\([^)\n]{0,40}\)|\[[^\]\n]{0,40}\])?\s*(?:\|\||\?\?)\s*)?"
+    r"(?P<q>['\"`])(?P<secret>[^'\"`\n]{8,}|[^'\"`\s]{1,7})(?=(?P=q))"
+)
+CONFIG_LINE = r"(?im)^[ \t]*(?:export[ \t]+|-[ \t]*)?['\"]?(?P<k>[\w.-]+)['\"]?[ \t]*[:=][ \t]*(?P<secret>[^\s'\"`][^\r\n]*)"
+LONG_VALUE = KEY_START + r"(?P<k>[A-Za-z_$][\w$.-]*)['\"`]?\s*=\s*(?P<q>['\"`])(?P<secret>[^'\"`\n]{20,})(?=(?P=q))"
+ENTROPY_ABOVE = 4.2
+ENV_REFERENCE = r"(?:\$\{[A-Za-z_][\w.]*\}|\$[A-Za-z_]\w*|%[A-Za-z_]\w*%|(?:process\.env|import\.meta\.env)\.[A-Za-z_]\w*)\Z"
+CONFIG_WORD = r"(?i)(?:\{\{[^{}\n]*\}\}|true|false|yes|no|on|off|null|none|nil|~)\Z"
+NO_SECRET = (
+    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", r"(?i)[0-9a-f]{16,}\Z", r"sha(?:1|256|384|512)-", r"(?i)data:[a-z]+/[a-z0-9.+-]+;base64,",
+    r"(?i)[a-z][a-z0-9+.-]*://",
+)
+NO_SECRET_KEY = r"(?i)(?:integrity|resolved|checksum|digest|sha|hash|etag)\Z"
+CONFIG_ENDINGS = ("yml", "yaml", "env", "properties", "ini", "toml", "conf", "cfg")
+CONFIG_ENV = r"\.env(?:rc|[._-].*)?\Z"
+PLACEHOLDER = r"\[REDACTED:[a-z_]+\]"
+PASSES = 4
 # Wording that addresses a reviewer instead of describing code, in order.
 HOSTILE = (
     ("ignore_instructions", r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+|any\s+)?(?:the\s+)?(?:previous|prior|above|earlier|preceding|system)\s+(?:instructions?|prompts?|rules?|directions?)"),
@@ -32,42 +62,130 @@ HOSTILE = (
 )
 
 
-def _marker(kind: str) -> str:
-    return f"[REDACTED:{kind}]"
-
-
-def redact(text: Column) -> Column:
-    """Secrets replaced by their kind. A key block keeps its number of lines. Doing it again changes nothing."""
-    for kind, pattern in SECRETS:
-        if kind == "private_key":
-            # newlines of the block stay, so places in the text remain valid
-            text = F.regexp_replace(text, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?=[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)", _marker(kind) + "\u0001")
-            text = F.when(text.contains("\u0001"), _blank_block(text)).otherwise(text)
-        else:
-            text = F.regexp_replace(text, pattern, _marker(kind))
-    text = F.regexp_replace(text, CONNECTION, "$1" + _marker("connection_string"))
-    return F.regexp_replace(text, r"(?i)" + ASSIGNMENT[4:].replace(r"([^'\"\n]{8,}", r"(?!\[REDACTED:)(?!process\.env|\$\{)([^'\"\n]{8,}"), "$1$2" + _marker("generic_secret"))
-
-
-def _blank_block(text: Column) -> Column:
-    parts = F.split(text, "\u0001")
-    tail = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda p: F.concat(F.regexp_replace(F.regexp_extract(p, r"^([\s\S]*?)-----END [A-Z ]*PRIVATE KEY-----", 1), r"[^\n]", ""), F.regexp_replace(p, r"^[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "")))
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
+def _bits(text: str) -> float:
+    n = len(text)
+    return -sum(k / n * math.log2(k / n) for k in Counter(text).values())
+
+
+def _is_lockfile(path: str) -> bool:
+    return path.replace("\\", "/").lower().rsplit("/", 1)[-1] in LOCKFILES
+
+
+def is_config(path: str) -> bool:
+    base = path.replace("\\", "/").rsplit("/", 1)[-1].lower()
+    return bool(re.match(CONFIG_ENV, base)) or ("." in base[1:] and base.rsplit(".", 1)[1] in CONFIG_ENDINGS)
+
+
+class Finder:
+    """Spans of secrets in a text. The keyword of an assignment must reach into the last part of its key, so a key that
+    only begins like a credential is none; a long value counts where its characters look random and nothing says
+    what else it is."""
+
+    def __init__(self):
+        make = lambda p: re.compile(p, re.ASCII)
+        self.keyword, self.env, self.word, self.name, self.mark = map(make, (KEYWORD, ENV_REFERENCE, CONFIG_WORD, NO_SECRET_KEY, PLACEHOLDER))
+        self.harmless = [make(p) for p in NO_SECRET]
+        self.rules = [(kind, make(p), None) for kind, p in SECRETS] + [("connection_string", make(CONNECTION), None)]
+        self.rules += [("generic_secret", make(ASSIGNMENT), self._assigned), ("generic_secret", make(CONFIG_LINE), self._configured), ("high_entropy", make(LONG_VALUE), self._random)]
+        self.rank = {kind: i for i, kind in enumerate(dict.fromkeys(kind for kind, _, _ in self.rules))}
+
+    def _assigned(self, key: str, value: str, path: str) -> bool:
+        last = max(key.rfind("."), key.rfind("-")) + 1
+        return any(m.end() >= last for m in self.keyword.finditer(key)) and not self.env.match(value)
+
+    def _configured(self, key: str, value: str, path: str) -> bool:
+        value = value.rstrip()
+        return bool(self.keyword.search(key)) and not self.env.match(value) and not self.word.match(value)
+
+    def _random(self, key: str, value: str, path: str) -> bool:
+        if _bits(value) <= ENTROPY_ABOVE or self.env.match(value) or self.name.match(key) or any(p.match(value) for p in self.harmless):
+            return False
+        return not (_is_lockfile(path) and re.fullmatch(r"[A-Za-z0-9+/=_-]*", value))
+
+    def spans(self, text: str, path: str) -> list[tuple[int, int, str]]:
+        """(start, end, kind), merged where they overlap: together they are one, of the kind that comes first."""
+        marks = [m.span() for m in self.mark.finditer(text)]
+        text = self.mark.sub(lambda m: " " * len(m[0]), text)  # what is marked already takes no part
+        found = []
+        for kind, pattern, test in self.rules:
+            if test == self._configured and not is_config(path):
+                continue
+            at = 0
+            while m := pattern.search(text, at):
+                inner = "secret" in pattern.groupindex
+                if test is None or test(m["k"], m["secret"], path):
+                    start, end = m.span("secret") if inner else m.span()
+                    if not any(a <= start and end <= b for a, b in marks):
+                        found.append((start, end, kind))
+                    at = m.end()
+                else:  # a refused assignment may hold another one
+                    at = m.start() + 1 if test == self._assigned else m.end()
+        merged: list[tuple[int, int, str]] = []
+        for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1])):
+            if merged and start < merged[-1][1]:
+                first, last, other = merged[-1]
+                merged[-1] = first, max(last, end), min(kind, other, key=self.rank.__getitem__)
+            else:
+                merged.append((start, end, kind))
+        return merged
+
+    def redact(self, text: str, path: str = "") -> tuple[str, list[tuple[str, int]]]:
+        """The text with each secret's kind in its place, and (kind, line) of each. A secret's line breaks stay behind its
+        marker. Again while something is found: a secret may only show once its neighbour is gone."""
+        found = []
+        for _ in range(PASSES):
+            spans = self.spans(text, path)
+            if not spans:
+                break
+            out, at = [], 0
+            for start, end, kind in spans:
+                out += [text[at:start], f"[REDACTED:{kind}]", "\n" * text.count("\n", start, end)]
+                found.append((kind, text.count("\n", 0, start) + 1))
+                at = end
+            text = "".join(out) + text[at:]
+        return text, sorted(found, key=lambda x: x[1])
+
+
+@lru_cache(maxsize=1)
+def finder() -> Finder:
+    """One for each worker process."""
+    return Finder()
+
+
+def _each(make, kind: str):
+    """An Arrow function of (text, path): rows are handled one by one, null texts stay null."""
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+
+    def run(texts: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else make(t, p or "") for t, p in zip(texts.to_pylist(), places.to_pylist(), strict=True)], arrow)
+
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)
+
+
+def redact(text: Column, path: Column | None = None) -> Column:
+    """Secrets replaced by their kind. Line numbers do not change, and doing it again changes nothing. A path tells
+    configuration files, where values stand unquoted, from code."""
+    return _each(lambda t, p: finder().redact(t, p)[0], "string")(text, F.lit("") if path is None else path)
+
+
+def secret_findings(text: Column, path: Column | None = None) -> Column:
+    """array<struct<kind, line>> of the secrets found, by line; never the secret itself."""
+    return _each(lambda t, p: [{"kind": k, "line": n} for k, n in finder().redact(t, p)[1]], "array<struct<kind: string, line: int>>")(text, F.lit("") if path is None else path)
 
 
 def secret_kinds(text: Column) -> Column:
-    """Kinds found, in order."""
-    every = (*SECRETS, ("connection_string", CONNECTION), ("generic_secret", ASSIGNMENT))
-    return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in every)), lambda k: k.isNotNull())
+    """Kinds found, each once, in the rules' order."""
+    return _each(lambda t, p: sorted({k for k, _ in finder().redact(t, p)[1]}, key=finder().rank.__getitem__), "array<string>")(text, F.lit(""))
 
 
-def refuse_secrets(df: DataFrame, *columns: str) -> DataFrame:
-    """df, whose evaluation fails on a row that still holds a secret: closed, and without a pass of its own."""
-    bad = F.lit(False)
+def refuse_secrets(df: DataFrame, *columns: str, path: Column | None = None) -> DataFrame:
+    """df, whose evaluation fails on a row that still holds a secret of any kind: closed, and without a pass of its own. The
+    error names kinds and lines only."""
     for c in columns:
-        for _, p in SECRETS:
-            bad = bad | F.coalesce(F.col(c).rlike(p), F.lit(False))
-    return df.where(F.when(bad, F.raise_error(F.lit("a secret survived redaction")).cast("boolean")).otherwise(F.lit(True)))
+        found = secret_findings(F.col(c), path)
+        named = F.concat_ws(", ", F.transform(found, lambda x: F.concat(x["kind"], F.lit(" at line "), x["line"].cast("string"))))
+        df = df.where(F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.raise_error(F.concat(F.lit("a secret survived redaction: "), named)).cast("boolean")).otherwise(F.lit(True)))
+    return df
 
 
 def entropy(text: Column) -> Column:
@@ -83,10 +201,38 @@ def hostile(text: Column) -> Column:
     return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in HOSTILE)), lambda k: k.isNotNull())
 
 
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _starts(text: Column, pattern: str) -> Column:
+    """1-based lines on which the matches of a pattern begin, over the whole text."""
+    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    upto = lambda parts, n: F.array_join(F.slice(parts, F.lit(1), n), "")
+    return F.transform(hits, lambda _, i: _breaks(upto(between, i + 1)) + _breaks(upto(hits, i)) + 1)
+
+
+def hostile_findings(df: DataFrame, text: str) -> DataFrame:
+    """df with line and rule for each rule and line it begins on. The text is searched as a whole: wording that wraps
+    counts, at its first line."""
+    t, none = F.col(text), F.array().cast("array<int>")
+    found = F.array(*(F.struct(F.lit(i).alias("o"), F.lit(k).alias("rule"), F.when(t.rlike(p), F.array_distinct(_starts(t, p))).otherwise(none).alias("lines")) for i, (k, p) in enumerate(HOSTILE)))
+    each = df.withColumn("__f", F.explode(F.filter(found, lambda f: F.size(f["lines"]) > 0))).withColumn("line", F.explode("__f.lines"))
+    return each.withColumns({"rule": F.col("__f.rule"), "__o": F.col("__f.o")}).drop("__f")
+
+
 def hostile_lines(df: DataFrame, text: str) -> DataFrame:
-    """df with line (1-based) and rule: the first rule of each line that has one."""
-    lines = df.select("*", F.posexplode(F.split(text, "\n")).alias("__i", "__line"))
-    return lines.withColumn("rule", F.get(hostile(F.col("__line")), F.lit(0))).where("rule is not null").withColumn("line", F.col("__i") + 1).drop("__i", "__line")
+    """df with line (1-based) and rule: the first rule of each line on which wording begins."""
+    found = hostile_findings(df, text)
+    return found.groupBy(*df.columns, "line").agg(F.min_by("rule", "__o").alias("rule"))
+
+
+def hostile_evidence(files: DataFrame) -> DataFrame:
+    """(repo, path, line, rule): each line of a file's content that addresses its reviewer, and each rule that its name
+    matches, at line 1. files: repo, path, content."""
+    f = files.select("repo", "path", "content")
+    named = f.select("repo", "path").withColumn("rule", F.explode(hostile(F.col("path")))).select("repo", "path", F.lit(1).alias("line"), "rule")
+    return named.unionByName(hostile_findings(f, "content").groupBy("repo", "path", "line").agg(F.min_by("rule", "__o").alias("rule")))
 
 
 def neutral_bidi(text: Column) -> Column:

@@ -79,9 +79,17 @@ def is_source_file(path: Column) -> Column:
     return ext.isin(*SOURCE_EXTENSIONS) & ~base.isin(*LOCKFILES)
 
 
+# Endings, directories and names that decide whether rules read a file.
+SCANNED_ENDING = r"\.(?:ts|tsx|js|jsx|mjs|cjs)\z"
+UNSCANNED_DIR = r"(?i)(^|/)(?:tests?|__tests__|__mocks__|mocks?|e2e|examples?|fixtures?|docs?|scripts|stories|bin|tools)/"
+UNSCANNED_BUILD = r"(^|/)(?:node_modules|dist|build|\.next|coverage)/"
+UNSCANNED_NAME = r"\.(?:test|spec|stories)\.[jt]sx?\z"
+
+
 def is_scannable(path: Column) -> Column:
-    """First-party source that runs: no tests, fixtures, documents, binaries, tools or builds."""
-    return is_source_file(path) & ~F.lower(path).rlike(r"(^|/)(tests?|__tests__|__mocks__|spec|e2e|fixtures?|docs?|examples?|scripts|bin|tools?|build)/") & ~F.lower(path).rlike(r"\.(test|spec|stories)\.[a-z]+\z|(^|/)[^/]*\.config\.[a-z]+\z")
+    """JavaScript and TypeScript that is first-party source: no tests, samples, documents, tools or builds."""
+    p = F.translate(path, "\\", "/")
+    return p.rlike(SCANNED_ENDING) & ~p.rlike(UNSCANNED_DIR) & ~p.rlike(UNSCANNED_NAME) & ~p.rlike(UNSCANNED_BUILD)
 
 
 def app_route(path: Column) -> Column:

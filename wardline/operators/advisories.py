@@ -97,8 +97,9 @@ def detail_order(found: DataFrame, most: int = MOST_DETAILS) -> DataFrame:
     return found.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(most)
 
 
-def query_batches(resolved: DataFrame, size: int = BATCH) -> DataFrame:
-    """Distinct names and versions with the batch each is asked in. Numbers come from range partitions of the sorted
-    rows, so no task holds all of them."""
-    d = resolved.select("name", "version").distinct()
-    return d.withColumn("batch", F.pmod(F.xxhash64("name", "version"), F.lit(max(1, -(-d.count() // size)))))
+def query_batches(resolved: DataFrame, size: int = BATCH, parts: int = 256) -> DataFrame:
+    """Distinct names and versions with the batch (part, number) each is asked in, at most ``size`` in any. Rows are numbered
+    within ``parts`` parts by hash, so no task holds all of them; at most one batch of each part is not full."""
+    d = resolved.select("name", "version").distinct().withColumn("part", F.pmod(F.xxhash64("name", "version"), F.lit(parts)).cast("int"))
+    n = F.row_number().over(Window.partitionBy("part").orderBy("name", "version"))
+    return d.select("name", "version", F.struct("part", F.floor((n - 1) / size).cast("int").alias("number")).alias("batch"))

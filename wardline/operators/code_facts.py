@@ -147,20 +147,33 @@ def route_handlers_by_repo(files: DataFrame) -> DataFrame:
 
 # What shows a signed-in user, a role, a store, and where a token is checked.
 SESSION_CHECK = r"\b(?:getServerSession|getSession|currentUser|requireUser|requireAuth|verifyToken|isAuthenticated)\s*\(|\breq\s*\.\s*(?:user|session\s*\.\s*user\w*|auth)\b|\bjwt\s*\.\s*verify\s*\("
-GUARD_NAME = r"(?i)auth|requireuser|requirelogin|ensure|protect|guard|passport|verifytoken|jwt"
-ROLE_CHECK = r"(?i)\b(?:hasRole|requireRole|isAdmin|hasPermission|can|authorize|checkPermission)\s*\(|\.\s*role\s*[!=]==?|\.\s*roles?\s*\.\s*includes\s*\("
+GUARD_NAME = r"(?i)auth|protect|require(?:User|Login|Role|Admin|Permission)|isAdmin|verify(?:Token|Jwt|Session|User)|logged_?in|with(?:Role|Permission)|jwt|clerk|guard|session(?:Guard|Required)"
+LIMITER_NAME = r"(?i)limit"
+ROLE_CHECK = (
+    r"\b(?:requireRole|hasRole|isAdmin)\b|\brole\s*===?\s*['\"`]|\b(?:roles?|scopes?)\s*\.\s*includes\s*\(|\b(?:owner|ownerId|authorId|createdBy)\s*[!=]==?"
+    r"|\breq\s*\.\s*user\s*\.\s*(?:id|_id|userId)\s*[!=]==?|[!=]==?\s*req\s*\.\s*user\s*\.\s*(?:id|_id|userId)\b"
+    r"|\b(?:userId|user_id|ownerId|owner|authorId)\s*:\s*(?:req\s*\.\s*user|session\s*\.\s*user|user\s*\.\s*id|currentUser)"
+    r"|\b(?:can|authorize|checkPermission|hasPermission|assertPermission|requirePermission|ability)\w*\s*\(|\bwith(?:Role|Permission)\w*\s*\("
+)
+WRAPPED_EXPORT = r"(?m)^export\s+const\s+[A-Z]+\s*(?::[^=\n]*)?=\s*([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
 STORES = {
     "postgres": ("pg", "postgres", "pg-promise"), "mysql": ("mysql", "mysql2"), "mongodb": ("mongodb", "mongoose"), "sqlite": ("sqlite3", "better-sqlite3"),
     "redis": ("redis", "ioredis"), "sql": ("prisma", "@prisma/client", "sequelize", "typeorm", "knex", "drizzle-orm"), "object_storage": ("aws-sdk", "@aws-sdk/client-s3", "@google-cloud/storage"),
 }
 
 
+def is_guard(name: Column) -> Column:
+    """A name that reads as a sign-in check; a limiter slows requests and checks nobody."""
+    return name.rlike(GUARD_NAME) & ~name.rlike(LIMITER_NAME)
+
+
 def route_auth(routes: DataFrame) -> DataFrame:
     """(repo, route_id, status, role_checks, admin). Authenticated: a guard among the middleware or a session check in
-    the handler; unknown: middleware of another name; a limiter alone shows nothing."""
-    guards = F.filter("middleware", lambda m: m.rlike(GUARD_NAME))
-    other = F.filter("middleware", lambda m: ~m.rlike(GUARD_NAME) & ~m.rlike("(?i)limit|valid|schema|upload|parse|log|cors"))
-    status = F.when((F.size(guards) > 0) | F.col("body").rlike(SESSION_CHECK), "authenticated").when(F.size(other) > 0, "unknown").otherwise("unauthenticated")
+    the handler, or the handler's export wrapped in a guard; unknown: middleware of another name; a limiter alone shows nothing."""
+    guards = F.filter("middleware", is_guard)
+    wrapped = (F.col("framework") == "next_app") & is_guard(F.regexp_extract("body", WRAPPED_EXPORT, 1)) if "framework" in routes.columns else F.lit(False)
+    other = F.filter("middleware", lambda m: ~is_guard(m) & ~m.rlike("(?i)limit|valid|schema|upload|parse|log|cors"))
+    status = F.when((F.size(guards) > 0) | F.coalesce(wrapped, F.lit(False)) | F.col("body").rlike(SESSION_CHECK), "authenticated").when(F.size(other) > 0, "unknown").otherwise("unauthenticated")
     roles = F.concat(F.filter("middleware", lambda m: m.rlike(r"(?i)admin|role|permission|policy|authoriz|ability|acl|rbac")), F.regexp_extract_all("body", F.lit(ROLE_CHECK), F.lit(0)))
     return routes.select("repo", "route_id", status.alias("status"), roles.alias("role_checks"), paths.is_admin_path(F.col("url")).alias("admin"))
 

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from wardline.functions.guards import redact
 from wardline.functions.text import one_line, owasp_codes
 
-# Wording of upstream failures and what it means, in order.
+# Wording of upstream failures and the code it stands for; the first that matches decides.
 UPSTREAM = (
-    ("rate_limited", r"(?i)rate limit|too many requests|\b429\b"), ("not_found", r"(?i)not found|\b404\b"), ("forbidden", r"(?i)forbidden|permission|\b403\b"),
-    ("unauthorized", r"(?i)unauthori[sz]ed|bad credentials|\b401\b"), ("timeout", r"(?i)timed? ?out|deadline|ETIMEDOUT"), ("unavailable", r"(?i)unavailable|ECONNREFUSED|ENOTFOUND|\b50[234]\b"),
+    ("TIMEOUT", r"timed out|timeout|etimedout|abort"),
+    ("UPSTREAM_RATE_LIMITED", r"rate limit|secondary rate|too many requests|\b429\b|(?s)(?=.*(?:\b403\b|forbidden))(?=.*(?:limit|quota|abuse))"),
+    ("REPO_NOT_FOUND", r"\b404\b|not found|\b403\b|forbidden"),
+    ("REPO_TOO_LARGE", r"too large|exceeds|size limit"),
 )
 
 
-def error_code(message: Column) -> Column:
-    """The first pattern that matches names the error; else internal."""
-    return F.coalesce(*(F.when(message.rlike(p), F.lit(c)) for c, p in UPSTREAM), F.lit("internal"))
+def error_code(message: Column, otherwise: str = "AI_FAILURE") -> Column:
+    """The code of an upstream failure; ``otherwise`` where its wording says nothing. A refusal that speaks of a limit is a
+    rate limit, any other refusal hides what is there."""
+    return F.coalesce(*(F.when(F.lower(message).rlike(p), F.lit(c)) for c, p in UPSTREAM), F.lit(otherwise))
 
 
 def provider_category(status: Column, message: Column) -> Column:
@@ -82,14 +85,15 @@ def evidence_ids(evidence: DataFrame) -> DataFrame:
 
 def output_issues(threats: DataFrame, loaded: DataFrame, gaps: DataFrame, text: str = "title") -> DataFrame:
     """(run_id, kind, detail): files that were never loaded, hostile wording in findings, and runs without a finding
-    though gaps stand. threats: run_id, threat_id, files, title; loaded: run_id, path; gaps: run_id, certainty."""
+    though a gap shows a route without sign-in. threats: run_id, threat_id, files, title; loaded: run_id, path; gaps: run_id,
+    kind, certainty."""
     from wardline.functions.guards import hostile
 
     cited = threats.select("run_id", "threat_id", F.explode("files").alias("path"))
     unknown = cited.join(loaded.select("run_id", "path").distinct(), ["run_id", "path"], "left_anti").select("run_id", F.lit("unknown_file").alias("kind"), F.concat_ws(" ", "threat_id", "path").alias("detail"))
     also = F.col(text).rlike(r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+|any\s+)?(?:the\s+)?(?:previous|prior|earlier|above|preceding)\s+(?:findings?|threats?)\b")
     echo = threats.where((F.size(hostile(F.col(text))) > 0) | also).select("run_id", F.lit("injection_echo").alias("kind"), F.col("threat_id").alias("detail"))
-    empty = gaps.where("certainty >= 0.7").select("run_id").distinct().join(threats.select("run_id").distinct(), "run_id", "left_anti").select("run_id", F.lit("empty_while_exposed").alias("kind"), F.lit(None).cast("string").alias("detail"))
+    empty = gaps.where("kind = 'authn_missing' and certainty >= 0.7").select("run_id").distinct().join(threats.select("run_id").distinct(), "run_id", "left_anti").select("run_id", F.lit("empty_while_exposed").alias("kind"), F.lit(None).cast("string").alias("detail"))
     return unknown.unionByName(echo).unionByName(empty)
 
 

@@ -27,16 +27,17 @@ def read_labels(sheet: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataF
     unknown = d.select("threat_id", F.explode("matches").alias("id")).join(expected.select("id").distinct(), "id", "left_anti")
     problems = (
         problem(d.where(F.coalesce("threat_id", F.lit("")) == ""), "no id").unionByName(problem(twice, "repeated id"))
-        .unionByName(problem(d.where(~F.coalesce(F.col("said").isin("y", "n"), F.lit(False))), "supported is not y or n"))
+        .unionByName(problem(d.where(~F.coalesce(F.col("said").isin("y", "yes", "n", "no"), F.lit(False))), "supported is not y or n"))
         .unionByName(problem(d.where(F.col("right").isNull() | (F.col("right") > F.col("cited"))), "evidence is not k/n"))
         .unionByName(problem(unknown, F.concat(F.lit("unknown expected id "), "id")))
     )
-    return d.select("threat_id", "matches", (F.col("said") == "y").alias("supported"), "right", "cited"), problems
+    return d.select("threat_id", "matches", F.col("said").isin("y", "yes").alias("supported"), "right", "cited"), problems
 
 
 def recall(labels: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: expected, found, recall, unsupported share, evidence accuracy; null where nothing is counted."""
-    found = expected.join(labels.select(F.explode("matches").alias("id")).distinct(), "id", "left_semi").select(F.lit(1).alias("found"))
+    """One row: expected, found, recall, unsupported share, evidence accuracy; null where nothing is counted. A finding that is not supported
+    recalls nothing."""
+    found = expected.join(labels.where("supported").select(F.explode("matches").alias("id")).distinct(), "id", "left_semi").select(F.lit(1).alias("found"))
     zero = F.lit(0).cast("bigint")
     parts = (
         expected.agg(F.count("*").alias("expected")).select("expected", zero.alias("found"), zero.alias("rows"), zero.alias("bad"), zero.alias("right"), zero.alias("cited"))
@@ -64,37 +65,45 @@ def mulberry32(seed: int) -> Iterator[float]:
 
 
 def quotas(sizes: dict[str, int], size: int) -> dict[str, int]:
-    """Largest remainder, at least one of each stratum while there is room, never more than it has."""
-    total = sum(sizes.values())
-    if total <= size:
+    """How many of each stratum: its share rounded down, one at least; then one more, or fewer, where the share asks for it
+    most, by name among equals, until they sum to size. Never more than a stratum has."""
+    if size >= sum(sizes.values()):
         return dict(sizes)
-    exact = {k: size * n / total for k, n in sizes.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(sizes, key=lambda k: (-(exact[k] - int(exact[k])), k))
+    share = {k: size * n / sum(sizes.values()) for k, n in sizes.items()}
+    out = {k: min(n, max(1, int(share[k]))) for k, n in sizes.items()}
     while sum(out.values()) < size:
-        for k in order:
-            if sum(out.values()) < size and out[k] < sizes[k]:
-                out[k] += 1
+        out[min((k for k in out if out[k] < sizes[k]), key=lambda k: (out[k] - share[k], k))] += 1
     while sum(out.values()) > size and any(n > 1 for n in out.values()):
-        k = max((k for k in out if out[k] > 1), key=lambda k: (out[k] - exact[k], k))
-        out[k] -= 1
+        out[min((k for k in out if out[k] > 1), key=lambda k: (share[k] - out[k], k))] -= 1
     return out
 
 
+def _natural(value: str) -> list:
+    """Sorts digits by their number."""
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.findall(r"\d+|\D+", str(value))]
+
+
 def stratified_sample(rows: DataFrame, stratum: Column, id_: str, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """Rows sampled by stratum with a seeded shuffle of each, in id order before. Only ids and strata take part in the
-    draw, a run's labels by nature; the sampling is the feature."""
+    """Rows sampled by stratum: ids in natural order, shuffled from the end by one seeded generator that goes through the
+    strata by name. The sampling is the feature. Strata are few by nature, and only their sizes reach the driver;
+    each stratum's ids, a part of one run's labels, are shuffled in a task of their own, which starts the generator
+    where the strata before leave it."""
     keyed = rows.select(F.col(id_).alias("id"), stratum.alias("stratum"))
-    picked: list = []
-    listed = keyed.groupBy("stratum").agg(F.array_sort(F.collect_list("id")).alias("ids")).orderBy("stratum").collect()
-    want, draw = quotas({r.stratum: len(r.ids) for r in listed}, size), mulberry32(seed)
-    for r in listed:
-        ids = list(r.ids)
+    sizes = {r.stratum: r["count"] for r in keyed.groupBy("stratum").count().collect()}
+    want, before, start = quotas(sizes, size), 0, {}
+    for k in sorted(sizes):
+        start[k], before = before, before + sizes[k] - 1
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf["stratum"].iloc[0]
+        ids, random = sorted(pdf["id"], key=_natural), mulberry32(seed + start[key] * 0x6D2B79F5)
         for i in range(len(ids) - 1, 0, -1):
-            j = int(next(draw) * (i + 1))
+            j = int(next(random) * (i + 1))
             ids[i], ids[j] = ids[j], ids[i]
-        picked += ids[: want[r.stratum]]
-    return rows.where(F.col(id_).isin(picked))
+        return pd.DataFrame({"id": ids[: want[key]]})
+
+    picked = keyed.groupBy("stratum").applyInPandas(draw, f"id {rows.schema[id_].dataType.simpleString()}")
+    return rows.join(picked.withColumnRenamed("id", id_), id_, "left_semi")
 
 
 def marker_problems(files: DataFrame, issues: DataFrame, reach: int = 5) -> DataFrame:

@@ -13,7 +13,10 @@ SIMILAR, LEAST_VALUE, MOST_QUESTIONS, MOST_UNKNOWNS, BATCH_ELEMENTS = 0.6, 1.5,
 # Which letters apply to an element, and common words that tell no two titles apart.
 STRIDE_OF = {"actor": "SR", "external_service": "SR", "datastore": "TRID", "flow": "TID"}
 STRIDE_DEFAULT = "STRIDE"
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "via", "with", "without")
+STOPWORDS = tuple((
+    "a an and are as at be been but by can could does for from had has have how if in into is it its may might no not of on or so such than that the their "
+    "them then there these they this those to was were which who will with would you your"
+).split())
 
 
 def stride_for(kind: Column, crosses: Column) -> Column:

@@ -417,22 +417,22 @@ def duplicate_findings(spark, sf_dir):
     return ev.duplicate_findings(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding"), F.col("l_partkey").alias("issue")))
 
 
-@query("""SELECT DISTINCT l_orderkey AS finding, p_partkey AS issue FROM lineitem JOIN part ON l_suppkey = p_partkey % 100 + 1 AND (l_returnflag || l_linestatus = CASE WHEN p_size % 2 = 0 THEN 'AF' END OR l_returnflag || l_linestatus = CASE WHEN p_size % 3 = 0 THEN 'RF' END)
-WHERE l_orderkey % 20 = 0""")
+MATCH_SQL = """SELECT l_orderkey AS finding, p_partkey AS issue FROM lineitem JOIN part ON l_suppkey = p_partkey % 100 + 1 WHERE p_size % 2 = 0 AND l_returnflag || l_linestatus = 'AF'
+UNION SELECT l_orderkey, p_partkey FROM lineitem JOIN part ON l_suppkey = p_partkey % 100 + 1 WHERE p_size % 3 = 0 AND l_returnflag || l_linestatus = 'RF'"""
+
+
+@query(MATCH_SQL)
 def match_findings(spark, sf_dir):
-    """Findings are the orders of a stated query set, every twentieth key; issues are all parts."""
-    f = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("finding"), F.col("l_suppkey").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
+    """The findings of all orders against the issues of all parts."""
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding"), F.col("l_suppkey").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
     i = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("issue"), (F.col("p_partkey") % 100 + 1).alias("file"), F.when(F.col("p_size") % 2 == 0, "AF").alias("gap_kind"), F.when(F.col("p_size") % 3 == 0, "RF").alias("rule_id"))
     return ev.match_findings(f, i)
 
 
-@query("""SELECT l_orderkey AS finding, p_partkey AS issue FROM lineitem JOIN part ON l_suppkey = p_partkey % 100 + 1 WHERE p_size % 2 = 0 AND l_returnflag || l_linestatus = 'AF'
-UNION SELECT l_orderkey, p_partkey FROM lineitem JOIN part ON l_suppkey = p_partkey % 100 + 1 WHERE p_size % 3 = 0 AND l_returnflag || l_linestatus = 'RF'""")
+@query(MATCH_SQL)
 def match_findings_all(spark, sf_dir):
-    """match_findings over the findings of all orders."""
-    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding"), F.col("l_suppkey").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
-    i = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("issue"), (F.col("p_partkey") % 100 + 1).alias("file"), F.when(F.col("p_size") % 2 == 0, "AF").alias("gap_kind"), F.when(F.col("p_size") % 3 == 0, "RF").alias("rule_id"))
-    return ev.match_findings(f, i)
+    """The same; the name under which it was registered while match_findings read a part of the orders."""
+    return match_findings(spark, sf_dir)
 
 
 # --- text ---

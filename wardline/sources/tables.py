@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,16 @@ def csv_line(columns: list[str]) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Part files with CRLF line ends, each with the header's columns in the table's order."""
-    df.select(csv_line(df.columns).alias("value")).write.option("lineSep", "\r\n").text(path)
+    """Part files with CRLF line ends, each beginning with the header; columns in the table's order."""
+    header = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in df.columns)
+
+    def headed(batches):
+        first = True
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([header] * first + batch.column(0).to_pylist(), pa.string())], ["value"])
+            first = False
+
+    df.select(csv_line(df.columns).alias("value")).mapInArrow(headed, "value string").write.option("lineSep", "\r\n").text(path)
 
 
 def read_yaml(spark: SparkSession, text: str, schema: str, key: str | None = None) -> DataFrame:
