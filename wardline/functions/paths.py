@@ -107,3 +107,8 @@ def route_segment(segment: Column) -> Column:
 
 def is_admin_path(path: Column) -> Column:
     return F.exists(F.split(F.lower(path), "/"), lambda s: s.rlike(r"^admins?\z|^administrat"))
+
+
+def model_bound(reason: Column) -> Column:
+    """Whether a file may go to a model: lockfiles are read for advisories only."""
+    return ~reason.eqNullSafe(F.lit("dependencies"))

@@ -120,3 +120,23 @@ def usage_totals(ledger: DataFrame) -> DataFrame:
     """Totals by analysis; a call and attempt counts once, calls without an id always."""
     known = ledger.where("call_id is not null").dropDuplicates(["call_id", "attempt"])
     return known.unionByName(ledger.where("call_id is null")).groupBy("analysis_id").agg(F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")))
+
+
+def finding_order() -> list:
+    """The order of reported findings: file, line, source, kind."""
+    return ["file", "line", "source", "kind"]
+
+
+def consistency(rows: DataFrame) -> DataFrame:
+    """(measure, runs, value): how alike runs of one repository are. rows: run, key, severity, milli. Sizes, the mean
+    similarity of each two runs' keys, the keys that every run has, and of those the share with one severity."""
+    n_runs = rows.select("run").distinct().count()  # a handful by nature
+    sizes = rows.groupBy("run").agg(F.count_distinct("key").alias("n"))
+    say = lambda d, name, c: d.select(F.lit(name).alias("measure"), F.lit(n_runs).cast("bigint").alias("runs"), F.col(c).cast("double").alias("value"))
+    keys = rows.select("run", "key").distinct()
+    in_all = presence(keys).where(F.col("runs") == n_runs).agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("v"))
+    return (
+        say(sizes.agg(F.min("n").alias("v")), "smallest run", "v").unionByName(say(sizes.agg(F.max("n").alias("v")), "largest run", "v"))
+        .unionByName(say(pairwise_jaccard(keys).agg(F.avg("jaccard").alias("v")), "mean similarity", "v")).unionByName(say(in_all, "keys of all runs", "v"))
+        .unionByName(say(agreement(rows, n_runs, "severity"), "same severity", "share"))
+    )

@@ -101,3 +101,77 @@ def masked(files: DataFrame, content: str, name: str = "masked", strings: bool =
 def line_of(text: Column, offset: Column) -> Column:
     """1-based line of a 0-based offset."""
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n"))
+
+
+def served_html(path: Column) -> Column:
+    """A page that would be served: outside tests, documents, samples and builds."""
+    p = F.translate(path, "\\", "/")
+    return p.rlike(r"(?i)\.html?\z") & ~p.rlike(r"(?i)(^|/)(?:tests?|__tests__|e2e|examples?|fixtures?|docs?|node_modules|coverage)/")
+
+
+def without_html_comments(content: Column) -> Column:
+    """HTML comments, an unclosed one to the end, as blanks: lines and places stay. Built of splits, so it runs in the JVM."""
+    parts = F.split(content, "<!--", -1)
+    blank = lambda x: F.regexp_replace(x, r"[^\n]", " ")
+    close = lambda x: F.instr(x, "-->")
+    # a part after an opening mark is blank up to its closing one; further opening marks inside are a part of it
+    def step(acc, x):
+        at = close(x)
+        inside = F.when(at > 0, F.concat(blank(F.concat(F.lit("<!--"), F.substring(x, F.lit(1), at + 2))), F.substring(x, at + 3, F.length(x)))).otherwise(blank(F.concat(F.lit("<!--"), x)))
+        return F.struct(F.concat(acc["text"], inside).alias("text"))
+
+    start = F.struct(F.get(parts, F.lit(0)).alias("text"))
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["text"]
+
+
+# Which declared packages are a framework, and its category.
+FRAMEWORKS = {
+    "next": "web", "express": "web", "fastify": "web", "koa": "web", "hono": "web", "@nestjs/core": "web", "react": "frontend", "vue": "frontend", "svelte": "frontend",
+    "@angular/core": "frontend", "firebase": "cloud", "firebase-admin": "cloud", "next-auth": "auth", "passport": "auth", "@clerk/nextjs": "auth", "prisma": "orm", "@prisma/client": "orm",
+    "mongoose": "orm", "typeorm": "orm", "sequelize": "orm", "drizzle-orm": "orm",
+}
+WORKER_MODULE = r"\bexport\s+default\s*\{\s*(?:async\s+)?fetch\s*[(:,]"
+WORKER_LISTENER = r"""\baddEventListener\s*\(\s*(?:'fetch'|"fetch"|`fetch`)"""
+FIREBASE_USE = r"""\bfirebase\s*\.\s*initializeApp\s*\(|\bfrom\s*(?:'firebase/app'|"firebase/app"|`firebase/app`)"""
+
+
+def _line(text: Column, pattern: str) -> Column:
+    return F.size(F.split(F.get(F.split(text, pattern, 2), F.lit(0)), "\n"))
+
+
+def manifest_frameworks(deps: DataFrame) -> DataFrame:
+    """(repo, name, category, version, origin, file, dev) of declared packages (repo, name, spec, dev, file) that are frameworks."""
+    table = F.create_map(*(F.lit(x) for kv in FRAMEWORKS.items() for x in kv))
+    d = deps.withColumn("category", F.try_element_at(table, F.col("name"))).where("category is not null")
+    return d.select("repo", "name", "category", F.col("spec").alias("version"), F.lit("manifest").alias("origin"), "file", "dev")
+
+
+def usage_frameworks(files: DataFrame) -> DataFrame:
+    """(repo, name, category, file, line, origin) of platforms that code shows by use: a worker's entry point, and the Firebase
+    client. files: repo, path, masked, bare. One row for each platform and file."""
+    js = files.where(F.translate("path", "\\", "/").rlike(paths.SCANNED_ENDING))
+    entry = F.when(F.col("masked").rlike(WORKER_MODULE), _line(F.col("masked"), WORKER_MODULE)).when(F.col("bare").rlike(WORKER_LISTENER), _line(F.col("bare"), WORKER_LISTENER))
+    cloud = F.when(F.col("bare").rlike(FIREBASE_USE), _line(F.col("bare"), FIREBASE_USE))
+    found = F.filter(F.array(F.struct(F.lit("cloudflare-workers").alias("name"), F.lit("edge_runtime").alias("category"), entry.alias("line")), F.struct(F.lit("firebase").alias("name"), F.lit("cloud").alias("category"), cloud.alias("line"))), lambda x: x["line"].isNotNull())
+    return js.select("repo", F.col("path").alias("file"), F.explode(found).alias("x")).select("repo", "x.name", "x.category", "file", "x.line", F.lit("usage").alias("origin"))
+
+
+# How a worker compares paths and methods, and how many routes are listed.
+WORKER_EQUALS = r"""\bpathname\s*===?\s*['"`](/[^'"`\n]*)['"`]"""
+WORKER_PREFIX = r"""\bpathname\s*\.\s*startsWith\s*\(\s*['"`](/[^'"`\n]*)['"`]"""
+WORKER_METHOD = r"""\b(?:req|request)\s*\.\s*method\s*[!=]==?\s*['"`]([A-Za-z]+)['"`]"""
+METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+WORKER_ROUTES = 20
+
+
+def worker_routes(files: DataFrame) -> DataFrame:
+    """(repo, file, method, url) of files with a worker's entry point: the paths it compares with, each with the methods it
+    compares with; every path or method where it compares none. At most 20 a file: the cap is a feature of the list."""
+    entry = files.where(F.col("masked").rlike(WORKER_MODULE) | F.col("bare").rlike(WORKER_LISTENER))
+    c = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
+    under = F.transform(c(WORKER_PREFIX), lambda p: F.concat(F.regexp_replace(p, r"/+\z", ""), F.lit("/*")))
+    named = lambda found, other: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(other)))
+    urls = named(F.array_distinct(F.concat(c(WORKER_EQUALS), under)), "*")
+    methods = named(F.array_distinct(F.filter(F.transform(c(WORKER_METHOD), F.upper), lambda m: m.isin(*METHODS))), "ALL")
+    pairs = F.slice(F.flatten(F.transform(urls, lambda u: F.transform(methods, lambda m: F.struct(m.alias("method"), u.alias("url"))))), 1, WORKER_ROUTES)
+    return entry.select("repo", F.col("path").alias("file"), F.explode(pairs).alias("x")).select("repo", "file", "x.method", "x.url")

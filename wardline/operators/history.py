@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,37 @@ def rotate(runs: DataFrame, keep: int = 2) -> DataFrame:
     """The last ``keep`` runs of each repository; runs with the same time are one."""
     w = Window.partitionBy("repo").orderBy(F.desc("analyzed_at"))
     return runs.withColumn("__r", F.dense_rank().over(w)).where(F.col("__r") <= keep).drop("__r")
+
+
+def union_by_id(*sources: DataFrame, id_: str = "id") -> DataFrame:
+    """The rows of the sources in their order, the first of each id."""
+    w = Window.partitionBy(id_).orderBy("__s", *(c for c in sources[0].columns if c != id_))
+    every = reduce(DataFrame.unionByName, [s.withColumn("__s", F.lit(i)) for i, s in enumerate(sources)])
+    return every.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__s")
+
+
+def all_refs(visible: DataFrame, hidden: DataFrame, key: str, *order: str) -> DataFrame:
+    """Every finding of a run with hidden: those shown first, one for each key."""
+    d = visible.withColumn("hidden", F.lit(False)).unionByName(hidden.withColumn("hidden", F.lit(True)))
+    return first_of_key(d, key, "hidden", *order)
+
+
+def distinct_lines(rows: DataFrame, group: list[str], pos: str, line: str) -> DataFrame:
+    """Trimmed lines, each once, where it first stands; blank ones go."""
+    d = rows.withColumn(line, F.regexp_replace(line, r"^\s+|\s+$", "")).where(F.col(line) != "")
+    return d.groupBy(*group, line).agg(F.min(pos).alias(pos))
+
+
+def number_of(id_: Column, prefix: str) -> Column:
+    """The number of an id prefix-<n>; null, which sorts last, for others."""
+    return F.try_to_number(F.regexp_extract(id_, "^" + prefix + r"-(\d{1,18})\z", 1), F.lit("999999999999999999")).cast("bigint")
+
+
+def threat_order(id_: str = "threat_id") -> list[Column]:
+    """Numbered ids by number, others after them by name."""
+    return [number_of(F.col(id_), "threat").asc_nulls_last(), F.col(id_)]
+
+
+def gap_order(id_: str = "gap_id") -> list[Column]:
+    """The most certain first, then ids by their number."""
+    return [F.desc("certainty"), number_of(F.col(id_), "gap").asc_nulls_last(), F.col(id_)]

@@ -146,3 +146,62 @@ def strip_foreign_gaps(citations: DataFrame, threats: DataFrame) -> DataFrame:
 def numbered_questions(questions: DataFrame) -> DataFrame:
     w = Window.partitionBy("run_id").orderBy("place")
     return questions.where("reason is null").withColumn("number", F.row_number().over(w))
+
+
+def stratum_of(supported: Column, matches: Column) -> Column:
+    """What a sample is stratified on: whether a finding is supported and whether it matches anything expected."""
+    return F.concat_ws("/", F.when(supported, "supported").otherwise("unsupported"), F.when(F.size(matches) > 0, "match").otherwise("nomatch"))
+
+
+def revision_mismatch(revision: Column, scanned: Column) -> Column:
+    """Why a result cannot be held against an answer key; null where it can. A key without a revision takes any."""
+    named = F.coalesce(revision, F.lit("")) != ""
+    return F.when(named & ~revision.eqNullSafe(scanned), F.format_string('result was scanned at "%s" but the answer key is for "%s"', F.coalesce(scanned, F.lit("")), revision))
+
+
+VERDICTS = ("predicted_correct", "predicted_wrong")
+
+
+def read_gap_sheet(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels (threat_id, gap_kinds, visible, label) and problems (threat_id, problem) of a sheet (threatId, gapKinds, visible,
+    label). Rows with a problem are no labels."""
+    d = sheet.select(
+        F.trim("threatId").alias("threat_id"), F.filter(F.transform(F.split(F.coalesce("gapKinds", F.lit("")), ";"), lambda k: F.trim(k)), lambda k: k != "").alias("gap_kinds"),
+        F.lower(F.trim("visible")).alias("seen"), F.trim("label").alias("label"), F.count("*").over(Window.partitionBy(F.trim("threatId"))).alias("times"),
+    )
+    tests = (
+        ("no id", F.coalesce("threat_id", F.lit("")) == ""), ("repeated id", F.col("times") > 1), ("no gap kinds", F.size("gap_kinds") == 0),
+        ("visible is not y or n", ~F.coalesce(F.col("seen").isin("y", "n"), F.lit(False))), ("unknown label", ~F.coalesce(F.col("label").isin(*VERDICTS), F.lit(False))),
+    )
+    said = F.filter(F.array(*(F.when(t, F.lit(name)) for name, t in tests)), lambda x: x.isNotNull())
+    d = d.withColumn("problems", said)
+    return d.where(F.size("problems") == 0).select("threat_id", "gap_kinds", (F.col("seen") == "y").alias("visible"), "label"), d.select("threat_id", F.explode("problems").alias("problem"))
+
+
+def sheet_started(sheet: DataFrame, column: str = "label") -> DataFrame:
+    """One row, started: whether any row is labelled."""
+    return sheet.agg((F.count(F.when(F.trim(F.coalesce(F.col(column), F.lit(""))) != "", 1)) > 0).alias("started"))
+
+
+def gap_precision(labelled: DataFrame) -> DataFrame:
+    """(scope, correct, wrong, n, precision) over all findings that rest on gaps and over the visible ones."""
+    ok = F.col("label") == "predicted_correct"
+    each = labelled.select("label", F.explode(F.when(F.col("visible"), F.array(F.lit("overall"), F.lit("visible"))).otherwise(F.array(F.lit("overall")))).alias("scope"))
+    return each.groupBy("scope").agg(F.count(F.when(ok, 1)).alias("correct"), F.count(F.when(~ok, 1)).alias("wrong"), F.count("*").alias("n"), F.avg(ok.cast("int")).alias("precision"))
+
+
+def wrong_by_kind(labelled: DataFrame) -> DataFrame:
+    """(kind, wrong, total): a finding of several kinds counts once under each."""
+    return labelled.select("label", F.explode("gap_kinds").alias("kind")).groupBy("kind").agg(F.count(F.when(F.col("label") == "predicted_wrong", 1)).alias("wrong"), F.count("*").alias("total"))
+
+
+def gap_sheet_problems(labelled: DataFrame, expected: DataFrame) -> DataFrame:
+    """(threat_id, problem) where a sheet and a result (threat_id, gap_kinds, visible) differ, in both directions."""
+    b = expected.select("threat_id", F.col("gap_kinds").alias("__k"), F.col("visible").alias("__v"), F.lit(True).alias("__b"))
+    d = labelled.select("threat_id", "gap_kinds", "visible", F.lit(True).alias("__a")).join(b, "threat_id", "full_outer")
+    both = F.col("__a") & F.col("__b")
+    tests = (
+        ("not in the sheet", F.col("__a").isNull()), ("no gap-only finding of the result", F.col("__b").isNull()),
+        ("other gap kinds", both & ~F.col("gap_kinds").eqNullSafe(F.col("__k"))), ("other visibility", both & ~F.col("visible").eqNullSafe(F.col("__v"))),
+    )
+    return d.select("threat_id", F.explode(F.filter(F.array(*(F.when(t, F.lit(name)) for name, t in tests)), lambda x: x.isNotNull())).alias("problem"))

@@ -229,3 +229,30 @@ def fit_for_demo(threats: DataFrame) -> DataFrame:
 def level_costs(spark) -> DataFrame:
     """Estimated dollars of a run by level; fixed values."""
     return spark.createDataFrame([(0, 0.3, 0.6), (1, 1.0, 1.5), (2, 3.0, 4.0), (3, 3.5, 5.0), (4, 4.0, 6.0)], "level int, low double, high double")
+
+
+def cap_batches(batched: DataFrame, flows: DataFrame, gap_counts: DataFrame, most: int) -> DataFrame:
+    """batched (run_id, batch, element_id) with kept: the ``most`` batches of a run with the most gaps, earlier ones among
+    equals. A component weighs its gaps (run_id, component_id, gaps), a flow (run_id, flow_id, source) its own or those
+    of its source."""
+    w = gap_counts
+    own = batched.join(w.select("run_id", F.col("component_id").alias("element_id"), F.col("gaps").alias("__own")), ["run_id", "element_id"], "left")
+    ends = own.join(flows.select("run_id", F.col("flow_id").alias("element_id"), "source"), ["run_id", "element_id"], "left")
+    d = ends.join(w.select("run_id", F.col("component_id").alias("source"), F.col("gaps").alias("__end")), ["run_id", "source"], "left")
+    sums = d.groupBy("run_id", "batch").agg(F.sum(F.coalesce("__own", "__end", F.lit(0))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "batch"))
+    return batched.join(sums.select("run_id", "batch", (place <= most).alias("kept")), ["run_id", "batch"])
+
+
+#: What a model may not supply: scores and what follows from them.
+SCORED_COLUMNS = ("milli", "confidence", "confidence_label", "basis", "severity", "priority", "visible")
+
+
+def drafts(threats: DataFrame) -> DataFrame:
+    """Findings as a model may draft them: without scored columns."""
+    return threats.drop(*SCORED_COLUMNS)
+
+
+def gap_evidence(gaps: DataFrame, evidence: DataFrame) -> DataFrame:
+    """gaps (run_id, gap_id) with the evidence item that stands for each: ev-<gap id>."""
+    return gaps.withColumn("id", F.concat(F.lit("ev-"), "gap_id")).join(evidence, ["run_id", "id"])

@@ -74,3 +74,32 @@ def inherit_classification(threats: DataFrame, gaps: DataFrame, fallback: str =
     d = threats.join(own, "threat_id", "left")
     taken = F.when(F.size(F.coalesce("__gap", F.array().cast("array<string>"))) > 0, F.col("__gap")).otherwise(F.array(F.lit(fallback)))
     return d.withColumn("owasp", F.when(F.col("gap_only") & (F.size("owasp") == 0), taken).otherwise(F.col("owasp"))).drop("__gap")
+
+
+# How a category of evidence is put into words where points would mislead, in order.
+QUALITATIVE = (
+    ("code", "Confirmed in code"), ("gap", "A missing control was detected"), ("scanner", "Confirmed by a scanner rule"), ("dependency", "Confirmed by a known vulnerable dependency"),
+    ("developer", "Confirmed by a developer answer"), ("inference", "Rests on an inference, used only because nothing else supports it"),
+)
+
+
+def explain(threats: DataFrame, citations: DataFrame) -> DataFrame:
+    """(threat_id, exact, lines): why a finding has its confidence. threats: threat_id, milli, assumptions; citations as in
+    confidence(). Without a gap the lines carry the points, and exact says whether they add up to what is stored; with
+    one, whose certainty is not stored, they say what is there and whether the floor applied."""
+    c = citations.withColumn("category", S.category(F.col("kind"), F.col("source"), F.col("rule_id"))).where("category is not null")
+    has = c.groupBy("threat_id").agg(F.collect_set("category").alias("__c"))
+    d = threats.join(has, "threat_id", "left").withColumn("__c", F.coalesce("__c", F.array().cast("array<string>")))
+    there = lambda k: F.array_contains("__c", k)
+    solid = [k for k, _ in QUALITATIVE if k != "inference"]
+    points = {k: v for k, v in S.CATEGORY_POINTS.items() if k in solid and k != "gap"}
+    count = F.size(F.array_intersect("__c", F.array(*map(F.lit, solid))))
+    alone = (count == 0) & there("inference")
+    total = sum((F.when(there(k), v).otherwise(0) for k, v in points.items()), F.lit(0)) + F.when(count >= 2, 100).otherwise(0) + F.when(alone, 200).otherwise(0) - 150 * F.col("assumptions")
+    exact = ~there("gap") & (F.greatest(F.lit(0), F.least(F.lit(1000), total)) == F.col("milli"))
+    numbered = [F.when(there(k), F.lit(f"{k} +{v}")) for k, v in points.items()] + [F.when(count >= 2, F.lit("two kinds of evidence +100")), F.when(alone, F.lit("inference +200")), F.when(F.col("assumptions") > 0, F.format_string("assumptions -%d", 150 * F.col("assumptions")))]
+    only_gaps = there("gap") & (F.size(F.array_except("__c", F.array(F.lit("gap"), F.lit("inference")))) == 0)
+    floor = F.when(only_gaps & (F.col("milli") == 400), F.lit("Raised to the minimum of 40 %")).when(only_gaps & (F.col("milli") < 400), F.lit("Not raised to the minimum of 40 %"))
+    worded = [F.when(there(k), F.lit(text)) for k, text in QUALITATIVE] + [F.when(F.col("assumptions") > 0, F.format_string("Lowered by %d unconfirmed assumptions", "assumptions")), floor]
+    kept = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    return d.select("threat_id", exact.alias("exact"), F.when(exact, kept(numbered)).otherwise(kept(worded)).alias("lines"))

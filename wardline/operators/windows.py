@@ -59,21 +59,35 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, value: str, lo: s
     return points.join(r, (points[key] == r["__k"]) & (points[value] >= r[lo]) & (r[hi].isNull() | (points[value] < r[hi]))).drop("__k")
 
 
-def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, jaccard), a < b, of rows of one block whose token sets reach the threshold; no tokens at all is 0.
-
-    Every pair that qualifies shares one of the first tokens, rarest first, that prefix filtering keeps:
-    a set of n tokens keeps n - ceil(t n) + 1. Only rows that meet in a kept token are compared."""
+def word_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(id, representative, words, block keys): rows of one block with the same set of tokens share the smallest id among
+    them. Tokens are known by 64 bits of hash; only hashes are grouped. Rows without a token are left out."""
     keys = [f"__block{i}" for i in range(len(blocks))]  # block columns may be called like ours
-    words = rows.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), tokens(F.col(text), stopwords).alias("w")).where(F.size("w") > 0)
-    each = words.select("id", *keys, F.size("w").alias("n"), F.explode("w").alias("t"))
-    often = each.groupBy(*keys, "t").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("id", *keys).orderBy("c", "t")
-    kept = each.join(often, [*keys, "t"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    left = kept.select(*keys, "t", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = kept.select(*keys, "t", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, [*keys, "t"]).where((F.col("a") < F.col("b")) & (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))).select("a", "b").distinct()
-    full = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    words = F.array_sort(F.transform(tokens(F.col(text), stopwords), lambda t: F.xxhash64(t)))
+    d = rows.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), words.alias("words")).where(F.size("words") > 0)
+    return d.withColumn("representative", F.min("id").over(Window.partitionBy(*keys, F.xxhash64("words"), F.hash("words"))))
+
+
+def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, jaccard), a < b, of word sets of one block that reach the threshold, each under its representative (word_sets
+    says whose); copies are one set and make no pairs.
+
+    Two sets that qualify share one of the first tokens, rarest first, that prefix filtering keeps (of n tokens
+    n - ceil(t n) + 1). Where they meet, their sizes and the places of the shared token bound what they can have in common;
+    pairs that cannot reach the threshold are dropped inside the join. Only the rest are compared."""
+    sets = word_sets(rows, id_, text, blocks, stopwords).where("id = representative").dropDuplicates(["id", *(f"__block{i}" for i in range(len(blocks)))])
+    keys = [f"__block{i}" for i in range(len(blocks))]
+    each = sets.select("id", *keys, F.size("words").alias("n"), F.explode("words").alias("t"))
+    often = each.groupBy(*keys, "t").agg(F.count("*").alias("c")).where("c > 1")  # a token of one set alone meets no other
+    place = F.row_number().over(Window.partitionBy("id", *keys).orderBy("c", "t"))
+    ranked = each.join(often, [*keys, "t"], "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("p", place)
+    kept = ranked.where((F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1) & (F.col("c") > 1))
+    one = lambda x: kept.select(*keys, "t", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    met = one("a").join(one("b"), [*keys, "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (most >= least))
+    held = sets.select("id", "words")
+    full = met.select("a", "b").distinct().join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     same = F.size(F.array_intersect("wa", "wb"))
     return full.select("a", "b", (same / (F.size("wa") + F.size("wb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,27 +9,9 @@ from wardline.functions import guards, paths, text, versions
 from wardline.functions import scoring as S
 from wardline.operators import evaluation as ev
 from wardline.operators import history, scoring, views, windows
+from wardline.plans.registry import QUERIES, SQL, query, table
 from wardline.streaming import state
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- findings and evidence in the shape of the scorer, from orders and lineitem ---
 
 
@@ -303,15 +283,24 @@ def range_join_versions(spark, sf_dir):
     return windows.range_join(table(spark, sf_dir, "lineitem"), r, "l_partkey", "l_quantity", "lo", "hi").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
 
 
-@query("""WITH w AS (SELECT doc_id, lang, source, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS w FROM documents),
-u AS (SELECT w, lang, source, count(*) AS n FROM w WHERE len(w) > 0 GROUP BY ALL)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE, 9) AS jaccard
-FROM w a JOIN w b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id AND len(a.w) > 0 AND len(b.w) > 0
+WORDS_SQL = """WITH w AS (SELECT doc_id, lang, source, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS w FROM documents),
+r AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, source, w) AS rep FROM w WHERE len(w) > 0), u AS (SELECT * FROM r WHERE doc_id = rep)
+"""
+
+
+@query(WORDS_SQL + """SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE, 9) AS jaccard
+FROM u a JOIN u b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id
 WHERE len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
 def near_duplicate_docs(spark, sf_dir):
+    """Pairs of different word sets, each under its representative; near_duplicate_classes says who has which."""
     return windows.similar_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang", "source"]).withColumn("jaccard", F.round("jaccard", 9))
 
 
+@query(WORDS_SQL + "SELECT doc_id, rep AS representative FROM r")
+def near_duplicate_classes(spark, sf_dir):
+    return windows.word_sets(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang", "source"]).select(F.col("id").alias("doc_id"), "representative")
+
+
 @query("""WITH RECURSIVE e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id),
 r AS (SELECT a AS node, min(b) AS m FROM e GROUP BY 1) SELECT node, least(node, m) AS root FROM r""")
 def connected_components(spark, sf_dir):
@@ -610,3 +599,8 @@ def question_candidates(spark, sf_dir):
     t = t.select(F.lit("r").alias("run_id"), "threat_id", (F.col("threat_id") % 4 + 1).alias("weight"), (F.col("threat_id") % 100 / F.lit(100.0)).alias("confidence"), "component_ids", F.array().cast("array<string>").alias("unknown_ids"))
     u = li.select(F.lit("r").alias("run_id"), (F.col("l_partkey") % 20).cast("string").alias("id")).distinct().withColumn("component_ids", F.array("id"))
     return model.question_candidates(u, t).select("unknown_id", "n", F.round("value", 6).alias("value"))
+
+
+from wardline.plans import models, repositories  # noqa: E402, F401  (they register their queries)
+
+__all__ = ["QUERIES", "SQL"]

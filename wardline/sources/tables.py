@@ -113,3 +113,12 @@ def issue_drafts(threats: DataFrame, evidence: DataFrame) -> DataFrame:
     total = F.sum(F.length("line") + 1).over(Window.partitionBy("threat_id").orderBy("pos"))
     kept = lines.withColumn("t", total).where(F.col("used") + 2 + F.col("t") <= BODY).groupBy("threat_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     return head.join(kept, "threat_id", "left").select("threat_id", "title", F.concat_ws("\n\n", "head", "lines").alias("body"))
+
+
+def write_log(df: DataFrame, path: str) -> None:
+    """Rows (level, message, fields map) as JSON lines. An authorization field loses its value; a secret that is left anywhere
+    stops the write."""
+    from wardline.functions.guards import refuse_secrets
+
+    clean = F.transform_values("fields", lambda k, v: F.when(F.lower(k) == "authorization", F.lit("[REDACTED:authorization]")).otherwise(v))
+    refuse_secrets(df.select(F.to_json(F.struct("level", "message", clean.alias("fields"))).alias("value")), "value").write.mode("append").text(path)
