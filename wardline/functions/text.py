@@ -22,8 +22,10 @@ def slug(text: Column) -> Column:
 
 
 def tokens(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, stopwords)).cast("array<string>"))
+    """Different words of a-z and 0-9, lower-cased, without the stop words."""
+    flat = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    words = F.array_distinct(F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")))
+    return F.array_except(words, F.array(*map(F.lit, stopwords)).cast("array<string>")) if stopwords else words
 
 
 def one_line(text: Column, most: int) -> Column:

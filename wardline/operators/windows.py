@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from wardline.functions.text import tokens
-from wardline.session import checkpointed
+from wardline.session import discard, materialize
 
 
 def merge_intervals(rows: DataFrame, group: list[str], lo: str, hi: str, touching: bool = True) -> DataFrame:
@@ -18,24 +23,49 @@ def merge_intervals(rows: DataFrame, group: list[str], lo: str, hi: str, touchin
     return d.groupBy(*group, "__island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("n")).drop("__island")
 
 
+def walk(rows: DataFrame, group: list[str], order: list[str], given: list[str], start, step, out: str, kind: str) -> DataFrame:
+    """rows (group, order, given columns) with one column more, from a state that is carried from row to row within each
+    group: ``start()`` makes it, ``step(state, *given values)`` returns the next one and the row's value.
+
+    A group's rows come to one task, sorted by Spark, and pass through it once in Arrow batches: the state is all that
+    is held, so a hot group costs time in one task but no memory. Pass numbers only, never texts."""
+    d = rows.select(*dict.fromkeys([*group, *order, *given])).repartition(*group).sortWithinPartitions(*group, *order)
+    names, arrow = d.columns, to_arrow_type(_parse_datatype_string(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            column = lambda c: batch.column(names.index(c)).to_pylist()
+            keys, values, made = list(zip(*map(column, group), strict=True)), list(zip(*map(column, given), strict=True)), []
+            for k, v in zip(keys, values, strict=True):
+                if state is None or k != key:
+                    key, state = k, start()
+                state, x = step(state, *v)
+                made.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], [*names, out])
+
+    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields) + f", {out} {kind}")
+
+
 def skip_fit(rows: DataFrame, group: list[str], size: str, order: list[str], budget: int, most: int | None = None) -> DataFrame:
     """rows with taken: in order, each row that still fits the budget is taken, others are skipped and the walk goes on.
 
-    No running sum can say this, as a skipped row uses nothing. A group's sizes are folded as one array of
-    longs; the texts or contents of rows take no part."""
+    No running sum can say this, as a skipped row uses nothing. Only sizes are walked; the texts or contents of rows take
+    no part. A null size is zero."""
     w = Window.partitionBy(*group).orderBy(*order)
     numbered = rows.withColumn("__n", F.row_number().over(w))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("took"))
+    sized = numbered.select(*group, "__n", F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("__s"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["s"] <= budget
-        if most is not None:
-            fits = fits & (F.size(acc["took"]) < most)
-        return F.struct(F.when(fits, acc["used"] + x["s"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["took"], F.array(x["n"]))).otherwise(acc["took"]).alias("took"))
+    def step(state: tuple[int, int], s: int) -> tuple[tuple[int, int], bool]:
+        used, took = state
+        fits = used + s <= budget and (most is None or took < most)
+        return (used + s, took + 1) if fits else state, fits
 
-    walk = F.aggregate(F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("s")))), start, step)
-    taken = numbered.groupBy(*group).agg(walk.alias("__w")).select(*group, F.explode("__w.took").alias("__n")).withColumn("__t", F.lit(True))
-    return numbered.join(taken, [*group, "__n"], "left").select(*rows.columns, F.coalesce("__t", F.lit(False)).alias("taken"))
+    taken = walk(sized, group, ["__n"], ["__s"], lambda: (0, 0), step, "__t", "boolean").where("__t").select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__n").alias("__m"))
+    same = F.col("__n") == F.col("__m")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return numbered.join(taken, same, "left").select(*rows.columns, F.col("__m").isNotNull().alias("taken"))
 
 
 def prefixes(path: Column) -> Column:
@@ -64,8 +94,9 @@ def word_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords
     them. Tokens are known by 64 bits of hash; only hashes are grouped. Rows without a token are left out."""
     keys = [f"__block{i}" for i in range(len(blocks))]  # block columns may be called like ours
     words = F.array_sort(F.transform(tokens(F.col(text), stopwords), lambda t: F.xxhash64(t)))
-    d = rows.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), words.alias("words")).where(F.size("words") > 0)
-    return d.withColumn("representative", F.min("id").over(Window.partitionBy(*keys, F.xxhash64("words"), F.hash("words"))))
+    spoken = rows.where(F.col(text).rlike("[a-zA-Z0-9]"))  # so that no test of the tokens makes them twice
+    d = spoken.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), words.alias("words"))
+    return d.withColumn("representative", F.min("id").over(Window.partitionBy(*keys, F.xxhash64("words"), F.hash("words")))).where(F.size("words") > 0)
 
 
 def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
@@ -75,8 +106,8 @@ def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], thres
     Two sets that qualify share one of the first tokens, rarest first, that prefix filtering keeps (of n tokens
     n - ceil(t n) + 1). Where they meet, their sizes and the places of the shared token bound what they can have in common;
     pairs that cannot reach the threshold are dropped inside the join. Only the rest are compared."""
-    sets = word_sets(rows, id_, text, blocks, stopwords).where("id = representative").dropDuplicates(["id", *(f"__block{i}" for i in range(len(blocks)))])
     keys = [f"__block{i}" for i in range(len(blocks))]
+    sets = materialize(word_sets(rows, id_, text, blocks, stopwords).where("id = representative").dropDuplicates(["id", *keys]), "word-sets")
     each = sets.select("id", *keys, F.size("words").alias("n"), F.explode("words").alias("t"))
     often = each.groupBy(*keys, "t").agg(F.count("*").alias("c")).where("c > 1")  # a token of one set alone meets no other
     place = F.row_number().over(Window.partitionBy("id", *keys).orderBy("c", "t"))
@@ -92,18 +123,23 @@ def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], thres
     return full.select("a", "b", (same / (F.size("wa") + F.size("wb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node each node of an edge reaches. Alternating star rounds with checkpoints; each
-    regroups by a pre-aggregated minimum, and the smallest label halves the way to it in every round."""
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+    """(node, root): the smallest node each node of an edge (a, b) reaches, by alternating large-star and small-star rounds.
+
+    Every round regroups edges by one end with a pre-aggregated minimum and a join that adaptive execution may split, so
+    no neighbourhood is gathered in a task. Rounds stop when the edge set no longer changes; each is a table in the
+    shared folder, and replaces the one before."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e, before = checkpointed(e), None
+    e, before = materialize(e, name), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         both_ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = checkpointed(large.join(least, "a").select(F.explode(both_ends).alias("e")).select("e.*").where("a <> b").distinct())
+        done, e = e, materialize(large.join(least, "a").select(F.explode(both_ends).alias("e")).select("e.*").where("a <> b").distinct(), name)
+        discard(done)
+        # sums of 64-bit hashes as decimals tell edge sets apart
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

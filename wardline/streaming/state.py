@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wardline.operators.windows import walk
+
 LIMIT, WINDOW_S = 5, 3600
 
 
@@ -25,18 +27,16 @@ def _walk(times: list[float], start: float | None, n: int, limit: int, window: f
 
 
 def limit_events(events: DataFrame, key: str, ts: str, order: str, limit: int = LIMIT, window_s: int = WINDOW_S) -> DataFrame:
-    """(key, order, allowed): the first ``limit`` events of each window of a key pass. Windows are anchored at
-    events, so the walk is sequential; it folds one key's times as numbers, in (ts, order)."""
-    start = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<id: bigint, ok: boolean>>").alias("out"))
-
-    def step(acc, x):
-        fresh = acc["start"].isNull() | (x["t"] >= acc["start"] + F.lit(window_s * 1_000_000))
-        n = F.when(fresh, 0).otherwise(acc["n"])
-        ok = n < limit
-        return F.struct(F.when(fresh, x["t"]).otherwise(acc["start"]).alias("start"), F.when(ok, n + 1).otherwise(n).alias("n"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), ok.alias("ok")))).alias("out"))
-
-    times = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).cast("bigint").alias("id"))))
-    return events.groupBy(key).agg(F.aggregate(times, start, step)["out"].alias("o")).select(key, F.explode("o").alias("o")).select(key, F.col("o.id").alias(order), F.col("o.ok").alias("allowed"))
+    """(key, order, allowed): the first ``limit`` events of each window of a key pass. Windows are anchored at events, so
+    each key's times are walked in (ts, order), with the window's start and count as all that is held."""
+    def step(state: tuple[int | None, int], t: int) -> tuple[tuple[int | None, int], bool]:
+        start, n = state
+        if start is None or t >= start + window_s * 1_000_000:
+            start, n = t, 0
+        return (start, n + (n < limit)), n < limit
+
+    d = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"))
+    return walk(d, [key], ["__t", order], ["__t"], lambda: (None, 0), step, "allowed", "boolean").select(key, order, "allowed")
 
 
 def limit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = LIMIT, window_s: int = WINDOW_S) -> DataFrame:
