@@ -1,12 +1,8 @@
-"""What the text operators share: table access, the shared folder, byte batches, components."""
+"""What the text operators share: table access, byte batches, reserved names; written tables and components come from the rest."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.operators.windows import components as connected_components
+from wardline.session import discard, materialize, new_path, shared_dir
+
+__all__ = ["connected_components", "discard", "materialize", "new_path", "shared_dir"]
+
 #: ASCII white space, as the contracts' word pattern excludes it; bytes.split() splits on the same six.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -22,42 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session (tests) gets a folder of its
-    own, removed at exit; on a cluster such a folder would be another one on each machine, so that is refused."""
-    sc = spark.sparkContext
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(sc, "_wardline_dir", None)
-    if own is None:
-        own = sc._wardline_dir = tempfile.mkdtemp(prefix="wardline-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{own}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wardline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder: it outlives executors, and is compressed."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes a table made by materialize, once nothing that is still to run reads it."""
-    sc = table.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(table._written_at)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def put_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with the caller's columns that begin with two underscores, as our working columns do, under other names, and the
     way back."""
@@ -105,34 +70,3 @@ def release(spark: SparkSession) -> None:
     """Lets the context cleaner drop the shuffle files of finished jobs now, not at the driver's next collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def connected_components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
-    """Labels of an undirected graph by alternating large-star and small-star rounds.
-
-    ``edges`` has long columns a, b; the result has node, root (the smallest node reachable), one row
-    for each node that has an edge. Every round regroups edges by one end with a pre-aggregated minimum
-    and a join that adaptive execution may split, so no neighbourhood is gathered in a task. Rounds stop
-    when the edge set no longer changes; each is written to the shared folder.
-    """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = materialize(e, name)
-    before = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.*").where("a <> b").distinct()
-        )
-        done, e = e, materialize(small, name)
-        discard(done)
-        # 64-bit sums of hashes wrap through decimals, so the comparison is exact enough to tell edge sets apart
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = tuple(now)
-    raise RuntimeError("components did not settle")
