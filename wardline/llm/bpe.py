@@ -18,6 +18,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -209,13 +210,10 @@ class Utf8Machine:
 
 def decode_stream(ids: Iterable[int], table: dict[int, bytes], chunk: int = 4096) -> Iterator[str]:
     """Text of ids, chunk by chunk; no chunk splits a code point."""
-    machine, held = Utf8Machine(), []
-    for i in ids:
-        held.append(table[i])
-        if len(held) >= chunk:
-            yield machine.feed(b"".join(held))
-            held.clear()
-    yield machine.feed(b"".join(held)) + machine.end()
+    machine = Utf8Machine()
+    for part in batched(ids, chunk):
+        yield machine.feed(b"".join(map(table.__getitem__, part)))
+    yield machine.end()
 
 
 def digest_stream(ids: Iterable[int], table: dict[int, bytes], chunk: int = 4096, parts: list[str] | None = None) -> str:
