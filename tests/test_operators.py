@@ -287,7 +287,10 @@ def test_prefixes_pairs_components(spark):
     rows = [(i, "b", " ".join(r.sample("abcdefghij", r.randint(0, 8)))) for i in range(80)]
     sets = {i: set(t.split()) for i, _, t in rows}
     want = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6]
-    assert col(windows.similar_pairs(spark.createDataFrame(rows, "id int, b string, t string"), "id", "t", ["b"]), "a", "b") == sorted(want)
+    df = spark.createDataFrame(rows, "id int, b string, t string")
+    of = dict(col(windows.word_sets(df, "id", "t", ["b"]), "id", "representative"))
+    assert of == {a: min(b for b in sets if sets[b] == sets[a]) for a in sets if sets[a]}
+    assert col(windows.similar_pairs(df, "id", "t", ["b"]), "a", "b") == sorted({(of[a], of[b]) if of[a] < of[b] else (of[b], of[a]) for a, b in want if of[a] != of[b]})
     assert dict(col(windows.components(spark.createDataFrame([(3, 2), (2, 1), (9, 8), (5, 5)], "a int, b int")), "node", "root")) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
 
 
