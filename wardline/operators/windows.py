@@ -47,6 +47,38 @@ def walk(rows: DataFrame, group: list[str], order: list[str], given: list[str],
     return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields) + f", {out} {kind}")
 
 
+def in_ranges(rows: DataFrame, group: list[str], order: list[str | Column], name: str = "ranges") -> DataFrame:
+    """rows in written ranges of (group, order), with two columns more: __range says which, __key is the group as one value
+    (null is a group of its own). A hot group fills as many ranges as its share of rows; only rows equal in group and order
+    are always in one, so end the order with something that tells rows apart. Columns of those two names are replaced."""
+    key = F.struct(*(F.col(g).alias(f"k{i}") for i, g in enumerate(group))) if group else F.lit(0)
+    by = [F.col(x) if isinstance(x, str) else x for x in [*group, *order]]
+    dealt = rows.withColumn("__key", key).repartitionByRange(*(by or [F.lit(0)])).withColumn("__range", F.spark_partition_id())
+    return materialize(dealt, name)
+
+
+def running_sums(ranged: DataFrame, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """Rows of in_ranges with two columns more for each of sums: <name>_before, the sum over the earlier rows of the group in
+    that order, and <name>_total, the sum over the group. Values may not be null.
+
+    Each range sums its own rows; one row for each range and group, not more, is then summed over the ranges of a group.
+    So no task holds a group, however large. Rows equal in the order stand in any order among themselves. An empty table
+    gives an empty one."""
+    by = [F.col(x) if isinstance(x, str) else x for x in order]
+    d = ranged.withColumns({f"__v_{k}": v for k, v in sums.items()})
+    parts = d.groupBy("__range", "__key").agg(*(F.sum(f"__v_{k}").alias(f"__p_{k}") for k in sums))
+    whole = Window.partitionBy("__key")
+    earlier = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda v, k: F.coalesce(v, F.lit(0).cast(parts.schema[f"__p_{k}"].dataType))
+    starts = parts.select(
+        "__range", "__key", *(zero(F.sum(f"__p_{k}").over(earlier), k).alias(f"__s_{k}") for k in sums), *(F.sum(f"__p_{k}").over(whole).alias(f"{k}_total") for k in sums)
+    )
+    own = Window.partitionBy("__range", "__key").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"__b_{k}": zero(F.sum(f"__v_{k}").over(own), k) for k in sums}).join(starts, ["__range", "__key"])
+    before = [(F.col(f"__s_{k}") + F.col(f"__b_{k}")).cast(parts.schema[f"__p_{k}"].dataType).alias(f"{k}_before") for k in sums]
+    return d.select(*ranged.columns, *before, *(F.col(f"{k}_total") for k in sums))
+
+
 def skip_fit(rows: DataFrame, group: list[str], size: str, order: list[str], budget: int, most: int | None = None) -> DataFrame:
     """rows with taken: in order, each row that still fits the budget is taken, others are skipped and the walk goes on.
 
