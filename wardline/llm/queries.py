@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.session import workers_import
 
-from . import bpe, chat, decontaminate, line_dedup, ppm, quality, simhash, token_counts, toxicity, warc
+from . import bpe, chat, decontaminate, line_dedup, mixing, ppm, quality, simhash, token_counts, toxicity, warc
 from .common import materialize, read, remainder
 
 TOKEN_LIMIT = 2048
@@ -75,6 +75,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(read(spark, sf_dir, "documents"))
+    return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return {k: (lambda spark, sf_dir, f=f: f(workers_import(spark), sf_dir)) for k, f in found.items()}
@@ -163,6 +168,36 @@ FROM d
 """
 
 
+def _op13_sql() -> str:
+    """The same sums in whole units; the level is found by the same pass over the sources."""
+    unit, most, share = mixing.UNIT, mixing.MOST, mixing.SHARE
+    whole = lambda x: f"({x}) // {unit}"
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {weight} END AS weight FROM s
+), f AS (
+  SELECT *, coalesce(sum(source_size) OVER o, 0) AS size_before, sum(source_size) OVER () AS size_total, coalesce(sum(weight) OVER o, 0) AS weight_before, sum(weight) OVER () AS weight_total
+  FROM w WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), v AS (
+  SELECT *, ({share}::DOUBLE * CAST(size_total AS DOUBLE) - CAST({most} * size_before AS DOUBLE)) / CAST(weight_total - weight_before AS DOUBLE) AS level, CAST(source_size AS DOUBLE) / weight AS ratio FROM f
+), t AS (
+  SELECT source, source_size, least(CAST({most} * source_size AS DOUBLE), coalesce((SELECT arg_min(level, (ratio, size_before)) FROM v WHERE level < {most} * ratio), 'infinity'::DOUBLE) * weight) AS target FROM v
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * {unit}::DOUBLE) ELSE 0 END AS HUGEINT) AS e,
+    CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS HUGEINT) AS n, CAST(CAST('0x' || substr(md5('0:' || coalesce(d.source, '')), 1, 12) AS BIGINT) AS HUGEINT) AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, CAST({whole("u + (n + 1) * e")} - {whole("u + n * e")} AS BIGINT) AS copies FROM r
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op6_line_dedup": OP6_SQL, "op6_line_dedup_short": OP6_SHORT_SQL, "op8_quality": _op8_sql()}
+    return {"op6_line_dedup": OP6_SQL, "op6_line_dedup_short": OP6_SHORT_SQL, "op8_quality": _op8_sql(), "op13_mixing": _op13_sql()}
