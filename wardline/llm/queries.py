@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.session import workers_import
 
-from . import bpe, chat, decontaminate, line_dedup, mixing, ppm, quality, simhash, token_counts, toxicity, warc
+from . import bpe, chat, decontaminate, line_dedup, merkle, mixing, ppm, quality, simhash, token_counts, toxicity, warc
 from .common import materialize, read, remainder
 
 TOKEN_LIMIT = 2048
@@ -75,6 +75,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of even crc32 are tampered with: their texts lose their line breaks. Rows without an id stay as they are."""
+    docs, columns = read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    forged = F.when(remainder(F.col("doc_id"), 2) == 0, merkle.digest_of([F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in columns]))
+    found = merkle.manifest(docs, columns, keep={"forged": forged})
+    siblings = F.array_join(F.flatten(F.transform("proof", lambda s: s["siblings"])), "")
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("forged", "leaf"), F.col("proof")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(read(spark, sf_dir, "documents"))
     return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -168,6 +178,45 @@ FROM d
 """
 
 
+#: crc32 of the text of a number, as a list of bytes that is folded through the table of 256 remainders.
+CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS crc FROM range(256) r(i))"
+
+
+def _crc32_sql(number: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS INT) + 1]), 4294967295), 4294967295)"
+
+
+def _op11_sql(levels: int = 12) -> str:
+    """Trees of up to 3**levels leaves, level by level: n<k> has the nodes, p<k> their siblings to the left and right."""
+    said = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(said(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    out = [
+        f"c AS {CRC_TABLE}",
+        f"d AS (SELECT row_number() OVER () AS rid, doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id')} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS forged FROM documents, c)",
+        "a0 AS (SELECT source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS digest, rid FROM d)",
+    ]
+    for t, first in (("a", "a0"), ("b", "b0")):
+        if t == "b":
+            out.append(f"b0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, digest, tree AS source FROM a{levels})")
+        for k in range(levels):
+            out.append(f"{t}p{k} AS (SELECT tree, pos // 3 AS pos, list(digest ORDER BY pos) AS ds, max(max(pos)) OVER (PARTITION BY tree) AS last FROM {t}{k} GROUP BY tree, pos // 3)")
+            out.append(f"{t}{k + 1} AS (SELECT tree, pos, CASE WHEN last = 0 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS digest FROM {t}p{k})")
+    row, left, steps = "d JOIN a0 ON a0.rid = d.rid", [], []
+    for t, base, tree in (("a", "a0", "a0.tree"), ("b", "b0", "0")):
+        if t == "b":
+            row += f" JOIN a{levels} ON a{levels}.tree IS NOT DISTINCT FROM a0.tree JOIN b0 ON b0.source IS NOT DISTINCT FROM a0.tree"
+        for k in range(levels):
+            row += f" JOIN {t}p{k} ON {t}p{k}.tree IS NOT DISTINCT FROM {tree} AND {t}p{k}.pos = {base}.pos // {3 ** (k + 1)}"
+            place = f"{base}.pos // {3**k} % 3"
+            steps.append((f"array_to_string({t}p{k}.ds[1:{place}], '')", f"array_to_string({t}p{k}.ds[{place} + 2:], '')", f"{t}p{k}.last"))
+    cols = ", ".join(f"{a} AS l{i}, {b} AS r{i}, {last} AS z{i}" for i, (a, b, last) in enumerate(steps))
+    out.append(f"f0 AS (SELECT doc_id, leaf, a{levels}.digest AS subroot, b{levels}.digest AS root, coalesce(forged, leaf) AS folded, {cols} FROM {row} JOIN b{levels} ON true)")
+    for i in range(len(steps)):
+        out.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN z{i} = 0 THEN folded ELSE sha256(l{i} || folded || r{i}) END AS folded) FROM f{i})")
+    siblings = " || ".join(f"l{i} || r{i}" for i in range(len(steps)))
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, root, sha256({siblings}) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f{len(steps)}"
+
+
 def _op13_sql() -> str:
     """The same sums in whole units; the level is found by the same pass over the sources."""
     unit, most, share = mixing.UNIT, mixing.MOST, mixing.SHARE
@@ -200,4 +249,4 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op6_line_dedup": OP6_SQL, "op6_line_dedup_short": OP6_SHORT_SQL, "op8_quality": _op8_sql(), "op13_mixing": _op13_sql()}
+    return {"op6_line_dedup": OP6_SQL, "op6_line_dedup_short": OP6_SHORT_SQL, "op8_quality": _op8_sql(), "op11_merkle": _op11_sql(), "op13_mixing": _op13_sql()}
