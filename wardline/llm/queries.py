@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.session import workers_import
 
-from . import bpe, chat, decontaminate, line_dedup, merkle, mixing, ppm, quality, simhash, token_counts, toxicity, warc
+from . import bpe, chat, decontaminate, line_dedup, merkle, mixing, ppm, prefix_trie, quality, simhash, token_counts, toxicity, warc
 from .common import materialize, read, remainder
 
 TOKEN_LIMIT = 2048
@@ -85,6 +85,22 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """Each conversation c with its first h turns replaced by those of conversation c - c % 100, h being crc32(c) % 6; where
+    that one is absent they are gone. Only the heads of these hundredths take part in the join, each with at most 100 others."""
+    at = F.col("conv_id")
+    heads = sequences.where(at % 100 == 0).select(at.alias("__head"), F.slice("ids", 1, 5).alias("__ids"), F.slice("sizes", 1, 5).alias("__sizes"))
+    h = remainder(at, 6).cast("int")
+    joined = sequences.join(heads, at - at % 100 == F.col("__head"), "left")
+    put = lambda c: F.concat(F.coalesce(F.slice(f"__{c}", F.lit(1), h), F.array().cast(sequences.schema[c].dataType)), F.slice(c, h + 1, F.size(c)))
+    return joined.select("conv_id", put("ids").alias("ids"), put("sizes").alias("sizes"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = materialize(prefix_trie.sequences(read(spark, sf_dir, "conversations")), "sequences")
+    return prefix_trie.nodes(rebuilt(sequences)).drop("turn_id")
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(read(spark, sf_dir, "documents"))
     return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -217,6 +233,31 @@ def _op11_sql(levels: int = 12) -> str:
     return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, root, sha256({siblings}) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f{len(steps)}"
 
 
+OP12_SQL = rf"""
+WITH c AS {CRC_TABLE}, o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), i AS (
+  SELECT conv_id, {_crc32_sql("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), c
+), r AS (
+  SELECT i.conv_id, n, role, text FROM i JOIN o ON o.conv_id = i.conv_id - i.conv_id % 100 AND n <= h UNION ALL SELECT i.conv_id, n, role, text FROM i JOIN o ON o.conv_id = i.conv_id AND n > h
+), s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS depth, sha256(strlen(role) || ':' || role || text) AS turn, length(text) AS size FROM r
+), p AS (
+  SELECT conv_id, depth, size, array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY depth), ',') AS key FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM i
+), q AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS up, max(depth) OVER (PARTITION BY conv_id) = depth AS ends FROM p
+), n AS (
+  SELECT key, any_value(up) AS up, any_value(depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM q GROUP BY key
+), k AS (
+  SELECT up AS key, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up
+), t AS (
+  SELECT q.key, count(*) FILTER (k.key IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved_tokens FROM n LEFT JOIN k ON k.key = n.key JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY q.key
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN t ON t.key = n.key LEFT JOIN k ON k.key = n.key LEFT JOIN n AS u ON u.key = n.up
+"""
+
+
 def _op13_sql() -> str:
     """The same sums in whole units; the level is found by the same pass over the sources."""
     unit, most, share = mixing.UNIT, mixing.MOST, mixing.SHARE
@@ -249,4 +290,4 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op6_line_dedup": OP6_SQL, "op6_line_dedup_short": OP6_SHORT_SQL, "op8_quality": _op8_sql(), "op11_merkle": _op11_sql(), "op13_mixing": _op13_sql()}
+    return {"op6_line_dedup": OP6_SQL, "op6_line_dedup_short": OP6_SHORT_SQL, "op8_quality": _op8_sql(), "op11_merkle": _op11_sql(), "op12_prefix_trie": OP12_SQL, "op13_mixing": _op13_sql()}
