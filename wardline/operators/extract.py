@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,36 +61,50 @@ def route_handlers(files: DataFrame, path: str, content: str, *keys: str) -> Dat
     return app.unionByName(pages).select(*keys, path, "method", "url")
 
 
+#: A comment or a string, as one token. A slash after a backslash opens no comment, so a regular expression like /\\/*$/ blanks
+#: nothing; a comment or backtick string left open runs to the end, a quote left open to the end of its line.
+_token = re.compile(
+    r"(?P<comment>(?<!\\)//[^\n]*|(?<!\\)/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
+    r"""|"(?P<a>(?:\\[\s\S]|[^"\\\n])*+\\?)"?|'(?P<b>(?:\\[\s\S]|[^'\\\n])*+\\?)'?|`(?P<c>(?:\\[\s\S]|[^`\\])*+\\?)`?"""
+)
+_visible = re.compile(r"[^\n]")
+
+
+def mask_both(code: str) -> tuple[str, str]:
+    """The code with comments and what is inside quotes as blanks, and with comments alone as blanks; newlines and places stay."""
+    masked, bare, at = [], [], 0
+    for m in _token.finditer(code):
+        before = code[at : m.start()]
+        blank = _visible.sub(" ", m[0])
+        if m["comment"] is not None:
+            masked += [before, blank]
+            bare += [before, blank]
+        else:
+            group = m.lastgroup
+            a, b = m.start(group) - m.start(), m.end(group) - m.start()
+            masked += [before, m[0][:a], blank[a:b], m[0][b:]]
+            bare += [before, m[0]]
+        at = m.end()
+    return "".join([*masked, code[at:]]), "".join([*bare, code[at:]])
+
+
 def mask_text(code: str, strings: bool = True) -> str:
     """Comments, and with ``strings`` what is inside quotes, as blanks; newlines and places stay."""
-    out, i, n = list(code), 0, len(code)
-    blank = lambda a, b: [out.__setitem__(k, " ") for k in range(a, b) if out[k] != "\n"]
-    while i < n:
-        two = code[i : i + 2]
-        if two == "//":
-            end = code.find("\n", i)
-            end = n if end < 0 else end
-            blank(i, end)
-            i = end
-        elif two == "/*":
-            end = code.find("*/", i + 2)
-            end = n if end < 0 else end + 2
-            blank(i, end)
-            i = end
-        elif code[i] in "'\"`":
-            quote, k = code[i], i + 1
-            while k < n and code[k] != quote and not (code[k] == "\n" and quote != "`"):
-                k += 2 if code[k] == "\\" else 1
-            if strings:
-                blank(i + 1, min(k, n))
-            i = k + 1
-        else:
-            i += 1
-    return "".join(out)
+    return mask_both(code)[0 if strings else 1]
+
+
+def with_masks(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with masked and bare, both of one pass: a lexer has state, so it runs in Arrow batches, once for each file."""
+    @F.pandas_udf("masked string, bare string")
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([(None, None) if t is None else mask_both(t) for t in s], columns=["masked", "bare"])
+
+    return files.withColumn("__m", mask(F.col(content))).withColumns({"masked": F.col("__m.masked"), "bare": F.col("__m.bare")}).drop("__m")
 
 
 def masked(files: DataFrame, content: str, name: str = "masked", strings: bool = True) -> DataFrame:
-    """files with the masked text: a lexer has state, so it runs in Arrow batches, once for each file."""
+    """files with one of the two masks as a column of that name."""
     @F.pandas_udf("string")
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

@@ -96,7 +96,7 @@ class Facts:
 
     @property
     def files(self) -> DataFrame:
-        return extract.masked(extract.masked(self.plain, "content"), "content", "bare", strings=False)
+        return extract.with_masks(self.plain)
 
 
 def gap(df: DataFrame) -> DataFrame:
