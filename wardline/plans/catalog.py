@@ -548,7 +548,7 @@ def language_histogram(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey % 50 AS run_id, o_orderkey, 'ev-' || o_orderstatus || '-' || row_number() OVER (PARTITION BY o_orderkey % 50, o_orderstatus ORDER BY o_custkey, o_orderkey) AS id FROM orders""")
-def evidence_ids(spark, sf_dir):
+def evidence_ids_by_order(spark, sf_dir):
     from wardline.operators import intake
 
     o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("run_id"), F.col("o_orderstatus").alias("prefix"), F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line"), F.lit("").alias("summary"), "o_orderkey")
@@ -601,6 +601,6 @@ def question_candidates(spark, sf_dir):
     return model.question_candidates(u, t).select("unknown_id", "n", F.round("value", 6).alias("value"))
 
 
-from wardline.plans import models, repositories  # noqa: E402, F401  (they register their queries)
+from wardline.plans import code, models, repositories  # noqa: E402, F401  (they register their queries)
 
 __all__ = ["QUERIES", "SQL"]
