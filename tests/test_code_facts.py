@@ -54,8 +54,6 @@ def test_two_mounts_are_unknown(spark):
 def test_other_facts(spark):
     f = files(spark)
     assert col(cf.token_checks(f), "file", "line", "kind") == [("src/routes/users.js", 1, "decoded_unverified")]
-    deps = spark.createDataFrame([("r", "pg", "package.json"), ("r", "left-pad", "package.json")], "repo string, name string, file string")
-    assert col(cf.datastores(f, deps), "kind", "origin") == [("browser_storage", "usage"), ("postgres", "dependency"), ("postgres", "usage")]
     assert col(cf.deployments(f), "kind", "name", "ports", "line") == [
         ("container", "Dockerfile", [80, 443], 1), ("hosting", "vercel", [], 1), ("infrastructure", "aws_s3_bucket", [], 1), ("service", "db", [5432], 3), ("service", "web", [], 6), ("workflow", ".github/workflows/ci.yml", [], 2),
     ]

@@ -145,7 +145,7 @@ def route_handlers_by_repo(files: DataFrame) -> DataFrame:
     return h.select("repo", "method", "url", F.col("path").alias("file"), F.lit(1).alias("line"), framework.alias("framework"), F.array().cast("array<string>").alias("middleware"), F.col("masked_body").alias("body"))
 
 
-# What shows a signed-in user, a role, a store, and where a token is checked.
+# What shows a signed-in user, a role, and where a token is checked.
 SESSION_CHECK = r"\b(?:getServerSession|getSession|currentUser|requireUser|requireAuth|verifyToken|isAuthenticated)\s*\(|\breq\s*\.\s*(?:user|session\s*\.\s*user\w*|auth)\b|\bjwt\s*\.\s*verify\s*\("
 GUARD_NAME = r"(?i)auth|protect|require(?:User|Login|Role|Admin|Permission)|isAdmin|verify(?:Token|Jwt|Session|User)|logged_?in|with(?:Role|Permission)|jwt|clerk|guard|session(?:Guard|Required)"
 LIMITER_NAME = r"(?i)limit"
@@ -156,10 +156,6 @@ ROLE_CHECK = (
     r"|\b(?:can|authorize|checkPermission|hasPermission|assertPermission|requirePermission|ability)\w*\s*\(|\bwith(?:Role|Permission)\w*\s*\("
 )
 WRAPPED_EXPORT = r"(?m)^export\s+const\s+[A-Z]+\s*(?::[^=\n]*)?=\s*([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
-STORES = {
-    "postgres": ("pg", "postgres", "pg-promise"), "mysql": ("mysql", "mysql2"), "mongodb": ("mongodb", "mongoose"), "sqlite": ("sqlite3", "better-sqlite3"),
-    "redis": ("redis", "ioredis"), "sql": ("prisma", "@prisma/client", "sequelize", "typeorm", "knex", "drizzle-orm"), "object_storage": ("aws-sdk", "@aws-sdk/client-s3", "@google-cloud/storage"),
-}
 
 
 def is_guard(name: Column) -> Column:
@@ -187,17 +183,6 @@ def token_checks(files: DataFrame) -> DataFrame:
     return lines.select("repo", "file", (F.col("i") + 1).alias("line"), kind.alias("kind")).where("kind is not null")
 
 
-def datastores(files: DataFrame, deps: DataFrame) -> DataFrame:
-    """(repo, kind, name, origin, file): by dependency, by use in code, and in the browser. A store seen in several ways
-    stays several rows."""
-    table = files.sparkSession.createDataFrame([(p, k) for k, ps in STORES.items() for p in ps], "name string, kind string")
-    by_dep = deps.join(F.broadcast(table), "name").select("repo", "kind", "name", F.lit("dependency").alias("origin"), "file")
-    use = F.when(F.col("masked").rlike(r"\b(?:localStorage|sessionStorage|indexedDB)\b"), "browser_storage")
-    client = F.when(F.col("masked").rlike(r"\bnew\s+(?:Pool|Client)\s*\("), "postgres").when(F.col("masked").rlike(r"\bmongoose\s*\.\s*connect\s*\(|\bnew\s+MongoClient\s*\("), "mongodb").when(F.col("masked").rlike(r"\bnew\s+PrismaClient\s*\("), "sql").when(F.col("masked").rlike(r"\bcreateClient\s*\(\s*\{[^}]*\burl\b"), "redis")
-    code = files.where(paths.is_scannable(F.col("path"))).select("repo", F.explode(F.filter(F.array(use, client), lambda k: k.isNotNull())).alias("kind"), F.col("path").alias("file"))
-    return by_dep.unionByName(code.select("repo", "kind", F.col("kind").alias("name"), F.lit("usage").alias("origin"), "file"))
-
-
 def deployments(files: DataFrame) -> DataFrame:
     """(repo, kind, name, ports, file, line) of container builds, compose services, infrastructure and hosting files."""
     base = F.element_at(F.split("path", "/"), -1)

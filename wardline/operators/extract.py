@@ -139,12 +139,7 @@ def without_html_comments(content: Column) -> Column:
     return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["text"]
 
 
-# Which declared packages are a framework, and its category.
-FRAMEWORKS = {
-    "next": "web", "express": "web", "fastify": "web", "koa": "web", "hono": "web", "@nestjs/core": "web", "react": "frontend", "vue": "frontend", "svelte": "frontend",
-    "@angular/core": "frontend", "firebase": "cloud", "firebase-admin": "cloud", "next-auth": "auth", "passport": "auth", "@clerk/nextjs": "auth", "prisma": "orm", "@prisma/client": "orm",
-    "mongoose": "orm", "typeorm": "orm", "sequelize": "orm", "drizzle-orm": "orm",
-}
+# What shows a platform by use.
 WORKER_MODULE = r"\bexport\s+default\s*\{\s*(?:async\s+)?fetch\s*[(:,]"
 WORKER_LISTENER = r"""\baddEventListener\s*\(\s*(?:'fetch'|"fetch"|`fetch`)"""
 FIREBASE_USE = r"""\bfirebase\s*\.\s*initializeApp\s*\(|\bfrom\s*(?:'firebase/app'|"firebase/app"|`firebase/app`)"""
@@ -154,13 +149,6 @@ def _line(text: Column, pattern: str) -> Column:
     return F.size(F.split(F.get(F.split(text, pattern, 2), F.lit(0)), "\n"))
 
 
-def manifest_frameworks(deps: DataFrame) -> DataFrame:
-    """(repo, name, category, version, origin, file, dev) of declared packages (repo, name, spec, dev, file) that are frameworks."""
-    table = F.create_map(*(F.lit(x) for kv in FRAMEWORKS.items() for x in kv))
-    d = deps.withColumn("category", F.try_element_at(table, F.col("name"))).where("category is not null")
-    return d.select("repo", "name", "category", F.col("spec").alias("version"), F.lit("manifest").alias("origin"), "file", "dev")
-
-
 def usage_frameworks(files: DataFrame) -> DataFrame:
     """(repo, name, category, file, line, origin) of platforms that code shows by use: a worker's entry point, and the Firebase
     client. files: repo, path, masked, bare. One row for each platform and file."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import guards, paths
-from wardline.operators import code_facts, extract, rules
+from wardline.operators import code_facts, extract, platforms, rules
 from wardline.plans.registry import facts, pick, query, table, values
 
 URLS = ("/login", "/users/:id", "/admin/users", "/api/items", "/items/:id/edit", "/health", "/password/reset", "/public/news", "/orders", "/admin", "/webhook/stripe")
@@ -267,11 +267,31 @@ def middleware_uses(spark, sf_dir):
     return code_facts.use_calls(Facts(spark, sf_dir).plain).select("repo", "file", "prefix", F.array_join("names", ",").alias("names"))
 
 
-@query(FACTS_SQL + """SELECT repo, CASE name WHEN 'pg' THEN 'postgres' ELSE 'redis' END AS kind, name, 'dependency' AS origin, 'package.json' AS file FROM deps WHERE name IN ('pg', 'redis')
-UNION ALL SELECT repo, 'browser_storage', 'browser_storage', 'usage', path FROM src WHERE contains(content, 'localStorage')""")
+@query(FACTS_SQL + """SELECT repo, 'postgres' AS kind, 'pg' AS name, 'dependency' AS origin, path AS file, 1 AS line FROM files WHERE path = 'package.json'
+UNION ALL SELECT repo, 'browser_storage', 'localStorage auth_token', 'usage', path, 1 FROM files WHERE path = 'src/store.js' UNION ALL SELECT repo, 'firestore', 'firestore.rules', 'config', path, 1 FROM files WHERE path LIKE '%firestore.rules'""")
 def datastores_found(spark, sf_dir):
-    f = Facts(spark, sf_dir)
-    return code_facts.datastores(f.files, f.deps)
+    files = Facts(spark, sf_dir).files
+    return platforms.datastores(files, platforms.frameworks(files))
+
+
+@query(FACTS_SQL + f"""SELECT f.repo, v.* FROM files f JOIN {values([
+    ("express", "web", "^4", "manifest", "package.json", 1), ("pg", "database", "8", "manifest", "package.json", 1), ("zod", "security_middleware", "3", "manifest", "package.json", 1), ("next", "web", "15", "manifest", "web/package.json", 1),
+    ("cdn.x.io", "browser_library", "", "cdn", "site/index.html", 2), ("js.stripe.com", "browser_library", "", "cdn", "site/index.html", 2), ("cdn.y.io", "browser_library", "", "cdn", "site/safe.html", 1),
+])} v(name, category, version, origin, file, line) ON f.path = v.file""")
+def frameworks_found(spark, sf_dir):
+    return platforms.frameworks(Facts(spark, sf_dir).files).drop("dev")
+
+
+#: Pages as they come, each with a script in a comment and two of its own behind its text.
+PAGE_SOURCES = ("https://cdn.jsdelivr.net/npm/chart.js@4.4.{k}/dist/chart.umd.js", "//unpkg.com/@acme/kit@2.{k}.0", "https://cdnjs.cloudflare.com/ajax/libs/lodash.js/4.17.{k}/lodash.js", "https://www.gstatic.com/firebasejs/10.12.{k}/firebase-app.js", "https://img{k}.host.io/a.js?v=1")
+PAGE_NAMES = (("chart.js", "browser_library", "4.4."), ("@acme/kit", "browser_library", "2."), ("lodash.js", "browser_library", "4.17."), ("firebase", "cloud", "10.12."), ("img", "browser_library", ""))
+PAGES = f"""SELECT 'site' || (page_id % 10) AS repo, 'public/p' || page_id || '.html' AS path, html || chr(10) || '<!-- <script src="https://unpkg.com/gone@1.0.0"></script>' || chr(10) || '--><script defer' || chr(10) || ' src="' || replace({pick("page_id", PAGE_SOURCES)}, '{{k}}', CAST(page_id % 7 AS VARCHAR(9))) || '"></script>' || chr(10) || '<SCRIPT SRC=/local.js></SCRIPT>' AS content FROM pages"""
+
+
+@query(f"""SELECT 'site' || (page_id % 10) AS repo, CASE WHEN page_id % 5 = 4 THEN 'img' || (page_id % 7) || '.host.io' ELSE {pick("page_id", tuple(n for n, _, _ in PAGE_NAMES))} END AS name, {pick("page_id", tuple(c for _, c, _ in PAGE_NAMES))} AS category,
+CASE page_id % 5 WHEN 4 THEN '' WHEN 1 THEN '2.' || (page_id % 7) || '.0' ELSE {pick("page_id", tuple(v for _, _, v in PAGE_NAMES))} || (page_id % 7) END AS version, 'public/p' || page_id || '.html' AS file, CAST(length(html) - length(replace(html, chr(10), '')) + 3 AS INT) AS line FROM pages""")
+def page_libraries(spark, sf_dir):
+    return platforms.page_libraries(facts(spark, sf_dir, PAGES, "pages")).select("repo", "name", "category", "version", "file", "line")
 
 
 @query(FACTS_SQL + """SELECT route_id, CASE WHEN mw IN ('requireUser', 'isAdmin') THEN 'authenticated' WHEN mw = 'sanitizeInput' THEN 'unknown' ELSE 'unauthenticated' END AS status, CAST(CASE WHEN mw = 'isAdmin' THEN 1 ELSE 0 END AS INT) AS n_roles, admin FROM routes""")
