@@ -85,24 +85,30 @@ def manifest_frameworks(files: DataFrame) -> DataFrame:
 
 def script_tags(files: DataFrame) -> DataFrame:
     """(repo, file, src, external, integrity, line) of script tags with a source in served pages, comments left out."""
-    tags = found(files.where(served_html(F.col("path"))), without_html_comments(F.col("content")), r"(?i)<script\b")
-    t = tags.withColumn("attributes", F.regexp_extract("rest", r"\A([^>]*)>", 1))
     value = r"""(?i)\bsrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
-    src = F.coalesce(*(F.nullif(F.regexp_extract("attributes", value, i), F.lit("")) for i in (1, 2, 3)))
-    return t.withColumn("src", src).where("src is not null").select("repo", "file", "src", F.col("src").rlike(r"(?i)^(?:https?:)?//").alias("external"), F.col("attributes").rlike(r"(?i)\bintegrity\s*=").alias("integrity"), "line")
+    # step by step on arrays, so that no condition is written out again for every use of what it reads
+    inside = F.transform(occurrences(F.col("__page"), r"(?i)<script\b"), lambda x: F.struct(F.regexp_extract(x["rest"], r"\A([^>]*)>", 1).alias("a"), x["line"].alias("line")))
+    tags = F.transform(inside, lambda x: F.struct(F.concat(*(F.regexp_extract(x["a"], value, i) for i in (1, 2, 3))).alias("src"), x["a"].rlike(r"(?i)\bintegrity\s*=").alias("integrity"), x["line"].alias("line")))
+    pages = files.where(served_html(F.col("path"))).select("repo", F.col("path").alias("file"), without_html_comments(F.col("content")).alias("__page"))
+    t = pages.select("repo", "file", F.explode(F.filter(tags, lambda x: x["src"] != "")).alias("x"))
+    return t.select("repo", "file", "x.src", F.col("x.src").rlike(r"(?i)^(?:https?:)?//").alias("external"), "x.integrity", "x.line")
 
 
 def library(src: Column) -> Column:
     """(name, version) of the library that a script's address loads: of the forms that public hosts use, else the host's name."""
+    clean = lambda x: F.substring(F.regexp_replace(x, r"[^\w@./-]", ""), 1, 80)
+    named = lambda name, version: F.struct(clean(name).alias("name"), clean(version).alias("version"))
+
+    def of(u: Column) -> Column:
+        part = lambda p, i: F.regexp_extract(u["path"], p, i)
+        return (
+            F.when(u["path"].rlike(FIREBASE_PATH), named(F.lit("firebase"), part(FIREBASE_PATH, 1))).when(u["path"].rlike(PACKAGE_PATH) & u["host"].rlike(PACKAGE_HOST), named(part(PACKAGE_PATH, 1), part(PACKAGE_PATH, 2)))
+            .when(u["path"].rlike(ARCHIVE_PATH), named(part(ARCHIVE_PATH, 1), part(ARCHIVE_PATH, 2))).when(u["host"] != "", named(u["host"], F.lit("")))
+        )
+
     host = F.lower(F.regexp_extract(src, r"(?i)^(?:https?:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     path = F.regexp_extract(src, r"(?i)^(?:https?:)?//[^/?#]*([^?#]*)", 1)
-    clean = lambda x: F.substring(F.regexp_replace(x, r"[^\w@./-]", ""), 1, 80)
-    named = lambda name, version: F.struct(name.alias("name"), clean(version).alias("version"))
-    part = lambda p, i: F.regexp_extract(path, p, i)
-    return (
-        F.when(path.rlike(FIREBASE_PATH), named(F.lit("firebase"), part(FIREBASE_PATH, 1))).when(path.rlike(PACKAGE_PATH) & host.rlike(PACKAGE_HOST), named(clean(part(PACKAGE_PATH, 1)), part(PACKAGE_PATH, 2)))
-        .when(path.rlike(ARCHIVE_PATH), named(clean(part(ARCHIVE_PATH, 1)), part(ARCHIVE_PATH, 2))).when(host != "", named(clean(host), F.lit("")))
-    )
+    return F.get(F.transform(F.array(F.struct(host.alias("host"), path.alias("path"))), of), F.lit(0))
 
 
 def page_libraries(files: DataFrame) -> DataFrame:
@@ -124,17 +130,20 @@ def storage_writes(files: DataFrame) -> DataFrame:
     it. A key that is a name counts by itself and by the text that a const of the file gives it."""
     declared = r"""\bconst\s+([A-Za-z_$][\w$.]*)\s*=\s*(['"`])([^'"`\n]*)\2"""
     consts = F.arrays_zip(F.regexp_extract_all("bare", F.lit(declared), F.lit(1)).alias("n"), F.regexp_extract_all("bare", F.lit(declared), F.lit(3)).alias("v"))
-    source = files.where(F.translate("path", "\\", "/").rlike(r"\.(?:ts|tsx|js|jsx|mjs|cjs)\z")).withColumn("consts", consts)
-    w = found(source, F.col("bare"), STORAGE_WRITE, "consts")
+    source = files.where(F.translate("path", "\\", "/").rlike(r"\.(?:ts|tsx|js|jsx|mjs|cjs)\z")).select("repo", F.col("path").alias("file"), "bare", consts.alias("consts"))
     quoted, name = r"""\A\s*(['"`])([^'"`\n]*)\1""", r"\A\s*([A-Za-z_$][\w$.]*)"
-    literal = F.when(F.col("rest").rlike(quoted), F.regexp_extract("rest", quoted, 2))
-    w = w.withColumn("literal", literal).withColumn("ident", F.when(F.col("literal").isNull(), F.nullif(F.regexp_extract("rest", name, 1), F.lit(""))))
-    w = w.withColumn("value", F.get(F.filter("consts", lambda x: x["n"] == F.col("ident")), F.lit(0))["v"]).withColumn("after", F.regexp_replace("rest", f"{quoted}|{name}", ""))
-    secret = F.coalesce(F.col("literal").rlike(SECRET_NAME), F.lit(False)) | F.coalesce(F.col("ident").rlike(SECRET_NAME), F.lit(False)) | F.coalesce(F.col("value").rlike(SECRET_NAME), F.lit(False))
-    judged = F.coalesce("literal", "value", "ident", F.lit(""))
-    plain = lambda c: F.when(F.col(c).rlike(r"^[\w.:-]{1,64}\z"), F.col(c))
-    kept = w.where(secret & ~judged.rlike(HARMLESS_NAME) & ~F.col("after").rlike(EMPTIED))
-    return kept.select("repo", "file", F.regexp_extract("head", r"\A(\w+)", 1).alias("storage"), F.coalesce(plain("literal"), plain("value"), "ident", F.lit("unnamed key")).alias("key"), "line")
+    # step by step on arrays, so that no condition is written out again for every use of what it reads
+    read = F.transform(occurrences(F.col("bare"), STORAGE_WRITE), lambda x: F.struct(
+        F.regexp_extract(x["head"], r"\A(\w+)", 1).alias("storage"), F.when(x["rest"].rlike(quoted), F.regexp_extract(x["rest"], quoted, 2)).alias("literal"), F.nullif(F.regexp_extract(x["rest"], name, 1), F.lit("")).alias("ident"),
+        F.regexp_replace(x["rest"], f"{quoted}|{name}", "").alias("after"), x["line"].alias("line"),
+    ))
+    known = F.transform(read, lambda x: F.struct(*(x[c].alias(c) for c in ("storage", "literal", "ident", "after", "line")), F.get(F.filter("consts", lambda k: k["n"] == x["ident"]), F.lit(0))["v"].alias("value")))
+    says = lambda c, p: F.coalesce(c.rlike(p), F.lit(False))
+    plain = lambda c: F.when(c.rlike(r"^[\w.:-]{1,64}\z"), c)
+    secret = F.filter(known, lambda x: says(x["literal"], SECRET_NAME) | says(x["ident"], SECRET_NAME) | says(x["value"], SECRET_NAME))
+    kept = F.filter(secret, lambda x: ~says(F.coalesce(x["literal"], x["value"], x["ident"], F.lit("")), HARMLESS_NAME) & ~x["after"].rlike(EMPTIED))
+    writes = F.transform(kept, lambda x: F.struct(x["storage"].alias("storage"), F.coalesce(plain(x["literal"]), plain(x["value"]), x["ident"], F.lit("unnamed key")).alias("key"), x["line"].alias("line")))
+    return source.select("repo", "file", F.explode(writes).alias("x")).select("repo", "file", "x.storage", "x.key", "x.line")
 
 
 def datastores(files: DataFrame, frameworks_: DataFrame) -> DataFrame:
