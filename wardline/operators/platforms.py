@@ -53,11 +53,13 @@ def newlines(text: Column) -> Column:
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    """An array of (head, rest, line): each match of a pattern, the text from there to the next, and the 1-based line it begins on."""
+    """An array of (head, lead, rest, line, at): each match of a pattern, the text since the match before and up to the next one, the
+    1-based line it begins on and the number of characters up to its end."""
     heads, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    breaks = F.transform(pieces, lambda p, i: newlines(p) + F.when(i > 0, newlines(F.get(heads, i - 1))).otherwise(0))
-    line = lambda i: F.aggregate(F.slice(breaks, F.lit(1), i + 1), F.lit(1), lambda a, b: a + b)
-    return F.transform(heads, lambda h, i: F.struct(h.alias("head"), F.get(pieces, i + 1).alias("rest"), line(i).alias("line")))
+    before = lambda measure: F.transform(pieces, lambda p, i: measure(p) + F.when(i > 0, measure(F.get(heads, i - 1))).otherwise(0))
+    breaks, lengths = before(newlines), before(F.length)
+    total = lambda counts, i, start: F.aggregate(F.slice(counts, F.lit(1), i + 1), start, lambda a, b: a + b)
+    return F.transform(heads, lambda h, i: F.struct(h.alias("head"), F.get(pieces, i).alias("lead"), F.get(pieces, i + 1).alias("rest"), total(breaks, i, F.lit(1)).alias("line"), total(lengths, i, F.length(h)).alias("at")))
 
 
 def found(files: DataFrame, text: Column, pattern: str, *keep: str) -> DataFrame:
