@@ -1,6 +1,9 @@
 """Near-duplicates by word shingles: components of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with equal sets are one value. MinHash bands name candidates, which only saves work: texts that meet in a band
+Texts with equal sets are one value. Candidates come from two sources, which only saves work: SimHash fingerprints of the same
+shingles within RADIUS bits, found by vantage-point trees, and MinHash bands. At a similarity of 0.8 two fingerprints differ in
+some ten bits of 64 (an angle of 27 degrees, three bits more or less), a radius at which no triangle bound prunes anything, so
+trees alone would miss about half of the near copies or compare all pairs; the bands are for those. Texts that meet
 are joined to candidate groups, and inside a group every pair that no chain links yet is compared exactly, so no link
 below the similarity is made. A pair at exactly 0.8 shares none of the bands with probability (1 - 0.8**ROWS)**BANDS,
 5 in ten million, and less above it. A group of more than GROUP texts is dealt into parts of about that size, each linked
@@ -19,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_column, connected_components, materialize, sliced
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint_of, links, shingle_hashes
 
 WIDTH = 5
 #: Similarity from which two texts link, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 48, 6
+#: Differing bits at which fingerprints make candidates; the trees prune well up to here.
+RADIUS = 3
 #: Texts of a candidate group that one task compares.
 GROUP = 1024
 _draw = np.random.default_rng(SEED)
@@ -82,16 +87,31 @@ def chains(sets: list[np.ndarray]) -> list[int]:
 
 
 def sketches(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, place (hash of the text), value (hash of its shingle set) and bands for each row."""
+    """id, place (hash of the text), value (hash of its shingle set), fp (fingerprint of its shingles) and bands for each row."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_column):
-            sets = [shingle_set(t) for t in byte_column(batch, text_column)]
-            columns = [batch.column(0), batch.column(1), pa.array([value_of(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [id_column, "place", "value", "bands"])
+            hashes = [np.array(shingle_hashes(t, WIDTH), np.uint64) for t in byte_column(batch, text_column)]
+            sets = [np.unique(h) for h in hashes]
+            fps = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array([value_of(s) for s in sets], pa.int64()), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "place", "value", "fp", "bands"])
 
-    return docs.select(id_column, F.xxhash64(text_column).alias("place"), text_column).mapInArrow(run, f"{id_column} {kind}, place bigint, value bigint, bands array<bigint>")
+    return docs.select(id_column, F.xxhash64(text_column).alias("place"), text_column).mapInArrow(run, f"{id_column} {kind}, place bigint, value bigint, fp bigint, bands array<bigint>")
+
+
+def candidates(values: DataFrame) -> DataFrame:
+    """Edges (a, b) among values (value, fp, bands): those that share a band, and those whose fingerprints are within the radius,
+    each once to the least value of its band or fingerprint."""
+    entries = values.select("value", F.explode("bands").alias("band"))
+    shared = entries.groupBy("band").agg(F.min("value").alias("b"), F.max("value").alias("most")).where("b < most").select("band", "b")
+    by_band = entries.join(shared, "band").select(F.col("value").alias("a"), "b")
+    spoken = values.where(F.size("bands") > 0)
+    least = materialize(spoken.groupBy("fp").agg(F.min("value").alias("b")), "fingerprints")
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("b").alias(f"v{c}"))
+    near = links(least, RADIUS).join(of("a"), "a").join(of("b"), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    return by_band.unionByName(spoken.join(least, "fp").select(F.col("value").alias("a"), "b").where("a <> b")).unionByName(near)
 
 
 def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -140,14 +160,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """id and component_id (smallest id reachable over links) for each row.
 
     Texts without a word, null among them, are one value. Repeated rows stay, each with the same result. Other columns
-    are not read.
+    are not read. Texts of any length are read whole; an empty table gives an empty one.
     """
     found = materialize(sketches(docs, id_column, text_column), "sketches")
     place = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "place")).alias("first")
-    values = materialize(found.groupBy("value").agg(place, F.any_value("bands").alias("bands")), "values")
-    entries = values.select("value", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("value").alias("b"), F.max("value").alias("most")).where("b < most").select("band", "b")
-    groups = connected_components(entries.join(shared, "band").select(F.col("value").alias("a"), "b"), "shingles")
+    # texts with equal sets may repeat shingles differently: any of their fingerprints will do
+    values = materialize(found.groupBy("value").agg(place, F.min("fp").alias("fp"), F.any_value("bands").alias("bands")), "values")
+    groups = connected_components(candidates(values), "shingles")
     chosen = values.join(groups, values["value"] == groups["node"]).select("value", "root", F.col("first.id").alias("__first"), F.col("first.place").alias("__place"))
     texts = docs.select(F.col(id_column).alias("__id"), F.xxhash64(text_column).alias("__own"), F.col(text_column).alias("text"))
     texts = texts.join(chosen, (F.col("__own") == F.col("__place")) & F.col("__id").eqNullSafe(F.col("__first"))).select("root", "value", "text")

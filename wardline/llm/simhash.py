@@ -44,19 +44,20 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Bits set in more than half of the XXH64 of the word shingles; no words: zero. Unsigned."""
-    hashes = shingle_hashes(text, width)
-    if not hashes:
-        return 0
-    n, total = len(hashes), np.zeros(64, np.int64)
-    packed = np.array(hashes, np.uint64)
+def fingerprint_of(packed: np.ndarray) -> int:
+    """Bits set in more than half of the hashes; none: zero. Unsigned."""
+    n, total = len(packed), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         part = packed[at : at + (1 << 16)]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Bits set in more than half of the XXH64 of the word shingles; no words: zero. Unsigned."""
+    return fingerprint_of(np.array(shingle_hashes(text, width), np.uint64))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
     """id and fp (the 64 bits as a signed long) for each row; null text has no words."""
 
