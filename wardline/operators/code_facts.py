@@ -203,19 +203,3 @@ def deployments(files: DataFrame) -> DataFrame:
     hosts = lines.where("i = 0").select("repo", F.lit("hosting").alias("kind"), host.alias("name"), none.alias("ports"), "file", F.lit(1).alias("line")).where("name is not null")
     jobs = lines.where(F.col("file").rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml\z") & F.col("text").rlike(r"(?i)\b(?:deploy|release|publish)\b")).groupBy("repo", "file").agg((F.min("i") + 1).alias("line")).select("repo", F.lit("workflow").alias("kind"), F.col("file").alias("name"), none.alias("ports"), "file", "line")
     return containers.unionByName(services).unionByName(tf).unionByName(hosts).unionByName(jobs)
-
-
-def session_cookies(files: DataFrame) -> DataFrame:
-    """(repo, file, line, library, http_only, secure, same_site): each is 'true', 'false', a value, 'unknown' where it is
-    an expression, or the library's default."""
-    call = r"\b(session|cookieSession)\s*\(\s*\{"
-    f = files.where(paths.is_scannable(F.col("path")) & F.col("masked").rlike(call))
-    text = F.regexp_extract("bare", call + r"([\s\S]{0,2000})", 2)
-
-    def value(name: str, default: str | None):
-        raw = F.regexp_extract(text, r"\b" + name + r"\s*:\s*(true\b|false\b|['\"][\w-]+['\"]|[^,}\n]+)", 1)
-        return F.when(raw == "", F.lit(default)).when(raw.isin("true", "false"), raw).when(raw.rlike(r"^['\"]"), F.lower(F.translate(raw, "'\"", ""))).otherwise("unknown")
-
-    library = F.when(F.regexp_extract("masked", call, 1) == "session", "express-session").otherwise("cookie-session")
-    line = F.size(F.split(F.regexp_extract("masked", r"\A([\s\S]*?)" + call, 1), "\n"))
-    return f.select("repo", F.col("path").alias("file"), line.alias("line"), library.alias("library"), value("httpOnly", "true").alias("http_only"), value("secure", "false").alias("secure"), value("sameSite", None).alias("same_site"))
