@@ -78,8 +78,9 @@ def test_unknowns_batches_notes(spark):
     unknowns = spark.createDataFrame([("r", "m1", "Is rate limiting used?", ["a"]), ("r", "m2", "Who hosts it?", ["a", "b"])], "run_id string, id string, description string, component_ids array<string>")
     got = model.gap_unknowns(gaps, unknowns, spark.createDataFrame([("k1", "rate limiting")], "kind string, control string"))
     assert col(got, "place", "id") == [(1, "unknown-gap-1"), (2, "m2")]
-    units = spark.createDataFrame([("r", u, e) for u, e in (("a", "a"), ("b", "b"), ("b", "b1"), ("c", "c"), ("d", "d"), ("d", "d1"), ("d", "d2"))], "run_id string, unit string, element_id string")
-    assert dict(col(model.batches(units), "element_id", "batch")) == {"a": 0, "b": 1, "b1": 1, "c": 0, "d": 2, "d1": 2, "d2": 2}
+    parts, flows = spark.createDataFrame([("r", c) for c in "dcba"], "run_id string, component_id string"), spark.createDataFrame([("r", "d2", "d"), ("r", "b1", "b"), ("r", "d1", "d"), ("r", "zz", "gone"), ("r", "aa", "gone")], "run_id string, flow_id string, source string")
+    assert dict(col(model.batches(parts, flows), "element_id", "batch")) == {"a": 0, "b": 1, "b1": 1, "c": 0, "d": 2, "d1": 2, "d2": 3, "aa": 3, "zz": 4}
+    assert dict(col(model.batches(parts, flows, 3), "element_id", "batch")) == {"a": 0, "b": 0, "b1": 0, "c": 1, "d": 2, "d1": 2, "d2": 2, "aa": 1, "zz": 1}
     notes = spark.createDataFrame([("r", "c", "x", 2), ("r", "c", "y", 1), ("r", "c", "x", 0)], "run_id string, code string, subject string, pos int")
     assert col(model.limitation_notes(notes), "n", "subjects") == [(2, ["x", "y"])]
     s = spark.createDataFrame([("actor", None), ("flow", True), ("flow", False), ("api", None)], "k string, c boolean").select(model.stride_for(F.col("k"), F.col("c")))

@@ -103,3 +103,22 @@ def query_batches(resolved: DataFrame, size: int = BATCH, parts: int = 256) -> D
     d = resolved.select("name", "version").distinct().withColumn("part", F.pmod(F.xxhash64("name", "version"), F.lit(parts)).cast("int"))
     n = F.row_number().over(Window.partitionBy("part").orderBy("name", "version"))
     return d.select("name", "version", F.struct("part", F.floor((n - 1) / size).cast("int").alias("number")).alias("batch"))
+
+
+SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,99}\z"  # ids become parts of addresses
+
+
+def zip_answers(asked: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, failed): the advisories of each query by its place in a batch, and the batches whose answer is no list of as many
+    results as were asked, by name, with both numbers; of those nothing is found. asked: batch, pos (from 0), name, version;
+    answers: batch, body (JSON {"results": [{"vulns": [{"id": ..}]}]}). Ids of another form are left out, a query without
+    advisories has none. A batch without an answer failed; one with several answers too. Empty tables give empty ones."""
+    read = answers.select("batch", F.from_json("body", "results array<struct<vulns: array<struct<id: string>>>>")["results"].alias("r"))
+    one = read.groupBy("batch").agg(F.count("*").alias("answers"), F.any_value("r").alias("r"))
+    sizes = asked.groupBy("batch").agg(F.count("*").alias("asked"))
+    both = sizes.join(one, "batch", "left").withColumn("got", F.when(F.coalesce("answers", F.lit(0)) == 1, F.size("r")).otherwise(F.lit(-1)))
+    both = both.withColumn("got", F.when(F.col("r").isNull(), -1).otherwise(F.col("got")))
+    failed = both.where("got <> asked").select("batch", "asked", F.greatest("got", F.lit(-1)).alias("got"))
+    by_place = both.where("got = asked").select("batch", F.posexplode("r").alias("pos", "x"))
+    found = asked.join(by_place, ["batch", "pos"]).select("batch", "pos", "name", "version", F.explode("x.vulns").alias("v")).where(F.col("v.id").rlike(SAFE_ID))
+    return found.select("batch", "pos", "name", "version", F.col("v.id").alias("id")), failed

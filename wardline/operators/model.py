@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.text import tokens
-from wardline.operators.windows import components
+from wardline.operators.windows import components, in_ranges, running_sums, walk
+from wardline.session import materialize
 
 SIMILAR, LEAST_VALUE, MOST_QUESTIONS, MOST_UNKNOWNS, BATCH_ELEMENTS = 0.6, 1.5, 3, 12, 2
 # Which letters apply to an element, and common words that tell no two titles apart.
@@ -157,24 +159,40 @@ def match_answer(answers: DataFrame, options: DataFrame) -> DataFrame:
     return hit.groupBy("question_id").agg(F.count("*").alias("n"), F.min("option_index").alias("option_index")).where("n = 1").drop("n")
 
 
-def batches(units: DataFrame, size: int = BATCH_ELEMENTS) -> DataFrame:
-    """(run_id, element_id, batch): units (run_id, unit, element_id) are packed first-fit, in order of their names, into
-    batches of ``size`` elements; a larger unit has a batch of its own. A run's elements are few and the packing depends
-    on all before, so each run is one group."""
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        room: list[int] = []
-        out = []
-        for _, rows in pdf.sort_values(["unit", "element_id"]).groupby("unit", sort=True):
-            n = len(rows)
-            at = next((i for i, left in enumerate(room) if left >= n), None)
-            if at is None:
-                at = len(room)
-                room.append(max(size, n))
-            room[at] -= n
-            out.append(rows.assign(batch=at))
-        return pd.concat(out)[["run_id", "element_id", "batch"]]
-
-    return units.select("run_id", "unit", "element_id").groupBy("run_id").applyInPandas(pack, "run_id string, element_id string, batch int")
+def batches(components_: DataFrame, flows: DataFrame, size: int = BATCH_ELEMENTS) -> DataFrame:
+    """(run_id, element_id, batch): every component and flow in one batch of at most ``size`` elements.
+
+    A unit is a component, then the flows it is the source of, by id; flows without a known source are units of their own, after all
+    others. Units go by id, whole, into the first batch with room, else a new one; a unit larger than a batch is cut into
+    chunks, of which the last may leave room. Elements of a unit are numbered by ranges; first fit depends on all before, so the
+    sizes of a run's chunks, nothing else, are walked with the open batches as carried state, by the room they have.
+    components_: run_id, component_id; flows: run_id, flow_id, source. Repeated ids count once; empty tables give an empty one."""
+    if size < 1:
+        raise ValueError("a batch holds at least one element")
+    known = components_.select("run_id", "component_id").distinct()
+    f = flows.groupBy("run_id", F.col("flow_id").alias("element_id")).agg(F.min("source").alias("source"))
+    owned = f.join(known.select("run_id", F.col("component_id").alias("source")), ["run_id", "source"], "left_semi").select("run_id", F.lit(0).alias("late"), F.col("source").alias("unit"), F.lit(1).alias("behind"), "element_id")
+    loose = f.join(known.select("run_id", F.col("component_id").alias("source")), ["run_id", "source"], "left_anti").select("run_id", F.lit(1).alias("late"), F.col("element_id").alias("unit"), F.lit(0).alias("behind"), "element_id")
+    every = known.select("run_id", F.lit(0).alias("late"), F.col("component_id").alias("unit"), F.lit(0).alias("behind"), F.col("component_id").alias("element_id")).unionByName(owned).unionByName(loose)
+    order = ["behind", "element_id"]
+    placed = running_sums(in_ranges(every, ["run_id", "late", "unit"], order, "units"), order, {"n": F.lit(1).cast("bigint")})
+    chunked = materialize(placed.select("run_id", "late", "unit", F.floor(F.col("n_before") / size).alias("chunk"), "element_id"), "chunks")
+    sizes = chunked.groupBy("run_id", "late", "unit", "chunk").agg(F.count("*").cast("int").alias("n"))
+
+    def step(state: tuple[int, dict[int, list[int]]], n: int) -> tuple[tuple[int, dict[int, list[int]]], int]:
+        used, open_ = state
+        rooms = [r for r, held in open_.items() if r >= n and held]
+        if rooms:
+            room = min(rooms, key=lambda r: open_[r][0])
+            at = heapq.heappop(open_[room])
+        else:
+            room, at, used = size, used, used + 1
+        if room > n:
+            heapq.heappush(open_.setdefault(room - n, []), at)
+        return (used, open_), at
+
+    packed = walk(sizes, ["run_id"], ["late", "unit", "chunk"], ["n"], lambda: (0, {}), step, "batch", "int").select("run_id", "late", "unit", "chunk", "batch")
+    return chunked.join(packed, ["run_id", "late", "unit", "chunk"]).select("run_id", "element_id", "batch")
 
 
 def limitation_notes(notes: DataFrame, most: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardline.operators import advisories, model
 from wardline.plans.registry import facts, pick, query
 from wardline.streaming import deadlines
 
@@ -43,3 +44,36 @@ def jobs_admitted(spark, sf_dir):
 def limiter_bounded(spark, sf_dir):
     """Requests of users on each day's instance, which holds twenty windows; the oldest goes. Tested against a plain loop."""
     return deadlines.limit_bounded(facts(spark, sf_dir, RUNS, "events"), "instance", "user_id", "ts", "event_id", limit=2, most=20)
+
+
+#: Orders are batches of questions, their lines what is asked; some answers lack their last result, some orders have none.
+ASKED = "SELECT l_orderkey AS batch, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos, 'p' || l_partkey AS name, CAST(l_linenumber AS VARCHAR(9)) AS version, l_partkey, l_suppkey FROM lineitem"
+VULNS = "CASE WHEN l_partkey % 4 = 0 THEN 0 WHEN l_partkey % 4 = 1 THEN 2 ELSE 1 END"
+
+
+@query(f"""WITH q AS ({ASKED}), b AS (SELECT batch, count(*) AS asked FROM q GROUP BY batch), ok AS (SELECT batch FROM b WHERE batch % 11 > 0 AND batch % 13 > 0)
+SELECT batch, CAST(pos AS INT) AS pos, name, 'V-' || l_suppkey || '-' || i AS id FROM q JOIN ok USING (batch), range(2) r(i) WHERE i < {VULNS}
+UNION ALL SELECT batch, NULL, 'failed', CASE WHEN batch % 13 = 0 THEN '-1' ELSE CAST(asked - 1 AS VARCHAR) END || ' of ' || asked FROM b WHERE batch % 11 = 0 OR batch % 13 = 0""")
+def answers_zipped(spark, sf_dir):
+    q = facts(spark, sf_dir, ASKED, "lineitem").withColumn("pos", F.col("pos").cast("int"))
+    ids = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), F.expr(VULNS)), lambda i: F.struct(F.concat_ws("-", F.lit("V"), "l_suppkey", i).alias("id")))
+    odd = F.when(F.col("l_partkey") % 4 == 0, F.array(F.struct(F.lit("../x").alias("id")))).otherwise(ids)
+    results = q.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", odd.alias("vulns")))), lambda x: F.struct(x["vulns"].alias("vulns"))).alias("results"))
+    results = results.withColumn("results", F.when(F.col("batch") % 11 == 0, F.slice("results", F.lit(1), F.size("results") - 1)).otherwise(F.col("results")))
+    found, failed = advisories.zip_answers(q.select("batch", "pos", "name", "version"), results.where("batch % 13 > 0").select("batch", F.to_json(F.struct("results")).alias("body")))
+    return found.select("batch", "pos", "name", "id").unionByName(failed.select("batch", F.lit(None).cast("int").alias("pos"), F.lit("failed").alias("name"), F.concat_ws(" of ", F.col("got").cast("string"), F.col("asked").cast("string")).alias("id")))
+
+
+#: Suppliers are components of their nation, parts flows from them; a batch holds three.
+SOURCES = "SELECT 'n' || s_nationkey AS run_id, 's' || s_suppkey AS component_id FROM supplier"
+OUT_FLOWS = "SELECT 'n' || s_nationkey AS run_id, 'f' || p_partkey AS flow_id, CASE WHEN p_partkey % 9 = 0 THEN 'gone' ELSE 's' || s_suppkey END AS source FROM part JOIN supplier ON p_partkey % 10 + 1 = s_suppkey"
+
+
+@query(f"""WITH RECURSIVE c AS ({SOURCES}), f AS ({OUT_FLOWS}), x AS (SELECT run_id, 0 AS late, component_id AS unit, 0 AS behind, component_id AS element_id FROM c UNION ALL SELECT f.run_id, 0, source, 1, flow_id FROM f JOIN c ON c.run_id = f.run_id AND c.component_id = f.source UNION ALL SELECT run_id, 1, flow_id, 0, flow_id FROM f WHERE source = 'gone'),
+k AS (SELECT *, (row_number() OVER (PARTITION BY run_id, late, unit ORDER BY behind, element_id) - 1) // 3 AS chunk FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY late, unit, chunk) AS i FROM (SELECT run_id, late, unit, chunk, count(*) AS n FROM k GROUP BY ALL)),
+w(run_id, i, rooms, batch) AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM z
+UNION ALL SELECT z.run_id, z.i, CASE WHEN len(list_filter(rooms, lambda r: r >= n)) = 0 THEN list_append(rooms, 3 - n) ELSE list_transform(rooms, lambda r, j: CASE WHEN j = list_position(list_transform(rooms, lambda q: q >= n), true) THEN r - n ELSE r END) END,
+  CASE WHEN len(list_filter(rooms, lambda r: r >= n)) = 0 THEN len(rooms) ELSE list_position(list_transform(rooms, lambda q: q >= n), true) - 1 END FROM w JOIN z ON z.run_id = w.run_id AND z.i = w.i + 1)
+SELECT k.run_id, element_id, CAST(batch AS INT) AS batch FROM k JOIN z ON z.run_id = k.run_id AND z.late = k.late AND z.unit = k.unit AND z.chunk = k.chunk JOIN w ON w.run_id = z.run_id AND w.i = z.i""")
+def elements_batched(spark, sf_dir):
+    return model.batches(facts(spark, sf_dir, SOURCES, "supplier"), facts(spark, sf_dir, OUT_FLOWS, "part", "supplier"), 3)
