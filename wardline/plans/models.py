@@ -144,7 +144,7 @@ def internal_components(spark, sf_dir):
     return model.internal_components(c, s).select(F.col("component_id").alias("c_custkey"))
 
 
-RUNS = f"SELECT 'run' || (o_custkey % 40) AS run_id, {pick('o_orderkey', ('observed', 'inferred', 'inferred'))} AS basis, CAST(o_orderkey % 1001 AS INT) AS milli FROM orders WHERE o_custkey % 7 < 6"
+RUNS = f"SELECT 'run' || (o_custkey % 40) AS run_id, {pick('o_orderkey', ('observed', 'inferred', 'inferred'))} AS basis, CAST(o_orderkey % 1001 AS INT) AS milli FROM orders"
 
 
 @query(f"SELECT run_id, count(*) FILTER (basis = 'observed' AND milli >= 250) > 0 AND count(*) FILTER (basis = 'inferred' AND milli >= 250) > 0 AS fit FROM ({RUNS}) GROUP BY 1")
@@ -152,11 +152,11 @@ def fit_for_demo(spark, sf_dir):
     return model.fit_for_demo(facts(spark, sf_dir, RUNS, "orders"))
 
 
-@query(f"""WITH t AS (SELECT threat_id, {pick('milli', ('', 'A01:2025', ''))} AS own, milli % 2 = 0 AS solo FROM ({THREATS})), g AS (SELECT 't' || l_orderkey AS threat_id, 'A0' || (l_partkey % 9 + 1) || ':2025' AS code FROM lineitem WHERE l_linenumber < 3)
+@query(f"""WITH t AS (SELECT threat_id, {pick('milli', ('', 'A01:2025', ''))} AS own, milli % 2 = 0 AS solo FROM ({THREATS})), g AS (SELECT 't' || l_orderkey AS threat_id, 'A0' || (l_partkey % 9 + 1) || ':2025' AS code FROM lineitem)
 SELECT t.threat_id, CASE WHEN solo AND own = '' THEN coalesce(string_agg(DISTINCT code, ',' ORDER BY code), 'A06:2025') ELSE own END AS owasp FROM t LEFT JOIN g USING (threat_id) GROUP BY t.threat_id, solo, own""")
 def classification_inherited(spark, sf_dir):
     t = facts(spark, sf_dir, THREATS, "orders").select("threat_id", F.when(F.col("milli") % 3 == 1, F.array(F.lit("A01:2025"))).otherwise(F.array().cast("array<string>")).alias("owasp"), (F.col("milli") % 2 == 0).alias("gap_only"))
-    g = table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.format_string("t%d", "l_orderkey").alias("threat_id"), F.array(F.format_string("A0%d:2025", F.col("l_partkey") % 9 + 1)).alias("owasp"))
+    g = table(spark, sf_dir, "lineitem").select(F.format_string("t%d", "l_orderkey").alias("threat_id"), F.array(F.format_string("A0%d:2025", F.col("l_partkey") % 9 + 1)).alias("owasp"))
     return score.inherit_classification(t, g).select("threat_id", F.array_join("owasp", ",").alias("owasp"))
 
 
@@ -177,11 +177,11 @@ def confidence_explained(spark, sf_dir):
 BATCHED = "SELECT 'run' || (s_suppkey % 5) AS run_id, CAST(s_suppkey % 11 AS INT) AS batch, CASE s_suppkey % 4 WHEN 0 THEN 'f' || s_suppkey ELSE 'c' || s_suppkey END AS element_id FROM supplier"
 
 
-@query(f"""WITH b AS ({BATCHED}), g AS (SELECT 'run' || (c_custkey % 5) AS run_id, 'c' || (c_custkey % 40) AS component_id, count(*) AS gaps FROM customer WHERE c_nationkey < 9 GROUP BY ALL), f AS (SELECT 'run' || (s_suppkey % 5) AS run_id, 'f' || s_suppkey AS flow_id, 'c' || (s_suppkey % 7) AS source FROM supplier),
+@query(f"""WITH b AS ({BATCHED}), g AS (SELECT 'run' || (c_custkey % 5) AS run_id, 'c' || (c_custkey % 40) AS component_id, count(*) AS gaps FROM customer GROUP BY ALL), f AS (SELECT 'run' || (s_suppkey % 5) AS run_id, 'f' || s_suppkey AS flow_id, 'c' || (s_suppkey % 7) AS source FROM supplier),
 s AS (SELECT b.run_id, batch, sum(coalesce(o.gaps, e.gaps, 0)) AS score FROM b LEFT JOIN g o ON o.run_id = b.run_id AND o.component_id = element_id LEFT JOIN f ON f.run_id = b.run_id AND flow_id = element_id LEFT JOIN g e ON e.run_id = b.run_id AND e.component_id = source GROUP BY ALL),
 k AS (SELECT run_id, batch, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, batch) <= 2 AS kept FROM s) SELECT run_id, batch, element_id, kept FROM b JOIN k USING (run_id, batch)""")
 def batches_capped(spark, sf_dir):
-    g = facts(spark, sf_dir, "SELECT 'run' || (c_custkey % 5) AS run_id, 'c' || (c_custkey % 40) AS component_id, count(*) AS gaps FROM customer WHERE c_nationkey < 9 GROUP BY 1, 2", "customer")
+    g = facts(spark, sf_dir, "SELECT 'run' || (c_custkey % 5) AS run_id, 'c' || (c_custkey % 40) AS component_id, count(*) AS gaps FROM customer GROUP BY 1, 2", "customer")
     f = facts(spark, sf_dir, "SELECT 'run' || (s_suppkey % 5) AS run_id, 'f' || s_suppkey AS flow_id, 'c' || (s_suppkey % 7) AS source FROM supplier", "supplier")
     return model.cap_batches(facts(spark, sf_dir, BATCHED, "supplier"), f, g, 2).select("run_id", "batch", "element_id", "kept")
 
@@ -192,12 +192,10 @@ IDS = f"SELECT c_custkey, {pick('c_custkey', ('threat-10', 'threat-9', 'threat-x
 @query(f"""SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN regexp_full_match(id, 'threat-[0-9]+') THEN CAST(substr(id, 8) AS BIGINT) ELSE 9999999 END, id, c_custkey) AS place,
 row_number() OVER (ORDER BY certainty DESC, id, c_custkey) AS by_certainty FROM ({IDS})""")
 def natural_orders(spark, sf_dir):
-    """The numbering of a whole report's rows; only ids take part."""
-    from pyspark.sql import Window
-
+    """The numbering of a whole report's rows, by ranges; only ids take part."""
     d = facts(spark, sf_dir, IDS, "customer")
-    place = lambda order: F.row_number().over(Window.orderBy(*order, "c_custkey")).cast("bigint")
-    return d.select("c_custkey", place(history.threat_order("id")).alias("place"), place(history.gap_order("id")).alias("by_certainty"))
+    placed = windows.numbered(d, [], [*history.threat_order("id"), "c_custkey"], "place")
+    return windows.numbered(placed, [], [*history.gap_order("id"), "c_custkey"], "by_certainty").select("c_custkey", "place", "by_certainty")
 
 
 @query("""SELECT id, min_by(source, source) AS source FROM (SELECT c_custkey % 500 AS id, 1 AS source FROM customer UNION ALL SELECT s_suppkey, 0 FROM supplier UNION ALL SELECT n_nationkey * 40, 2 FROM nation) GROUP BY 1""")
@@ -499,7 +497,7 @@ def html_comments_blank(spark, sf_dir):
 
 # --- components, tiers, runs ---
 
-STEPS = "SELECT s_suppkey AS a, s_suppkey * 3 % 50 + s_suppkey % 7 AS b FROM supplier WHERE s_suppkey % 5 < 2"
+STEPS = "SELECT s_suppkey AS a, CASE WHEN s_suppkey % 5 < 2 THEN s_suppkey * 3 % 50 + s_suppkey % 7 ELSE s_suppkey END AS b FROM supplier"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({STEPS}) UNION SELECT b, a FROM ({STEPS})), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT node, b FROM r JOIN e ON seen = a)
@@ -527,11 +525,12 @@ def path_tiers(spark, sf_dir):
     return d.select("c_custkey", c["tier"].alias("tier"), c["reason"].alias("reason"))
 
 
-@query("""WITH b AS (SELECT o_custkey AS key, count(*) * 100 AS milli FROM orders WHERE o_orderkey % 4 < 2 GROUP BY 1), a AS (SELECT o_custkey AS key FROM orders WHERE o_orderkey % 4 = 3 AND o_custkey % 2 = 0)
+@query("""WITH b AS (SELECT o_custkey AS key, count(*) * 100 AS milli FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), a AS (SELECT CASE o_custkey % 2 WHEN 0 THEN o_custkey ELSE -o_custkey END AS key FROM orders WHERE o_orderkey % 2 = 1)
 SELECT key, milli FROM b WHERE milli >= 250 AND key NOT IN (SELECT key FROM a) AND key % 5 <> 1""")
 def findings_carried(spark, sf_dir):
+    """Even orders are the run before, odd ones the run after, where findings of odd customers go by another key."""
     o = table(spark, sf_dir, "orders")
-    before = o.where("o_orderkey % 4 < 2").groupBy(F.col("o_custkey").alias("key")).agg((F.count("*") * 100).alias("milli"))
-    after = o.where("o_orderkey % 4 = 3 and o_custkey % 2 = 0").select(F.col("o_custkey").alias("key")).distinct()
+    before = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("key")).agg((F.count("*") * 100).alias("milli"))
+    after = o.where("o_orderkey % 2 = 1").select(F.expr("CASE o_custkey % 2 WHEN 0 THEN o_custkey ELSE -o_custkey END").alias("key")).distinct()
     handled = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 5 == 1, F.when(F.col("c_custkey") % 2 == 0, "fixed").otherwise("false_positive")).otherwise("accepted").alias("status"))
     return history.carry_forward(before, after, handled)

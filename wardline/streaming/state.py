@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wardline.operators.windows import walk
+from wardline.operators.windows import in_ranges, running_sums, walk
 
 LIMIT, WINDOW_S = 5, 3600
 
@@ -80,8 +80,7 @@ def active_jobs(events: DataFrame, job: str, ts: str, terminal: str) -> DataFram
     """(job, ts, active): how many jobs have begun and not ended as each event comes."""
     first = F.row_number().over(Window.partitionBy(job).orderBy(ts)) == 1
     ends = F.col(terminal) & (F.sum(F.col(terminal).cast("int")).over(Window.partitionBy(job).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    # per-day sums first, so that the running total over all jobs walks days, not events
-    d = events.withColumn("delta", F.when(first, 1).otherwise(0) - F.when(ends, 1).otherwise(0)).withColumn("day", F.to_date(ts))
-    before = d.groupBy("day").agg(F.sum("delta").alias("s")).withColumn("base", F.sum("s").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select("day", F.coalesce("base", F.lit(0)).alias("base"))
-    inside = F.sum("delta").over(Window.partitionBy("day").orderBy(ts, job).rowsBetween(Window.unboundedPreceding, 0))
-    return d.join(before, "day").select(job, ts, (F.col("base") + inside).alias("active"))
+    d = events.withColumn("__delta", F.when(first, 1).otherwise(0) - F.when(ends, 1).otherwise(0))
+    # the running total over all jobs is summed by ranges of time: no task walks all events
+    total = running_sums(in_ranges(d, [], [ts, job], "active"), [ts, job], {"x": F.col("__delta").cast("bigint")})
+    return total.select(job, ts, (F.col("x_before") + F.col("__delta")).alias("active"))
