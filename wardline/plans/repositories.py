@@ -262,7 +262,7 @@ def token_checks(spark, sf_dir):
     return code_facts.token_checks(Facts(spark, sf_dir).files).select("repo", "file", F.col("line").cast("int").alias("line"), "kind")
 
 
-@query(FACTS_SQL + """SELECT repo, path AS file, CAST(NULL AS VARCHAR) AS prefix, CASE path WHEN 'src/b.ts' THEN 'helmet' ELSE 'cors' END AS names FROM files WHERE path IN ('src/app.js', 'src/b.ts', 'src/local.js')
+@query(FACTS_SQL + """SELECT repo, path AS file, CAST(NULL AS VARCHAR) AS prefix, CASE path WHEN 'src/b.ts' THEN 'helmet' ELSE 'cors' END AS names FROM files WHERE path IN ('src/app.js', 'src/b.ts', 'src/local.js', 'src/open.js')
 UNION ALL SELECT repo, path, NULL, '' FROM files WHERE path = 'src/err.js'""")
 def middleware_uses(spark, sf_dir):
     return code_facts.use_calls(Facts(spark, sf_dir).plain).select("repo", "file", "prefix", F.array_join("names", ",").alias("names"))
