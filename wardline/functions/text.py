@@ -82,3 +82,27 @@ def repository(url: Column) -> Column:
     )
     ok = code.isNull()
     return F.struct(ok.alias("ok"), F.when(ok, owner).alias("owner"), F.when(ok, name).alias("name"), F.when(ok & (ref != ""), ref).alias("ref"), code.alias("code"))
+
+
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
+
+def units(text: Column) -> Column:
+    """Length in UTF-16 units, in which limits of web forms are counted: characters beyond the basic plane are two."""
+    return F.length(F.regexp_replace(text, ASTRAL, "  "))
+
+
+def cut_units(text: Column, most: int) -> Column:
+    """The first units of a text, at most so many; a character of two units is never split, it goes."""
+    # each such character gets a second place behind it, which the cut either keeps or parts from it
+    doubled = F.regexp_replace(text, f"({ASTRAL})", "$1\uffff")
+    whole = F.regexp_replace(F.substring(doubled, 1, most), rf"{ASTRAL}\z", "")
+    return F.regexp_replace(whole, f"({ASTRAL})\uffff", "$1")
+
+
+def uri_component(text: Column) -> Column:
+    """Percent form of all but letters, digits and -_.!~*'()."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out

@@ -117,17 +117,13 @@ def marker_problems(files: DataFrame, issues: DataFrame, reach: int = 5) -> Data
 
 
 def gap_only(threats: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Findings whose every cited item is a gap, and that cite something. threats: threat_id, evidence_ids."""
-    cited = threats.select("threat_id", F.explode("evidence_ids").alias("id")).join(evidence.select("id", "rule_id"), "id")
+    """Findings whose every cited item is a gap, and that cite something; an id that is not there is no gap. threats: threat_id,
+    evidence_ids."""
+    cited = threats.select("threat_id", F.explode("evidence_ids").alias("id")).join(evidence.select("id", "rule_id"), "id", "left")
     only = cited.groupBy("threat_id").agg(F.bool_and(F.coalesce(F.col("rule_id").startswith("gap:"), F.lit(False))).alias("only")).where("only")
     return threats.join(only.select("threat_id"), "threat_id", "left_semi")
 
 
-def first_labels(frame: pd.DataFrame) -> pd.DataFrame:
-    """A blank copy of a sheet for a second labeller: ids and titles stay, labels go."""
-    return frame.assign(**{c: "" for c in frame.columns if c not in ("threatId", "title", "component", "files")})
-
-
 def presence_in_text(rows: DataFrame, text: str, routes: list[str]) -> DataFrame:
     """rows with the routes that the text names as whole paths; a route is no prefix of a longer one."""
     said = lambda p: F.col(text).rlike(r"(?<![\w/:-])" + re.escape(p) + r"(?![\w/:-])")
@@ -166,8 +162,8 @@ def read_gap_sheet(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labels (threat_id, gap_kinds, visible, label) and problems (threat_id, problem) of a sheet (threatId, gapKinds, visible,
     label). Rows with a problem are no labels."""
     d = sheet.select(
-        F.trim("threatId").alias("threat_id"), F.filter(F.transform(F.split(F.coalesce("gapKinds", F.lit("")), ";"), lambda k: F.trim(k)), lambda k: k != "").alias("gap_kinds"),
-        F.lower(F.trim("visible")).alias("seen"), F.trim("label").alias("label"), F.count("*").over(Window.partitionBy(F.trim("threatId"))).alias("times"),
+        F.trim("threatId").alias("threat_id"), F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce("gapKinds", F.lit("")), r"[;,\s]+"), lambda k: k != ""))).alias("gap_kinds"),
+        F.lower(F.trim("visible")).alias("seen"), F.lower(F.trim("label")).alias("label"), F.count("*").over(Window.partitionBy(F.trim("threatId"))).alias("times"),
     )
     tests = (
         ("no id", F.coalesce("threat_id", F.lit("")) == ""), ("repeated id", F.col("times") > 1), ("no gap kinds", F.size("gap_kinds") == 0),
