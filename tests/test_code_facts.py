@@ -62,3 +62,17 @@ def test_other_facts(spark):
 def test_broken_code():
     assert cf.routes_in("app.get('/x', (a, b") == [(1, "GET", "/x", [], "(a, b")]
     assert cf.routes_in("") == [] and cf.uses_in("app.use(") == [(1, None, [])]
+
+
+def test_signals_have_names(spark):
+    rows = [
+        ("1", "next_app", [], "export const POST = withAuth(async () => { const s = await getServerSession(); if (item.ownerId !== s.id) return; });"), ("2", "express", ["requireRole", "authLimiter"], "if (req.user.id === x.id && roles.includes('a') && user.role == 'b') can('read')"),
+        ("3", "express", ["requireLogin", "isAdmin"], None), ("4", "express", [], "where: { userId: req.user.id }, scopes.includes('x'); auth(); withPermission(x)"), ("5", "express", [], "author(x); cannot"),
+    ]
+    r = spark.createDataFrame([("r", *x, "/x") for x in rows], "repo string, route_id string, framework string, middleware array<string>, body string, url string")
+    got = {x.route_id: (x.status, x.signals, x.role_checks) for x in cf.route_auth(r).collect()}
+    assert got["1"] == ("authenticated", ["getServerSession", "withAuth"], ["owner comparison"])
+    assert got["2"] == ("authenticated", ["requireRole"], ["requireRole", "role comparison", "roles.includes", "user id comparison", "permission call"])
+    assert got["3"] == ("authenticated", ["requireLogin", "isAdmin"], ["isAdmin"])
+    assert got["4"] == ("authenticated", ["auth()"], ["scope check", "owner-scoped query", "role wrapper"])
+    assert got["5"] == ("unauthenticated", [], [])

@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import paths
@@ -149,12 +149,22 @@ def route_handlers_by_repo(files: DataFrame) -> DataFrame:
 SESSION_CHECK = r"\b(?:getServerSession|getSession|currentUser|requireUser|requireAuth|verifyToken|isAuthenticated)\s*\(|\breq\s*\.\s*(?:user|session\s*\.\s*user\w*|auth)\b|\bjwt\s*\.\s*verify\s*\("
 GUARD_NAME = r"(?i)auth|protect|require(?:User|Login|Role|Admin|Permission)|isAdmin|verify(?:Token|Jwt|Session|User)|logged_?in|with(?:Role|Permission)|jwt|clerk|guard|session(?:Guard|Required)"
 LIMITER_NAME = r"(?i)limit"
-ROLE_CHECK = (
-    r"\b(?:requireRole|hasRole|isAdmin)\b|\brole\s*===?\s*['\"`]|\b(?:roles?|scopes?)\s*\.\s*includes\s*\(|\b(?:owner|ownerId|authorId|createdBy)\s*[!=]==?"
-    r"|\breq\s*\.\s*user\s*\.\s*(?:id|_id|userId)\s*[!=]==?|[!=]==?\s*req\s*\.\s*user\s*\.\s*(?:id|_id|userId)\b"
-    r"|\b(?:userId|user_id|ownerId|owner|authorId)\s*:\s*(?:req\s*\.\s*user|session\s*\.\s*user|user\s*\.\s*id|currentUser)"
-    r"|\b(?:can|authorize|checkPermission|hasPermission|assertPermission|requirePermission|ability)\w*\s*\(|\bwith(?:Role|Permission)\w*\s*\("
+# What shows that a caller may, not only that someone is signed in; each with its name.
+ROLE_SIGNALS = (
+    ("requireRole", r"\brequireRole\b"),
+    ("hasRole", r"\bhasRole\b"),
+    ("isAdmin", r"\bisAdmin\b"),
+    ("role comparison", r"\brole\s*===?\s*['\"`]"),
+    ("roles.includes", r"\broles?\s*\.\s*includes\s*\("),
+    ("scope check", r"\bscopes?\s*\.\s*includes\s*\("),
+    ("owner comparison", r"\b(?:owner|ownerId|authorId|createdBy)\s*[!=]==?"),
+    ("user id comparison", r"\breq\s*\.\s*user\s*\.\s*(?:id|_id|userId)\s*[!=]==?|[!=]==?\s*req\s*\.\s*user\s*\.\s*(?:id|_id|userId)\b"),
+    ("owner-scoped query", r"\b(?:userId|user_id|ownerId|owner|authorId)\s*:\s*(?:req\s*\.\s*user|session\s*\.\s*user|user\s*\.\s*id|currentUser)"),
+    ("permission call", r"\b(?:can|authorize|checkPermission|hasPermission|assertPermission|requirePermission|ability)\w*\s*\("),
+    ("role wrapper", r"\bwith(?:Role|Permission)\w*\s*\("),
 )
+# Calls that are a sign-in check by themselves.
+GUARD_SIGNALS = ("passport.authenticate", "getServerSession", "getSession", "verifyToken", "requireAuth", "isAuthenticated", "ensureLoggedIn")
 WRAPPED_EXPORT = r"(?m)^export\s+const\s+[A-Z]+\s*(?::[^=\n]*)?=\s*([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
 
 
@@ -163,15 +173,24 @@ def is_guard(name: Column) -> Column:
     return name.rlike(GUARD_NAME) & ~name.rlike(LIMITER_NAME)
 
 
+def _seen(tests: list[tuple[Column, Column]]) -> Column:
+    """Names of the tests that hold, in their order."""
+    return F.filter(F.array(*(F.when(test, name) for name, test in tests)), lambda x: x.isNotNull())
+
+
 def route_auth(routes: DataFrame) -> DataFrame:
-    """(repo, route_id, status, role_checks, admin). Authenticated: a guard among the middleware or a session check in
-    the handler, or the handler's export wrapped in a guard; unknown: middleware of another name; a limiter alone shows nothing."""
+    """(repo, route_id, status, signals, role_checks, admin). Authenticated: a guard among the middleware or a session check in
+    the handler, or the handler's export wrapped in a guard; unknown: middleware of another name; a limiter alone shows nothing.
+    signals: the guards and calls that say so, by name. role_checks: names of the role signals in middleware and handler, each once."""
     guards = F.filter("middleware", is_guard)
-    wrapped = (F.col("framework") == "next_app") & is_guard(F.regexp_extract("body", WRAPPED_EXPORT, 1)) if "framework" in routes.columns else F.lit(False)
+    wrapper = F.regexp_extract("body", WRAPPED_EXPORT, 1)
+    wrapped = F.coalesce((F.col("framework") == "next_app") & is_guard(wrapper), F.lit(False)) if "framework" in routes.columns else F.lit(False)
     other = F.filter("middleware", lambda m: ~is_guard(m) & ~m.rlike("(?i)limit|valid|schema|upload|parse|log|cors"))
-    status = F.when((F.size(guards) > 0) | F.coalesce(wrapped, F.lit(False)) | F.col("body").rlike(SESSION_CHECK), "authenticated").when(F.size(other) > 0, "unknown").otherwise("unauthenticated")
-    roles = F.concat(F.filter("middleware", lambda m: m.rlike(r"(?i)admin|role|permission|policy|authoriz|ability|acl|rbac")), F.regexp_extract_all("body", F.lit(ROLE_CHECK), F.lit(0)))
-    return routes.select("repo", "route_id", status.alias("status"), roles.alias("role_checks"), paths.is_admin_path(F.col("url")).alias("admin"))
+    status = F.when((F.size(guards) > 0) | wrapped | F.col("body").rlike(SESSION_CHECK), "authenticated").when(F.size(other) > 0, "unknown").otherwise("unauthenticated")
+    said = F.concat_ws("\n", F.array_join("middleware", " "), "body")
+    calls = _seen([(F.lit(g), said.contains(g)) for g in GUARD_SIGNALS] + [(F.lit("auth()"), said.rlike(r"\bauth\s*\(")), (wrapper, wrapped)])
+    roles = _seen([(F.lit(name), said.rlike(pattern)) for name, pattern in ROLE_SIGNALS])
+    return routes.select("repo", "route_id", status.alias("status"), F.array_distinct(F.concat(calls, F.coalesce(guards, F.array().cast("array<string>")))).alias("signals"), roles.alias("role_checks"), paths.is_admin_path(F.col("url")).alias("admin"))
 
 
 def token_checks(files: DataFrame) -> DataFrame:
