@@ -601,6 +601,6 @@ def question_candidates(spark, sf_dir):
     return model.question_candidates(u, t).select("unknown_id", "n", F.round("value", 6).alias("value"))
 
 
-from wardline.plans import code, jobs, models, repositories  # noqa: E402, F401  (they register their queries)
+from wardline.plans import code, jobs, models, repositories, reviews  # noqa: E402, F401  (they register their queries)
 
 __all__ = ["QUERIES", "SQL"]
