@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -127,14 +129,28 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, value: str, lo: s
     return points.join(r, (points[key] == r["__k"]) & (points[value] >= r[lo]) & (r[hi].isNull() | (points[value] < r[hi]))).drop("__k")
 
 
-def word_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """(id, representative, words, block keys): rows of one block with the same set of tokens share the smallest id among
-    them. Tokens are known by 64 bits of hash; only hashes are grouped. Rows without a token are left out."""
+def _token_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Written (id, block keys, words, two hashes of words) of rows that hold a token; (block keys, hashes, representative) of each
+    set, its minimum made where rows are read and from numbers alone, so that no task holds a hot group; the names of the keys."""
     keys = [f"__block{i}" for i in range(len(blocks))]  # block columns may be called like ours
     words = F.array_sort(F.transform(tokens(F.col(text), stopwords), lambda t: F.xxhash64(t)))
     spoken = rows.where(F.col(text).rlike("[a-zA-Z0-9]"))  # so that no test of the tokens makes them twice
     d = spoken.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), words.alias("words"))
-    return d.withColumn("representative", F.min("id").over(Window.partitionBy(*keys, F.xxhash64("words"), F.hash("words")))).where(F.size("words") > 0)
+    d = materialize(d.withColumns({"__h": F.xxhash64("words"), "__g": F.hash("words")}), "word-hashes").where(F.size("words") > 0)
+    return d, d.groupBy(*keys, "__h", "__g").agg(F.min("id").alias("representative")), keys
+
+
+def _of_set(sets: DataFrame, low: DataFrame, keys: list[str], how: str, *more: Column) -> DataFrame:
+    """sets joined to the representatives of their own set; null keys are a block of their own."""
+    group = [*keys, "__h", "__g"]
+    return sets.join(low.withColumnsRenamed({g: f"{g}_of" for g in group}), reduce(and_, (*more, *(F.col(g).eqNullSafe(F.col(f"{g}_of")) for g in group))), how)
+
+
+def word_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(id, block keys, representative): rows of one block with the same set of tokens share the smallest id among
+    them. Tokens are known by 64 bits of hash; only numbers are grouped and joined. Rows without a token are left out."""
+    sets, low, keys = _token_sets(rows, id_, text, blocks, stopwords)
+    return _of_set(sets.drop("words"), low, keys, "inner").select("id", *keys, "representative")
 
 
 def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
@@ -144,8 +160,9 @@ def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], thres
     Two sets that qualify share one of the first tokens, rarest first, that prefix filtering keeps (of n tokens
     n - ceil(t n) + 1). Where they meet, their sizes and the places of the shared token bound what they can have in common;
     pairs that cannot reach the threshold are dropped inside the join. Only the rest are compared."""
-    keys = [f"__block{i}" for i in range(len(blocks))]
-    sets = materialize(word_sets(rows, id_, text, blocks, stopwords).where("id = representative").dropDuplicates(["id", *keys]), "word-sets")
+    every, low, keys = _token_sets(rows, id_, text, blocks, stopwords)
+    one_each = _of_set(every, low, keys, "left_semi", F.col("id") == F.col("representative"))
+    sets = materialize(one_each.select("id", *keys, "words").dropDuplicates(["id", *keys]), "word-sets")
     each = sets.select("id", *keys, F.size("words").alias("n"), F.explode("words").alias("t"))
     often = each.groupBy(*keys, "t").agg(F.count("*").alias("c")).where("c > 1")  # a token of one set alone meets no other
     place = F.row_number().over(Window.partitionBy("id", *keys).orderBy("c", "t"))
