@@ -208,9 +208,18 @@ def resolve_refs(refs: DataFrame, evidence: DataFrame, routes: DataFrame, files:
 
 
 def evidence_of_facts(facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """facts (fact_id, file, line, prefix) with the first evidence at their place whose summary begins with the prefix."""
-    hit = facts.join(evidence.select("id", "file", "line", "summary"), ["file", "line"]).where(F.col("summary").startswith(F.col("prefix")))
-    return facts.join(hit.groupBy("fact_id").agg(F.min("id").alias("evidence_id")), "fact_id", "left")
+    """facts (fact_id, file, line, prefix) with the first evidence at their place whose summary begins with the prefix.
+
+    Neither facts nor evidence of a hot place meet one by one: what evidence says there, once for each length of a prefix asked
+    there, is cut to that length and joined by equality to the prefixes."""
+    place = ["file", "line"]
+    asked = facts.select(*place, "prefix").where("prefix is not null").distinct()
+    said = evidence.groupBy(*place, "summary").agg(F.min("id").alias("id"))
+    lengths = asked.select(*place, F.length("prefix").alias("__n")).distinct()
+    cut = said.join(lengths, place).where(F.length("summary") >= F.col("__n")).select(*place, F.expr("left(summary, __n)").alias("prefix"), "id")
+    first = cut.groupBy(*place, "prefix").agg(F.min("id").alias("__id"))
+    hit = facts.select("fact_id", *place, "prefix").join(first, [*place, "prefix"]).groupBy("fact_id").agg(F.min("__id").alias("evidence_id"))
+    return facts.join(hit, "fact_id", "left")
 
 
 def bind_facts(groups: DataFrame, components_: DataFrame) -> DataFrame:
