@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from wardline.operators import model
+from wardline.operators import model, windows
+from wardline.session import shared_dir
 
 
 def test_evidence_of_a_hot_place(spark):
@@ -16,3 +17,19 @@ def test_evidence_of_a_hot_place(spark):
     got = {(r.k, r.evidence_id): r["count"] for r in model.evidence_of_facts(facts, evidence).groupBy((F.substring("fact_id", 2, 9).cast("int") % 3).alias("k"), "evidence_id").count().collect()}
     assert got == {(0, "e1"): n // 3, (1, "e1"): n // 3, (2, "e7"): n // 3}
     assert time.monotonic() - began < 60  # pair by pair, 3.6 billion tests of a prefix
+
+
+def test_similar_pairs_ship_only_first_tokens(spark, monkeypatch):
+    import os
+
+    words = F.expr("concat_ws(' ', transform(sequence(0, 29), i -> concat('w', CASE WHEN i < 24 + id % 3 THEN (id div 6) * 40 + i ELSE id * 1000 + i END)))")
+    d = spark.range(60).select("id", words.alias("t"), F.when(F.col("id") >= 54, None).when(F.col("id") % 2 == 0, "x").otherwise("y").alias("b"))
+    rows = {r.id: (r.b, set(r.t.split())) for r in d.collect()}
+    want = {(a, b) for a, (ka, wa) in rows.items() for b, (kb, wb) in rows.items() if a < b and ka and ka == kb and wa != wb and len(wa & wb) >= 0.6 * len(wa | wb)}
+    assert len(want) > 30
+    for most in (windows.OFTEN, 5, 0):  # the order of tokens changes no pair
+        monkeypatch.setattr(windows, "OFTEN", most)
+        before = set(os.listdir(folder)) if os.path.isdir(folder := f"{shared_dir(spark).removeprefix('file://')}/wardline/{spark.sparkContext.applicationId}") else set()
+        pairs = windows.similar_pairs(d, "id", "t", ["b"])
+        assert {(r.a, r.b) for r in pairs.collect()} == want
+        assert {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before} == {"word-sets"}  # words are held once

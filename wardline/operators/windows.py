@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql.types import _parse_datatype_string
 from wardline.functions.text import tokens
 from wardline.session import discard, materialize
 
+#: Frequent tokens whose numbers of sets are known where sets are read; 16 bytes each.
+OFTEN = 1 << 20
+
 
 def merge_intervals(rows: DataFrame, group: list[str], lo: str, hi: str, touching: bool = True) -> DataFrame:
     """(group, lo, hi, n): overlapping intervals as one; with ``touching`` also those that begin where another ends + 1."""
@@ -136,7 +140,9 @@ def _token_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwor
     words = F.array_sort(F.transform(tokens(F.col(text), stopwords), lambda t: F.xxhash64(t)))
     spoken = rows.where(F.col(text).rlike("[a-zA-Z0-9]"))  # so that no test of the tokens makes them twice
     d = spoken.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), words.alias("words"))
-    d = materialize(d.withColumns({"__h": F.xxhash64("words"), "__g": F.hash("words")}), "word-hashes").where(F.size("words") > 0)
+    written = materialize(d.withColumns({"__h": F.xxhash64("words"), "__g": F.hash("words")}), "word-hashes")
+    d = written.where(F.size("words") > 0)
+    d._written_at = written._written_at
     return d, d.groupBy(*keys, "__h", "__g").agg(F.min("id").alias("representative")), keys
 
 
@@ -153,27 +159,73 @@ def word_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords
     return _of_set(sets.drop("words"), low, keys, "inner").select("id", *keys, "representative")
 
 
+def _often(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the most sets, at most OFTEN of them, sorted, and their numbers of sets. They only put tokens in order, rarest
+    first; those left out count as rare, so that any number of them gives the same pairs."""
+    counts = materialize(sets.select(F.explode("marks").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "token-counts")
+    least, held = 2, 0
+    for c, n in sorted(((r.c, r.n) for r in counts.groupBy(F.least("c", F.lit(1 << 12)).alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True):  # at most 4,096 rows
+        held += n
+        if held > OFTEN:
+            least = c + 1
+            break
+    top = counts.where(F.col("c") >= least).toArrow().sort_by("k")
+    discard(counts)
+    return top["k"].to_numpy(), top["c"].to_numpy()
+
+
+def _prefix_tokens(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, k, p, s0..s3): the tokens k of each set that prefix filtering keeps, of n tokens n - ceil(t n) + 1, each at its place p,
+    rarest first; s: 256 bits, a set's tokens thrown on them."""
+    often = sets.sparkSession.sparkContext.broadcast(_often(sets))
+    d = sets.select("id", "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens_, counts = often.value
+        for batch in batches:
+            lists = batch.column(1)
+            k, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            c = np.ones(len(k), np.int64)
+            if len(tokens_):
+                at = np.minimum(np.searchsorted(tokens_, k), len(tokens_) - 1)
+                c = np.where(tokens_[at] == k, counts[at], 1)
+            k = k[np.lexsort((k, c, row))]
+            bits = np.zeros((len(n), 256), np.uint8)
+            bits[row, (k >> 17) & 255] = 1
+            signs = np.packbits(bits, axis=1).view(np.int64).reshape(len(n), 4)
+            p = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + 1
+            keep = p <= (n - np.ceil(threshold * n - 1e-9) + 1)[row]
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, t) for x, t in ((n[row], pa.int32()), (k[keep], pa.int64()), (p[keep], pa.int32()), *((signs[row, i], pa.int64()) for i in range(4))))], ["id", "n", "k", "p", "s0", "s1", "s2", "s3"])
+
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n int, k bigint, p int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+
+
 def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, jaccard), a < b, of word sets of one block that reach the threshold, each under its representative (word_sets
     says whose); copies are one set and make no pairs.
 
-    Two sets that qualify share one of the first tokens, rarest first, that prefix filtering keeps (of n tokens
-    n - ceil(t n) + 1). Where they meet, their sizes and the places of the shared token bound what they can have in common;
-    pairs that cannot reach the threshold are dropped inside the join. Only the rest are compared."""
+    Two sets that qualify share one of the first tokens, rarest first, that prefix filtering keeps. Only these leave the task that
+    holds their set. Where two meet, their sizes, the places of the shared token and the bits in which their sets differ bound what
+    they can have in common; pairs that cannot reach the threshold are dropped inside the join. Only the rest are compared."""
     every, low, keys = _token_sets(rows, id_, text, blocks, stopwords)
+    written = every
+    for k in keys:  # rows without a block make no pairs
+        every = every.where(F.col(k).isNotNull())
     one_each = _of_set(every, low, keys, "left_semi", F.col("id") == F.col("representative"))
     sets = materialize(one_each.select("id", *keys, "words").dropDuplicates(["id", *keys]), "word-sets")
-    each = sets.select("id", *keys, F.size("words").alias("n"), F.explode("words").alias("t"))
-    often = each.groupBy(*keys, "t").agg(F.count("*").alias("c")).where("c > 1")  # a token of one set alone meets no other
-    place = F.row_number().over(Window.partitionBy("id", *keys).orderBy("c", "t"))
-    ranked = each.join(often, [*keys, "t"], "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("p", place)
-    kept = ranked.where((F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1) & (F.col("c") > 1))
-    one = lambda x: kept.select(*keys, "t", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
+    discard(written)
+    kept = _prefix_tokens(sets.withColumn("marks", F.transform("words", lambda w: F.xxhash64(*keys, w))), threshold)
+    one = lambda x: kept.select("k", *(F.col(c).alias(f"{c}{x}") for c in ("id", "n", "p", "s0", "s1", "s2", "s3")))
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
     most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    met = one("a").join(one("b"), [*keys, "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (most >= least))
-    held = sets.select("id", "words")
-    full = met.select("a", "b").distinct().join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    differ = sum(F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(4))
+    met = one("a").join(one("b"), "k").where(
+        (F.col("ida") < F.col("idb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (most >= least) & (F.col("na") + F.col("nb") - differ >= 2 * least)
+    )
+    held = lambda x: sets.select(F.col("id").alias(x), *(F.col(k).alias(f"{k}{x}") for k in keys), F.col("words").alias(f"w{x}"))
+    full = met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct().join(held("a"), "a").join(held("b"), "b").where(reduce(and_, (F.col(f"{k}a") == F.col(f"{k}b") for k in keys), F.lit(True)))
     same = F.size(F.array_intersect("wa", "wb"))
     return full.select("a", "b", (same / (F.size("wa") + F.size("wb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
