@@ -33,3 +33,20 @@ def test_similar_pairs_ship_only_first_tokens(spark, monkeypatch):
         pairs = windows.similar_pairs(d, "id", "t", ["b"])
         assert {(r.a, r.b) for r in pairs.collect()} == want
         assert {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before} == {"word-sets"}  # words are held once
+
+
+def test_issue_lines_of_a_hot_finding_are_not_written(spark):
+    import os
+
+    from wardline.sources import issues
+
+    none = F.array().cast("array<string>")
+    t = spark.createDataFrame([("t", "o/r")], "threat_id string, repo string").select("*", *(F.lit("x").alias(c) for c in ("title", "severity", "confidence_label", "basis_label", "scenario", "mitigation", "code_location", "ref")), F.lit(5).alias("confidence"), *(none.alias(c) for c in ("stride", "owasp", "cwe", "affected", "steps")))
+    e = spark.range(50_000).select(F.lit("t").alias("threat_id"), (F.col("id") % 25_000).alias("pos"), F.when(F.col("id") < 25_000, "").otherwise("a").alias("summary"), F.when(F.col("id") % 3 == 0, "a b/c.ts:1-2").alias("place"))
+    folder = f"{shared_dir(spark).removeprefix('file://')}/wardline/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    r = issues.issue_links(t, e).first()
+    assert len(r.body) <= 6000 and r.body.count("\n- ") > 50
+    kept = r.body.count("\n- ")
+    assert f"_{50_000 - kept} more evidence items omitted to fit the issue size limit._" in r.body
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before

@@ -89,7 +89,7 @@ ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 def units(text: Column) -> Column:
     """Length in UTF-16 units, in which limits of web forms are counted: characters beyond the basic plane are two."""
-    return F.length(F.regexp_replace(text, ASTRAL, "  "))
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(F.regexp_replace(text, ASTRAL, "  ")))
 
 
 def cut_units(text: Column, most: int) -> Column:
