@@ -77,3 +77,15 @@ def test_lists_of_components_go_along_flows(spark, monkeypatch):
     got = sorted(map(repr, assembly.expand(c, flows, gaps, bound, doubts, held, known, cited).collect()))
     assert {r.element_id for r in seen["repeated"].collect()} == {"f3", "c4"}  # no other element is gathered fact by fact
     assert got == sorted(map(repr, gathered(c.distinct(), flows, *seen["facts"]).collect())) and len(got) == 9 + 120 + 1
+
+
+def test_spans_are_dealt_by_the_size_of_their_input(spark):
+    from wardline.operators import context
+
+    parts = []
+    for n in (1, 4):
+        d = spark.range(0, 40_000, 1, n).select((F.col("id") % 9_000).alias("id"), (F.col("id") % 11).cast("int").alias("lo"), (F.col("id") % 11 + 3).cast("int").alias("hi"), F.lit("jwt").alias("type"))
+        merged = context.merge_spans(d, ("aws", "jwt"))
+        parts.append(merged.rdd.getNumPartitions())
+        assert merged.select("id").distinct().count() == 9_000
+    assert parts[1] == 4 * parts[0] >= 16

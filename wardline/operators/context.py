@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wardline.operators.windows import merge_intervals, skip_fit
 
 AROUND, RESERVE = 30, 0.2
+#: Tasks that sort spans, for each task that reads them: a split of 128 MB may hold some millions.
+TASKS = 16
 CAPS = (50, 20, 10, 5, 3, 2, 1, 0)
 
 
@@ -56,9 +58,12 @@ def shrink(facts: DataFrame, budget: int) -> DataFrame:
 
 
 def merge_spans(spans: DataFrame, priorities: tuple[str, ...]) -> DataFrame:
-    """(id, lo, hi, type): overlapping half-open spans as one, under the type of highest priority among them."""
+    """(id, lo, hi, type): overlapping half-open spans as one, under the type of highest priority among them.
+
+    Spans are dealt over TASKS tasks for each split of the input, so that a task's share stays the same as the input grows."""
     place = F.coalesce(*(F.when(F.col("type") == t, i) for i, t in enumerate(priorities)), F.lit(len(priorities)))
     w = Window.partitionBy("id").orderBy("lo", "hi")
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = spans.withColumn("__new", F.when(F.col("lo") < before, 0).otherwise(1)).withColumn("__g", F.sum("__new").over(w))
+    dealt = spans.repartition(TASKS * max(1, spans.rdd.getNumPartitions()), "id")
+    d = dealt.withColumn("__new", F.when(F.col("lo") < before, 0).otherwise(1)).withColumn("__g", F.sum("__new").over(w))
     return d.groupBy("id", "__g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("type", F.struct(place.alias("p"), "lo")).alias("type")).drop("__g")
