@@ -59,7 +59,7 @@ def _names(text: str, masked: str) -> list[str]:
 
 def routes_in(code: str) -> list[tuple[int, str, str, list[str], str]]:
     """(line, method, path, middleware, handler text) of each call that registers a handler on an app or router."""
-    masked, out = mask_text(code), []
+    masked, out, line, seen = mask_text(code), [], 1, 0
     for m in _route.finditer(masked):
         if not _router.search(m[1]):
             continue
@@ -71,13 +71,14 @@ def routes_in(code: str) -> list[tuple[int, str, str, list[str], str]]:
             continue
         names = [n for a, b in spans[1:-1] for n in _names(code[a:b], masked[a:b])]
         a, b = spans[-1]
-        out.append((code.count("\n", 0, m.start()) + 1, m[2].upper(), path[1:-1], names, masked[a:b].strip()))
+        line, seen = line + code.count("\n", seen, m.start()), m.start()
+        out.append((line, m[2].upper(), path[1:-1], names, masked[a:b].strip()))
     return out
 
 
 def uses_in(code: str) -> list[tuple[int, str | None, list[str]]]:
     """(line, prefix or None, middleware names) of each .use() call on an app or router."""
-    masked, out = mask_text(code), []
+    masked, out, line, seen = mask_text(code), [], 1, 0
     for m in _use.finditer(masked):
         if not _router.search(m[1]):
             continue
@@ -89,7 +90,8 @@ def uses_in(code: str) -> list[tuple[int, str | None, list[str]]]:
                 prefix = text[1:-1]
             else:
                 names += _names(code[a:b], masked[a:b])
-        out.append((code.count("\n", 0, m.start()) + 1, prefix, names))
+        line, seen = line + code.count("\n", seen, m.start()), m.start()
+        out.append((line, prefix, names))
     return out
 
 
