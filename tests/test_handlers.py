@@ -76,3 +76,15 @@ def test_empty(spark):
     assert windows(spark, {"r": {"lib/util.js": ["function add(a, b) { return a + b; }"]}}, [("r", 0, 0, ["lib/util.js"])]) == []
     e = spark.createDataFrame([], "repo string, batch long, element int, path string, pos int")
     assert handlers.extra_windows(e, files(spark, {"r": SHOP})).count() == 0
+
+
+def test_windows_move_without_texts_and_equal_calls_once(spark, monkeypatch):
+    written, real = {}, handlers.materialize
+    monkeypatch.setattr(handlers, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    route = ['const D = require("./d");', "const dao = new D(db);", *(f"this.h{i} = (req, res) => {{ dao.m(); dao.m (); dao.k(); }};" for i in range(6))]
+    e = spark.createDataFrame([("r", 0, 0, "r.js", 0), ("r", 0, 1, "r.js", 0)], "repo string, batch long, element int, path string, pos int")
+    got = handlers.placed_windows(e, files(spark, {"r": {"r.js": route, "d.js": ["this.m = () => {};", "this.k = () => {};"]}})).orderBy("place").collect()
+    assert [(x.kind, x.place.element, x.lo, x.place.place) for x in got] == [("handler", 0, n, -1) for n in (3, 4, 5, 6)] + [("handler", 1, n, -1) for n in (7, 8)] + [("method", 0, 1, 0), ("method", 0, 2, 2)]
+    assert not {c for df in written.values() for c in df.columns} & {"text", "lines", "content"}
+    # 6 handlers for both elements, and of 18 calls in windows m, m with a space, and k
+    assert written["windows"].where("kind = 'handler'").count() == 12 and written["windows"].where("kind = 'method'").count() == 6

@@ -62,9 +62,10 @@ def route_handlers(files: DataFrame, path: str, content: str, *keys: str) -> Dat
 
 
 #: A comment or a string, as one token. A slash after a backslash opens no comment, so a regular expression like /\\/*$/ blanks
-#: nothing; a comment or backtick string left open runs to the end, a quote left open to the end of its line.
+#: nothing; a comment or backtick string left open runs to the end, a quote left open to the end of its line. Each way
+#: begins with its character, by which the search skips ahead; only strings have a group.
 _token = re.compile(
-    r"(?P<comment>(?<!\\)//[^\n]*|(?<!\\)/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
+    r"/(?<!\\/)(?:/[^\n]*|\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
     r"""|"(?P<a>(?:\\[\s\S]|[^"\\\n])*+\\?)"?|'(?P<b>(?:\\[\s\S]|[^'\\\n])*+\\?)'?|`(?P<c>(?:\\[\s\S]|[^`\\])*+\\?)`?"""
 )
 _visible = re.compile(r"[^\n]")
@@ -76,7 +77,7 @@ def mask_both(code: str) -> tuple[str, str]:
     for m in _token.finditer(code):
         before = code[at : m.start()]
         blank = _visible.sub(" ", m[0])
-        if m["comment"] is not None:
+        if m.lastgroup is None:
             masked += [before, blank]
             bare += [before, blank]
         else:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.session import materialize
+
 NAME = r"[A-Za-z_$][\w$]*"
 QUOTED = r"""["']([^"']+)["']"""
 REQUIRE_ONE = r"\b(?:const|let|var)\s+(" + NAME + r")\s*=\s*require\(\s*" + QUOTED + r"\s*\)"
@@ -19,9 +21,10 @@ ENDINGS = ("", ".js", ".ts", "/index.js", "/index.ts")
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """The first two groups of every match of a pattern, in order."""
-    at = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
-    return F.arrays_zip(at(1).alias("a"), at(2).alias("b"))
+    """The first two groups of every match of a pattern that begins with a word, in order. The text is searched once; the groups
+    are read from the matches."""
+    at = lambda m, n: F.regexp_extract(m, pattern, n)
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(at(m, 1).alias("a"), at(m, 2).alias("b")))
 
 
 def bindings(files: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def bindings(files: DataFrame) -> DataFrame:
     forms = ((REQUIRE_ONE, "require", ""), (REQUIRE_SOME, "require", ":"), (IMPORT_ONE, "import", ""), (IMPORT_SOME, "import", r"\s+as\s+"))
     found = None
     for n, (pattern, form, renames) in enumerate(forms):
-        each = files.select("repo", F.col("path").alias("file"), F.posexplode(matches(F.col("bare"), pattern)).alias("i", "m"))
+        each = files.where(F.col("bare").contains(form)).select("repo", F.col("path").alias("file"), F.posexplode(matches(F.col("bare"), pattern)).alias("i", "m"))
         if renames:  # a list of names, the local one after the sign
             each = each.select("repo", "file", "i", F.col("m.b").alias("b"), F.posexplode(F.split("m.a", ",")).alias("j", "part"))
             name, spec = F.trim(F.element_at(F.split(F.trim("part"), renames), -1)), F.col("b")
@@ -51,8 +54,8 @@ def base_of(file: Column, spec: Column) -> Column:
 
 def resolve(refs: DataFrame, files: DataFrame, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
     """refs (repo, file, spec, ..) that mean a file there is, with target: the path with the first ending that exists. Packages and
-    paths that are not there drop out. One equi-join on whole paths."""
-    d = refs.where(F.col("spec").startswith(".")).withColumn("__base", base_of(F.col("file"), F.col("spec")))
+    paths that are not there drop out. One equi-join on whole paths; what refs are made of is read once."""
+    d = materialize(refs.where(F.col("spec").startswith(".")).withColumn("__base", base_of(F.col("file"), F.col("spec"))), "refs")
     asked = d.select("repo", "__base").distinct()
     tried = asked.select("repo", "__base", F.posexplode(F.array(*(F.concat("__base", F.lit(e)) for e in endings))).alias("p", "path"))
     hit = tried.join(files.select("repo", "path"), ["repo", "path"], "left_semi").groupBy("repo", "__base").agg(F.min_by("path", "p").alias("target"))
