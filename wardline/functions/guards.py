@@ -27,6 +27,11 @@ SECRETS = (
     ("google_api_key", r"AIza[0-9A-Za-z_-]{35}"),
     ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
+# A text without any of a rule's marks holds nothing of its kind; rules that are not here are tried on every text.
+MARKS = {
+    "private_key": ("-----BEGIN ",), "aws_access_key": ("AKIA", "ASIA"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "stripe_key": ("sk_", "rk_"), "anthropic_key": ("sk-ant-",),
+    "openai_key": ("sk-",), "slack_token": ("xox",), "google_api_key": ("AIza",), "jwt": ("eyJ",), "connection_string": ("://",), "high_entropy": ("'", '"', "`"),
+}
 CONNECTION = r"(?i)(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,31}://(?P<secret>[^\s:/@'\"`]+:[^\s:/@'\"`]+)(?=@[^\s'\"`]+)"
 # How a credential is named and assigned, in code and in configuration files, and what is none.
 KEYWORD = r"(?i)password|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|client[_-]?secret"
@@ -87,6 +92,7 @@ class Finder:
         self.harmless = [make(p) for p in NO_SECRET]
         self.rules = [(kind, make(p), None) for kind, p in SECRETS] + [("connection_string", make(CONNECTION), None)]
         self.rules += [("generic_secret", make(ASSIGNMENT), self._assigned), ("generic_secret", make(CONFIG_LINE), self._configured), ("high_entropy", make(LONG_VALUE), self._random)]
+        self.any_mark = list(dict.fromkeys(m for ms in MARKS.values() for m in ms))  # quoted assignments hold a quote, as long values do
         self.rank = {kind: i for i, kind in enumerate(dict.fromkeys(kind for kind, _, _ in self.rules))}
 
     def _assigned(self, key: str, value: str, path: str) -> bool:
@@ -104,11 +110,13 @@ class Finder:
 
     def spans(self, text: str, path: str) -> list[tuple[int, int, str]]:
         """(start, end, kind), merged where they overlap: together they are one, of the kind that comes first."""
+        if not is_config(path) and not any(m in text for m in self.any_mark):
+            return []
         marks = [m.span() for m in self.mark.finditer(text)]
         text = self.mark.sub(lambda m: " " * len(m[0]), text)  # what is marked already takes no part
         found = []
         for kind, pattern, test in self.rules:
-            if test == self._configured and not is_config(path):
+            if test == self._configured and not is_config(path) or kind in MARKS and not any(m in text for m in MARKS[kind]):
                 continue
             at = 0
             while m := pattern.search(text, at):

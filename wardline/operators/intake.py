@@ -66,8 +66,9 @@ def scanner_rows(responses: DataFrame, files: DataFrame, column: str = "response
         "repo", F.col("r.check_id").alias("rule_id"), "r.path", F.col("r.start.line").alias("start_line"), F.coalesce("r.end.line", "r.start.line").alias("end_line"), F.coalesce("r.extra.message", F.lit("")).alias("message"),
         F.col("r.extra.severity").alias("severity"), F.transform("r.extra.metadata.cwe", lambda x: F.regexp_extract(x, r"(CWE-\d+)", 1)).alias("cwe"), "r.extra.metadata.owasp",
     ).where((F.coalesce("rule_id", F.lit("")) != "") & (F.coalesce("path", F.lit("")) != "") & (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
-    w = Window.partitionBy("repo", "rule_id", "path", "start_line").orderBy("end_line", "message")
-    one = d.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    # dealt and sorted by file once: duplicates and the join with contents both go by it
+    w = Window.partitionBy("repo", "path", "rule_id", "start_line").orderBy("end_line", "message")
+    one = d.repartition("repo", "path").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     held = files.select("repo", "path", F.split("content", "\n").alias("__lines"))
     cut = F.array_join(F.slice("__lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
     return one.join(held, ["repo", "path"], "left").select(
