@@ -35,6 +35,31 @@ def test_similar_pairs_ship_only_first_tokens(spark, monkeypatch):
         assert {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before} == {"word-sets"}  # words are held once
 
 
+def test_sets_of_common_words_bring_few_candidates(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    common = [f"w{i}" for i in range(400)]
+    texts = [draw.sample(common, draw.choice((5, 40, 90, 300))) for _ in range(260)]
+    texts += [t[: len(t) - draw.randrange(2, 3 + len(t) // 3)] + [f"x{i}"] for i, t in enumerate(texts[:120])]
+    rows = [(i, "yx"[i % 2] if i % 9 else None, " ".join(t)) for i, t in enumerate(texts)]
+    want = {(a, b) for a, ka, ta in rows for b, kb, tb in rows if a < b and ka and ka == kb and 0.6 * len({*ta.split()} | {*tb.split()}) <= len({*ta.split()} & {*tb.split()})}
+    assert len(want) > 40
+    made, seen = windows._candidates, []
+
+    def spy(*given):
+        out = made(*given)
+        seen.append({(r.a, r.b) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(windows, "_candidates", spy)
+    for most in (windows.CHUNK, 3000):  # one chunk a block, and many
+        monkeypatch.setattr(windows, "CHUNK", most)
+        d = spark.createDataFrame(rows, "id int, b string, t string").repartition(5)
+        assert {(r.a, r.b) for r in windows.similar_pairs(d, "id", "t", ["b"]).collect()} == want
+        assert want <= seen[-1] and len(seen[-1]) < 3 * len(want)  # some 30,000 pairs share a token
+
+
 def test_issue_lines_of_a_hot_finding_are_not_written(spark):
     import os
 

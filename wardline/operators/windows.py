@@ -16,8 +16,10 @@ from pyspark.sql.types import _parse_datatype_string
 from wardline.functions.text import tokens
 from wardline.session import discard, materialize
 
-#: Frequent tokens whose numbers of sets are known where sets are read; 16 bytes each.
+#: Without use since pairs are found by marks, not by an order of tokens; tests still set it.
 OFTEN = 1 << 20
+#: Tokens of a chunk of sets, each set counting for 256 more; most tasks that compare chunks.
+CHUNK, MOST_TASKS = 1 << 22, 4096
 
 
 def merge_intervals(rows: DataFrame, group: list[str], lo: str, hi: str, touching: bool = True) -> DataFrame:
@@ -133,17 +135,22 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, value: str, lo: s
     return points.join(r, (points[key] == r["__k"]) & (points[value] >= r[lo]) & (r[hi].isNull() | (points[value] < r[hi]))).drop("__k")
 
 
-def _token_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Written (id, block keys, words, two hashes of words) of rows that hold a token; (block keys, hashes, representative) of each
-    set, its minimum made where rows are read and from numbers alone, so that no task holds a hot group; the names of the keys."""
+def _token_rows(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """(id, block keys, words) of rows that hold a token, words as sorted hashes; the names of the keys."""
     keys = [f"__block{i}" for i in range(len(blocks))]  # block columns may be called like ours
     words = F.array_sort(F.transform(tokens(F.col(text), stopwords), lambda t: F.xxhash64(t)))
     spoken = rows.where(F.col(text).rlike("[a-zA-Z0-9]"))  # so that no test of the tokens makes them twice
-    d = spoken.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), words.alias("words"))
-    written = materialize(d.withColumns({"__h": F.xxhash64("words"), "__g": F.hash("words")}), "word-hashes")
-    d = written.where(F.size("words") > 0)
-    d._written_at = written._written_at
-    return d, d.groupBy(*keys, "__h", "__g").agg(F.min("id").alias("representative")), keys
+    return spoken.select(F.col(id_).alias("id"), *(F.col(c).alias(k) for c, k in zip(blocks, keys, strict=True)), words.alias("words")), keys
+
+
+def _hashed(sets: DataFrame) -> DataFrame:
+    """Two hashes and the number of words of each set."""
+    return sets.withColumns({"__h": F.xxhash64("words"), "__g": F.hash("words"), "__n": F.size("words")})
+
+
+def _lowest(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """(block keys, hashes, representative) of each set, a grouped minimum of numbers, so that no task holds a hot group."""
+    return sets.groupBy(*keys, "__h", "__g").agg(F.min("id").alias("representative"))
 
 
 def _of_set(sets: DataFrame, low: DataFrame, keys: list[str], how: str, *more: Column) -> DataFrame:
@@ -154,78 +161,139 @@ def _of_set(sets: DataFrame, low: DataFrame, keys: list[str], how: str, *more: C
 
 def word_sets(rows: DataFrame, id_: str, text: str, blocks: list[str], stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(id, block keys, representative): rows of one block with the same set of tokens share the smallest id among
-    them. Tokens are known by 64 bits of hash; only numbers are grouped and joined. Rows without a token are left out."""
-    sets, low, keys = _token_sets(rows, id_, text, blocks, stopwords)
-    return _of_set(sets.drop("words"), low, keys, "inner").select("id", *keys, "representative")
-
-
-def _often(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the most sets, at most OFTEN of them, sorted, and their numbers of sets. They only put tokens in order, rarest
-    first; those left out count as rare, so that any number of them gives the same pairs."""
-    counts = materialize(sets.select(F.explode("marks").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "token-counts")
-    least, held = 2, 0
-    for c, n in sorted(((r.c, r.n) for r in counts.groupBy(F.least("c", F.lit(1 << 12)).alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True):  # at most 4,096 rows
-        held += n
-        if held > OFTEN:
-            least = c + 1
-            break
-    top = counts.where(F.col("c") >= least).toArrow().sort_by("k")
-    discard(counts)
-    return top["k"].to_numpy(), top["c"].to_numpy()
-
-
-def _prefix_tokens(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, k, p, s0..s3): the tokens k of each set that prefix filtering keeps, of n tokens n - ceil(t n) + 1, each at its place p,
-    rarest first; s: 256 bits, a set's tokens thrown on them."""
-    often = sets.sparkSession.sparkContext.broadcast(_often(sets))
-    d = sets.select("id", "marks")
+    them. Tokens are known by 64 bits of hash; only numbers are written, grouped and joined. Rows without a token are left out."""
+    sets, keys = _token_rows(rows, id_, text, blocks, stopwords)
+    sets = materialize(_hashed(sets).drop("words"), "word-hashes").where("__n > 0")
+    return _of_set(sets, _lowest(sets, keys), keys, "inner").select("id", *keys, "representative")
+
+
+def _bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the mark of a set of n tokens: a power of two, 4 to 8 for each token."""
+    return 1 << np.maximum(7, np.ceil(np.log2(4 * n)).astype(np.int64))
+
+
+def _marked(sets: DataFrame) -> DataFrame:
+    """Sets of tokens with a mark (bits) in place of their words: each token sets the bit that its hash says. A mark of half the bits is
+    that of the lower half or that of the upper one."""
+    names = [c for c in sets.columns if c != "words"]
+    d = sets.select(*names, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_, counts = often.value
-        for batch in batches:
-            lists = batch.column(1)
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            lists = batch.column(len(names))
             k, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), n)
-            c = np.ones(len(k), np.int64)
-            if len(tokens_):
-                at = np.minimum(np.searchsorted(tokens_, k), len(tokens_) - 1)
-                c = np.where(tokens_[at] == k, counts[at], 1)
-            k = k[np.lexsort((k, c, row))]
-            bits = np.zeros((len(n), 256), np.uint8)
-            bits[row, (k >> 17) & 255] = 1
-            signs = np.packbits(bits, axis=1).view(np.int64).reshape(len(n), 4)
-            p = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + 1
-            keep = p <= (n - np.ceil(threshold * n - 1e-9) + 1)[row]
-            row = row[keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, t) for x, t in ((n[row], pa.int32()), (k[keep], pa.int64()), (p[keep], pa.int32()), *((signs[row, i], pa.int64()) for i in range(4))))], ["id", "n", "k", "p", "s0", "s1", "s2", "s3"])
-
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n int, k bigint, p int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+            wide = np.where(n > 0, _bits(np.maximum(n, 1)), 0)
+            ends = np.cumsum(wide)
+            bits = np.zeros(ends[-1], np.uint8)
+            bits[np.repeat(ends - wide, n) + (k & np.repeat(wide - 1, n))] = 1
+            offsets = np.concatenate([[0], ends // 8]).astype(np.int32)
+            marks = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(bits, bitorder="little"))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], marks], [*names, "mark"])
+
+    return d.mapInArrow(run, ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in names) + ", mark binary")
+
+
+def _classes(n: np.ndarray, marks: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sets in order of size, in classes of equally wide marks: (their places, sizes, marks as rows of 64-bit words)."""
+    order = np.argsort(n, kind="stable")
+    wide, out = _bits(n[order]), []
+    for w in np.unique(wide):
+        at = order[wide == w]
+        data = b"".join(marks.take(pa.array(at)).to_pylist())
+        out.append((at, n[at].astype(np.int64), np.frombuffer(data, np.uint64).reshape(len(at), w // 64)))
+    return out
+
+
+def _may_reach(a: tuple, b: tuple, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of two classes, or of one (``same``), that their marks do not rule out: what two sets share is at most the bits
+    they share and the lesser number of tokens that found their bit set."""
+    (at_a, na, ma), (at_b, nb, mb) = a, b
+    while ma.shape[1] != mb.shape[1]:
+        if ma.shape[1] > mb.shape[1]:
+            ma = ma[:, : ma.shape[1] // 2] | ma[:, ma.shape[1] // 2 :]
+        else:
+            mb = mb[:, : mb.shape[1] // 2] | mb[:, mb.shape[1] // 2 :]
+    over_a, over_b = (n - np.bitwise_count(m).sum(axis=1, dtype=np.int64) for n, m in ((na, ma), (nb, mb)))
+    ma, mb, part = np.ascontiguousarray(ma.T), np.ascontiguousarray(mb.T), threshold / (1 + threshold)
+    kind = np.uint16 if len(ma) * 64 < 1 << 16 else np.uint32
+    for i in range(0, len(na), 32):
+        i_to = min(i + 32, len(na))
+        lo, hi = np.searchsorted(nb, threshold * na[i] - 1e-9, "left"), np.searchsorted(nb, (na[i_to - 1] + 1e-9) / threshold + 1e-9, "right")
+        for j in range(max(lo, i + 1) if same else lo, hi, 4096):
+            j_to = min(j + 4096, hi)
+            both, count, found = np.empty((i_to - i, j_to - j), np.uint64), np.empty((i_to - i, j_to - j), np.uint8), np.zeros((i_to - i, j_to - j), kind)
+            for x, y in zip(ma[:, i:i_to], mb[:, j:j_to], strict=True):
+                np.bitwise_and(x[:, None], y[None, :], out=both)
+                np.add(found, np.bitwise_count(both, out=count), out=found)
+            n, m = na[i:i_to, None], nb[None, j:j_to]
+            fits = (found + np.minimum(over_a[i:i_to, None], over_b[None, j:j_to]) >= part * (n + m) - 1e-9) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+            x, y = np.nonzero(fits)
+            if same:
+                x, y = x[(later := x + i < y + j)], y[later]
+            if len(x):
+                yield at_a[x + i], at_b[y + j]
+
+
+def _candidates(marked: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Written (block keys, a, b): pairs of sets of a block that their marks do not rule out, each once. marked: id, block keys, __n, mark.
+
+    The sets of a block stand in order of size and are cut into chunks; two chunks whose sizes allow a pair, or a chunk and
+    itself, are compared by a task that holds no more than them."""
+    order = ["__n", "id"]
+    ranged = in_ranges(marked, keys, order, "word-ranges")
+    placed = running_sums(ranged, order, {"__w": (F.col("__n") + 256).cast("bigint")})
+    placed = placed.select("id", "__n", "mark", *keys, "__key", F.floor(F.col("__w_before") / CHUNK).alias("__chunk"))
+    chunks = materialize(placed.groupBy("__key", "__chunk").agg(F.min("__n").alias("lo"), F.max("__n").alias("hi")), "word-chunks")
+    one = lambda x: chunks.select("__key", *(F.col(c).alias(f"{c}{x}") for c in ("__chunk", "lo", "hi")))
+    meet = one("a").join(one("b"), "__key").where((F.col("__chunka") <= F.col("__chunkb")) & (F.col("hia") >= F.lit(threshold) * F.col("lob") - 1e-9))
+    tiles = materialize(meet.select("__key", F.col("__chunka").alias("ta"), F.col("__chunkb").alias("tb")), "word-tiles")
+    sides = tiles.select("*", F.col("ta").alias("__chunk")).unionByName(tiles.where("ta < tb").select("*", F.col("tb").alias("__chunk")))
+    dealt = placed.join(sides, ["__key", "__chunk"]).repartition(max(1, min(tiles.count(), MOST_TASKS)), "__key", "ta", "tb")
+    kind = marked.schema["id"].dataType.simpleString()
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        n, chunk, (ta, tb) = t["__n"].to_numpy(), t["__chunk"].to_numpy(), (t[c][0].as_py() for c in ("ta", "tb"))
+        of = lambda x: (at := np.nonzero(chunk == x)[0], _classes(n[at], t["mark"].take(pa.array(at)).combine_chunks()))
+        (at_a, a), (at_b, b) = of(ta), of(tb)
+        found = [(at_a[x], at_b[y]) for i, c in enumerate(a) for j, d in enumerate(b) if ta < tb or i <= j for x, y in _may_reach(c, d, threshold, ta == tb and i == j)]
+        x, y = (pa.array(np.concatenate([f[k] for f in found]) if found else [], pa.int64()) for k in (0, 1))
+        return pa.table([*(t[k].take(x) for k in keys), t["id"].take(x), t["id"].take(y)], names=[*keys, "x", "y"])
+
+    schema = ", ".join(f"`{k}` {marked.schema[k].dataType.simpleString()}" for k in keys) + (", " if keys else "") + f"x {kind}, y {kind}"
+    pairs = dealt.groupBy("__key", "ta", "tb").applyInArrow(compare, schema)
+    out = materialize(pairs.select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "word-pairs")
+    for t in (ranged, chunks, tiles):
+        discard(t)
+    return out
 
 
 def similar_pairs(rows: DataFrame, id_: str, text: str, blocks: list[str], threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, jaccard), a < b, of word sets of one block that reach the threshold, each under its representative (word_sets
     says whose); copies are one set and make no pairs.
 
-    Two sets that qualify share one of the first tokens, rarest first, that prefix filtering keeps. Only these leave the task that
-    holds their set. Where two meet, their sizes, the places of the shared token and the bits in which their sets differ bound what
-    they can have in common; pairs that cannot reach the threshold are dropped inside the join. Only the rest are compared."""
-    every, low, keys = _token_sets(rows, id_, text, blocks, stopwords)
-    written = every
-    for k in keys:  # rows without a block make no pairs
-        every = every.where(F.col(k).isNotNull())
-    one_each = _of_set(every, low, keys, "left_semi", F.col("id") == F.col("representative"))
-    sets = materialize(one_each.select("id", *keys, "words").dropDuplicates(["id", *keys]), "word-sets")
+    All pairs of a block whose sizes allow it are compared, by marks of 4 to 8 bits a token; in a block of common words most
+    sets share some rare token of theirs, so that joins by tokens bring nearly as many pairs, and those as rows. Work thus grows with
+    the square of a block. Only marks are dealt; words are made again for the sets of pairs that marks do not rule out, and only these
+    are written. Ids tell rows of a block apart."""
+    sets, keys = _token_rows(rows, id_, text, blocks, stopwords)
+    if blocks:  # rows without a block make no pairs
+        sets = sets.where(reduce(and_, (F.col(k).isNotNull() for k in keys)))
+    written = materialize(_marked(_hashed(sets)), "word-marks")
+    every = written.where("__n > 0")
+    one_each = _of_set(every, _lowest(every.select("id", *keys, "__h", "__g"), keys), keys, "left_semi", F.col("id") == F.col("representative"))
+    pairs = _candidates(one_each.select("id", *keys, "__n", "mark").dropDuplicates(["id", *keys]), keys, threshold)
     discard(written)
-    kept = _prefix_tokens(sets.withColumn("marks", F.transform("words", lambda w: F.xxhash64(*keys, w))), threshold)
-    one = lambda x: kept.select("k", *(F.col(c).alias(f"{c}{x}") for c in ("id", "n", "p", "s0", "s1", "s2", "s3")))
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    differ = sum(F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(4))
-    met = one("a").join(one("b"), "k").where(
-        (F.col("ida") < F.col("idb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (most >= least) & (F.col("na") + F.col("nb") - differ >= 2 * least)
-    )
-    held = lambda x: sets.select(F.col("id").alias(x), *(F.col(k).alias(f"{k}{x}") for k in keys), F.col("words").alias(f"w{x}"))
-    full = met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct().join(held("a"), "a").join(held("b"), "b").where(reduce(and_, (F.col(f"{k}a") == F.col(f"{k}b") for k in keys), F.lit(True)))
+    # each set of a pair, with those it is compared with
+    ends = pairs.select(*keys, F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(*keys, F.col("b").alias("id"), F.lit(None).cast(pairs.schema["b"].dataType).alias("other")))
+    wanted = ends.groupBy(*keys, "id").agg(F.collect_list("other").alias("others")).withColumnsRenamed({c: f"{c}_of" for c in ("id", *keys)})
+    named = rows.select(F.col(id_).alias("__id"), F.col(text).alias("__text"), *(F.col(c).alias(f"{k}_") for c, k in zip(blocks, keys, strict=True)))
+    asked = named.join(wanted, reduce(and_, (F.col(f"{k}_") == F.col(f"{k}_of") for k in keys), F.col("__id") == F.col("id_of")))
+    held, _ = _token_rows(asked.withColumn("__of", F.struct("__id", "others")), "__of", "__text", [f"{k}_" for k in keys], stopwords)
+    held = materialize(held.select("id.__id", "id.others", *keys, "words").withColumnRenamed("__id", "id").dropDuplicates(["id", *keys]), "word-sets")
+    discard(pairs)
+    end = lambda x, *more: held.select(F.col("id").alias(x), *(F.col(k).alias(f"{k}{x}") for k in keys), F.col("words").alias(f"w{x}"), *more)
+    full = end("a", F.explode("others").alias("o")).join(end("b"), reduce(and_, (F.col(f"{k}a") == F.col(f"{k}b") for k in keys), F.col("o") == F.col("b")))
     same = F.size(F.array_intersect("wa", "wb"))
     return full.select("a", "b", (same / (F.size("wa") + F.size("wb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
