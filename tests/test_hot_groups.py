@@ -125,3 +125,23 @@ def test_lines_of_a_long_file_are_counted_once():
     uses = uses_in("\n" + "".join(f'app.use("/s{i}", handler);\n\n' for i in range(n)))
     assert [r[0] for r in routes] == list(range(1, 2 * n, 2)) and [u[0] for u in uses] == list(range(2, 2 * n + 1, 2))
     assert time.monotonic() - began < 15  # from the start of the file for each: 30 seconds and more
+
+
+def test_tables_that_grow_are_not_sent_whole(spark):
+    from wardline.operators import rules, scoring, views
+    from wardline.session import materialize
+
+    ids = spark.range(2000).select(F.lit("r").alias("repo"), F.concat(F.lit("route-"), "id").alias("route_id"), F.concat(F.lit("t"), "id").alias("threat_id"))
+    none = F.array().cast("array<string>")
+    written = lambda *more: materialize(ids.select("*", *more), "small")
+    routes = written(F.lit("GET").alias("method"), F.lit("/a/:b").alias("url"), F.lit("f").alias("file"), F.lit(1).alias("line"), none.alias("middleware"))
+    auth = written(F.lit("authenticated").alias("status"), none.alias("role_checks"), F.lit(False).alias("admin")).drop("threat_id")
+    uses = spark.createDataFrame([], "repo string, file string, prefix string, names array<string>")
+    threats = written(F.lit("t").alias("title"), F.array("route_id").alias("evidence_ids"), none.alias("component_ids"), none.alias("cwe"), F.lit(1).alias("milli"), F.lit(0).alias("assumptions"))
+    evidence = written(F.col("route_id").alias("id"), F.lit("f").alias("file"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    cited = written(F.lit(0).alias("pos"), *(F.lit("code").alias(c) for c in ("kind", "source", "rule_id", "file")), F.lit(1).alias("line"), F.lit(0.5).alias("certainty"), none.alias("gap_cwe"))
+    bound = rules.bind_to_components(routes.withColumn("gap_id", F.col("route_id")), evidence.select("repo", F.col("id").alias("component_id"), F.col("file").alias("path")), spark.createDataFrame([("r", "c", "api")], "repo string, component_id string, type string"))
+    for made in (rules.authz_missing(routes, auth, uses), assembly.unresolved(threats, evidence), scoring.confidence(threats.drop("milli"), cited), views.cards(threats, spark.createDataFrame([("c", "n")], "id string, name string"), evidence), bound):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+    assert rules.authz_missing(routes, auth, uses).count() == 2000

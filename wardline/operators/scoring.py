@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import scoring as S
+from wardline.session import dealt
 
 
 def best_per_location(items: DataFrame, key: str = "threat_id") -> DataFrame:
@@ -38,7 +39,7 @@ def confidence(threats: DataFrame, citations: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(is_("gap"), S.milli_certainty(F.col("certainty")))), F.lit(0)).alias("certainty_sum"),
         F.array_distinct(F.flatten(F.collect_list(F.when(is_("gap"), F.col("gap_cwe"))))).alias("gap_cwes"),
     )
-    d = threats.join(sums, "threat_id", "left")
+    d = threats.join(dealt(sums), "threat_id", "left")
     n = F.coalesce("n_categories", F.lit(0))
     total = sum((F.coalesce(f"{c}_points", F.lit(0)) for c in observed), F.lit(0))
     total = total + F.when(n >= 2, S.SECOND_SOURCE).otherwise(0) + F.when((n == 0) & F.coalesce("has_inference", F.lit(False)), S.INFERENCE_ONLY).otherwise(0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import scoring as S
+from wardline.session import dealt
 
 # Component types by exposure.
 EXTERNAL_TYPES, EDGE_TYPES = ("external_service", "auth_provider"), ("actor", "frontend")
@@ -148,9 +149,9 @@ def cards(threats: DataFrame, components: DataFrame, evidence: DataFrame) -> Dat
         .groupBy("threat_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("name", "cid").alias("name")))).alias("n"))
     )
     placed = (
-        threats.select("threat_id", F.posexplode("evidence_ids").alias("i", "eid")).join(evidence.select(F.col("id").alias("eid"), "file", "line_start", "line_end"), "eid")
+        threats.select("threat_id", F.posexplode("evidence_ids").alias("i", "eid")).join(dealt(evidence.select(F.col("id").alias("eid"), "file", "line_start", "line_end")), "eid")
         .groupBy("threat_id").agg(F.array_sort(F.collect_list(F.struct("i", location(F.col("file"), F.col("line_start"), F.col("line_end")).alias("place")))).alias("p"))
     )
-    return threats.join(named, "threat_id", "left").join(placed, "threat_id", "left").select(
+    return threats.join(dealt(named), "threat_id", "left").join(dealt(placed), "threat_id", "left").select(
         "threat_id", "title", F.transform("n", lambda x: x["name"]).alias("components"), F.transform("p", lambda x: x["place"]).alias("places"), F.floor(F.col("milli") / 10 + 0.5).cast("int").alias("confidence_percent")
     )
