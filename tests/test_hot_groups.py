@@ -104,6 +104,23 @@ def test_lists_of_components_go_along_flows(spark, monkeypatch):
     assert got == sorted(map(repr, gathered(c.distinct(), flows, *seen["facts"]).collect())) and len(got) == 9 + 120 + 1
 
 
+def test_lists_of_sources_lie_where_their_targets_are(spark):
+    c = spark.createDataFrame([("r", f"c{i}") for i in range(40)], "repo string, component_id string")
+    pairs = [(i, i % 40, i * 7 % 41) for i in range(300)]
+    flows = spark.createDataFrame([("r", f"f{i}", f"c{a}", f"c{b}") for i, a, b in pairs] + [(None, "f1", "c1", "c2"), ("r", None, "c1", "c2")], "repo string, flow_id string, source string, target string")
+    held = spark.createDataFrame([("r", f"c{i % 40}", i, f"s{i % 30}") for i in range(100)], "repo string, component_id string, pos int, path string")
+    cited = spark.createDataFrame([("r", f"{k}{i}", 0, "e") for k in "cf" for i in range(5)], "repo string, element_id string, pos int, evidence_id string")
+    none = lambda kinds: spark.createDataFrame([], kinds)
+    d = assembly.expand(c, flows, none("repo string, gap_id string, certainty double"), none("repo string, gap_id string, component_id string"), none("repo string, id string, pos int, component_ids array<string>"), held, spark.createDataFrame([("r", "e")], "repo string, id string"), cited)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    join = next(x for x in plan.split("Join") if x.split("]")[0].count("target#"))
+    assert join.count("SelectedBucketsCount") >= 2 and "Exchange" not in join[: join.rindex("SelectedBucketsCount")], plan
+    files = {f"c{i}": [f"s{k % 30}" for k in range(i, 100, 40)] for i in range(40)}
+    got = {r.element_id: r for r in d.where("repo is not null and element_id is not null").collect()}
+    assert len(got) == 340 and all([*dict.fromkeys(files[f"c{a}"] + files.get(f"c{b}", []))] == got[f"f{i}"].files for i, a, b in pairs)
+    assert all(got[f"{k}{i}"].evidence_ids == (["e"] if i < 5 else []) for k in "cf" for i in range(40)) and d.count() == 342
+
+
 def test_spans_are_dealt_by_the_size_of_their_input(spark):
     from wardline.operators import context
 

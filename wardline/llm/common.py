@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators.windows import components as connected_components
-from wardline.session import discard, materialize, new_path, shared_dir
+from wardline.session import discard, materialize, new_path, release, shared_dir
 
-__all__ = ["connected_components", "discard", "materialize", "new_path", "shared_dir"]
+__all__ = ["connected_components", "discard", "materialize", "new_path", "release", "shared_dir"]
 
 #: ASCII white space, as the contracts' word pattern excludes it; bytes.split() splits on the same six.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -64,9 +63,3 @@ def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) ->
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets the context cleaner drop the shuffle files of finished jobs now, not at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
